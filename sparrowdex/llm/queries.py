@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, packing, token_counts, topk
+from . import language, packing, token_counts, topk, warc
+from .workspace import new_path
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -20,6 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "warc")
+    warc.write(warc.records(table(spark, sf_dir, "pages")), path)
+    back = warc.resolve(warc.read(spark, path))
+    return back.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
@@ -41,11 +49,22 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_warc": op3_warc,
     "op6_top_k": op6_top_k,
     "op8_token_counts": op8_token_counts,
     "op9_packing": op9_packing,
     "op10_language_id": op10_language_id,
 }
+OP3_SQL = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+FROM f
+"""
+
 OP6_SQL = """
 WITH v AS (
   SELECT CAST(vec_id AS BIGINT) AS vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS w
@@ -61,5 +80,6 @@ FROM scored QUALIFY rank <= 5
 """
 
 ORACLES: dict[str, str] = {
+    "op3_warc": OP3_SQL,
     "op6_top_k": OP6_SQL,
 }
