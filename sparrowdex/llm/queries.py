@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, packing, token_counts, topk, warc
+from . import html_text, language, packing, token_counts, topk, warc
 from .workspace import new_path
 
 VOCABULARY = "word_bpe_49k.json"
@@ -28,6 +28,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
@@ -50,6 +54,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_warc": op3_warc,
+    "op5_main_text": op5_main_text,
     "op6_top_k": op6_top_k,
     "op8_token_counts": op8_token_counts,
     "op9_packing": op9_packing,
