@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pieces import memo
+from .pieces import batches_of, coder
 
 #: A smaller gap stays as padding: no snippet of fewer tokens is cut to fill one.
 MIN_GAP = 16
@@ -74,9 +74,10 @@ def windows(lengths: list[int], capacity: int) -> list[list[tuple[int, int, int]
     while True:
         bins = difference(sizes, k)
         sums = [sum(sizes[i] for i in b) for b in bins]
-        if max(sums) <= capacity:
+        over = sum(max(0, x - capacity) for x in sums)
+        if not over:
             break
-        k += 1
+        k += max(1, over // capacity, k // 64)
     packed = sorted(([rests[i] for i in b] for b in bins if b), key=lambda w: sum(p[2] for p in w))
     while len(packed) > 1:  # the emptiest window fills the gaps of the others
         spare, rest = packed[0], packed[1:]
@@ -119,7 +120,7 @@ def _deal(spare: list, rest: list[list], gaps: list[int]) -> list:
     return spare
 
 
-def pack(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", block_docs: int = 2000, block_tokens: int = 4_000_000, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", block_docs: int = 500, block_tokens: int = 4_000_000, with_ids: bool = False) -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if asked, the ids.
 
     Each document is its ids and end_id; a null or empty text is end_id alone. Every id lies in exactly one piece;
@@ -131,7 +132,7 @@ def pack(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 2, id_c
     schema = pa.schema([(n, pa.int64()) for n in names] + [("ids", pa.list_(pa.int64()))] * with_ids)
 
     def run(batches):
-        get, end = memo(path, False).__getitem__, np.array([end_id], "<u4").tobytes()
+        code, end = coder(path).code, np.array([end_id], "<u4").tobytes()
         part = TaskContext.get().partitionId() << 33
         serial = 0
         keys: list = []
@@ -158,15 +159,17 @@ def pack(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 2, id_c
             return pa.record_batch([pa.array(c, pa.int64()) for c in rows] + [pa.array(ids, pa.list_(pa.int64()))] * with_ids, schema=schema)
 
         for b in batches:
-            for key, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                raw = b"".join(map(get, t.split())) + end if t else end
-                if coded and held + len(raw) > 4 * block_tokens:
-                    yield flush()
-                keys.append(key)
-                coded.append(raw)
-                held += len(raw)
-                if len(coded) >= block_docs:
-                    yield flush()
+            for first, last in batches_of(b.column(1)):
+                found = code(b.column(1).slice(first, last - first))
+                for d, key in enumerate(b.column(0).slice(first, last - first).to_pylist()):
+                    raw = found.of(d).tobytes() + end
+                    if coded and held + len(raw) > 4 * block_tokens:
+                        yield flush()
+                    keys.append(key)
+                    coded.append(raw)
+                    held += len(raw)
+                    if len(coded) >= block_docs:
+                        yield flush()
         if coded:
             yield flush()
 

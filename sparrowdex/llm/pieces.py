@@ -1,20 +1,36 @@
-"""Whole-text coding through a memo of white-space separated pieces.
+"""Whole-text coding through white-space separated pieces.
 
 The vocabulary's normaliser turns runs of white space into one space and its splitter drops them, so no token and no
-normalisation step reaches across ASCII white space: the ids of a text are those of its pieces in order. Each worker
-keeps the ids of the pieces it has seen, up to MEMO_ROWS of them.
+normalisation step reaches across ASCII white space: the ids of a text are those of its pieces in order. A batch of texts
+is split and its distinct pieces are found in Arrow; a distinct piece that is a word of plain letters, or one and a final
+mark, is looked up by its lower-case word. Each worker keeps the ids of up to MEMO_ROWS words.
 """
 
 from __future__ import annotations
 
 import os
+import struct
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-MEMO_ROWS = 400_000
+MEMO_ROWS = 800_000
+#: Text that is coded at once.
+BATCH_BYTES = 8 << 20
 _loaded: dict[str, object] = {}
 
 
+def _byte_letters() -> dict[int, str]:
+    """The printable character that byte-level vocabularies write for each byte: itself, or one from U+0100 on."""
+    plain = [b for b in range(256) if 33 <= b < 127 or b > 160 and b != 173]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+BYTE_LETTERS = _byte_letters()
+
+
 def tokenizer(path: str):
     """The tokenizer of a .json vocabulary file, one per worker."""
     if path not in _loaded:
@@ -25,39 +41,102 @@ def tokenizer(path: str):
     return _loaded[path]
 
 
-class Memo(dict):
-    """piece (bytes) -> value; computed at the first use, emptied when full."""
-
-    def __init__(self, path: str, counts: bool):
-        self.encode, self.counts = tokenizer(path).encode, counts
-        self.nothing = 0 if counts else b""
-
-    def of(self, text: str):
-        ids = self.encode(text, add_special_tokens=False).ids
-        return len(ids) if self.counts else np.array(ids, "<u4").tobytes()
-
-    def __missing__(self, piece: bytes):
-        if len(self) >= MEMO_ROWS:
-            self.clear()
-        # A final run of these marks is a word of its own after an ASCII letter or digit.
-        word = piece.rstrip(b".,!?;:")
-        if word and len(word) < len(piece) and word[-1:].isalnum():
-            value = self[word] + self[piece[len(word) :]]
-        else:
-            low = piece.lower() if piece.isascii() and b"<" not in piece else piece
-            value = self[low] if low != piece else self.of(piece.decode())
-        self[piece] = value
-        return value
-
-
-def memo(path: str, counts: bool) -> Memo:
-    key = f"{path}|{counts}"
+#: Letters that lower-case one to one, that NFC leaves alone, and that a splitter by letters keeps together.
+PLAIN = "^[A-Za-zÀ-ÖØ-öø-į]+$"
+#: After a letter, one of these is a pre-token of its own.
+MARKS = ".,!?;:"
+
+
+class Coder:
+    def __init__(self, path: str):
+        loaded = tokenizer(path)
+        self.encode, self.split = loaded.encode, loaded.model.tokenize
+        self.words: dict[str, bytes] = {}
+        self.marks = {ord(m): self.by_chain(m) for m in MARKS}
+
+    def by_chain(self, text: str) -> bytes:
+        """The ids of any text, by the library's whole chain."""
+        return np.array(self.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def by_model(self, word: str) -> bytes:
+        """The ids of a lower-case word of plain letters: normalised already and one pre-token."""
+        tokens = self.split(word.encode().decode("latin-1").translate(BYTE_LETTERS))
+        return struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
+
+    def values(self, keys: list[str], code) -> list[bytes]:
+        found = list(map(self.words.get, keys))
+        if len(self.words) > MEMO_ROWS:
+            self.words.clear()
+        for i, v in enumerate(found):
+            if v is None:
+                found[i] = self.words[keys[i]] = code(keys[i])
+        return found
+
+    def distinct(self, pieces: pa.Array) -> list[bytes]:
+        """The ids of each of some distinct pieces."""
+        word = pc.utf8_rtrim(pieces, MARKS)
+        tail = pc.subtract(pc.binary_length(pieces), pc.binary_length(word)).to_numpy(zero_copy_only=False)
+        plain = pc.match_substring_regex(word, PLAIN).to_numpy(zero_copy_only=False) & (tail < 2)
+        coded = pc.utf8_lower(word.filter(pa.array(plain))).dictionary_encode()
+        of_words = self.values(coded.dictionary.to_pylist(), self.by_model)
+        out: list[bytes] = [b""] * len(pieces)
+        ends = np.frombuffer(pieces.buffers()[1], np.int64)[pieces.offset + 1 : pieces.offset + 1 + len(pieces)]
+        last = np.frombuffer(pieces.buffers()[2], np.uint8)[np.maximum(ends, 1) - 1] if len(pieces) else ends
+        at = np.flatnonzero(plain)
+        for i, w, t, mark in zip(at.tolist(), coded.indices.to_pylist(), tail[at].tolist(), last[at].tolist(), strict=True):
+            out[i] = of_words[w] + self.marks[mark] if t else of_words[w]
+        rest = np.flatnonzero(~plain)
+        for i, v in zip(rest.tolist(), self.values(pieces.take(pa.array(rest)).to_pylist(), self.by_chain), strict=True):
+            out[i] = v
+        return out
+
+    def code(self, texts: pa.Array) -> Coded:
+        """The ids of all texts; a null text is empty."""
+        parts = pc.ascii_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
+        flat = parts.flatten()
+        coded = flat.dictionary_encode()
+        values = self.distinct(coded.dictionary)
+        sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
+        ids = np.frombuffer(b"".join(values), "<u4")
+        which = coded.indices.to_numpy(zero_copy_only=False)
+        n = sizes[which]
+        ends = np.cumsum(n)
+        total = int(ends[-1]) if len(ends) else 0
+        at = np.repeat((np.cumsum(sizes) - sizes)[which] - (ends - n), n) + np.arange(total)
+        of_text = parts.value_lengths().to_numpy(zero_copy_only=False)
+        return Coded(ids[at], np.concatenate([[0], ends]), np.concatenate([[0], np.cumsum(of_text)]).astype(np.int64))
+
+
+class Coded:
+    """ids of all texts in a row; ends[i]: ids before piece i; first[d]: number of the first piece of text d."""
+
+    def __init__(self, ids: np.ndarray, ends: np.ndarray, first: np.ndarray):
+        self.ids, self.ends, self.first = ids, ends, first
+        self.starts = ends[first]  # ids before text d
+
+    def of(self, d: int) -> np.ndarray:
+        return self.ids[self.starts[d] : self.starts[d + 1]]
+
+    def table(self, d: int) -> np.ndarray:
+        """Token counts of the prefixes of text d that end with piece 0, 1, ..."""
+        return self.ends[self.first[d] + 1 : self.first[d + 1] + 1] - self.starts[d]
+
+
+def coder(path: str) -> Coder:
+    key = f"coder {path}"
     if key not in _loaded:
-        _loaded[key] = Memo(path, counts)
+        _loaded[key] = Coder(path)
     return _loaded[key]
 
 
-def text_ids(text: str | bytes | None, path: str) -> np.ndarray:
-    """The ids of a whole text as little-endian unsigned 32-bit numbers; null is empty."""
-    raw = text.encode() if isinstance(text, str) else text or b""
-    return np.frombuffer(b"".join(map(memo(path, False).__getitem__, raw.split())), "<u4")
+def batches_of(texts: pa.Array, most: int = BATCH_BYTES):
+    """(first, last) of runs of texts of about `most` bytes; one long text is a run of its own."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    first, held = 0, 0
+    for i, n in enumerate(sizes.tolist()):
+        if i > first and held + n > most:
+            yield first, i
+            first, held = i, 0
+        held += n
+    if len(sizes) > first:
+        yield first, len(sizes)

@@ -10,28 +10,25 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pieces import memo, tokenizer
+from .pieces import batches_of, coder, tokenizer
 
 
-def prefix_table(text: str | bytes | None, path: str) -> np.ndarray:
+def prefix_table(text: str | None, path: str) -> np.ndarray:
     """Token counts of the prefixes that end with piece 0, 1, ...; empty for a text without pieces."""
-    raw = text.encode() if isinstance(text, str) else text or b""
-    pieces = raw.split()
-    return np.cumsum(np.fromiter(map(memo(path, True).__getitem__, pieces), np.int64, len(pieces)))
+    return coder(path).code(pa.array([text], pa.string())).table(0)
 
 
 def count_at(text: str, chars: int, path: str, table: np.ndarray | None = None) -> int:
-    """Tokens of text[:chars], from the table."""
+    """Tokens of text[:chars], from the table and the last, perhaps cut, piece."""
     table = prefix_table(text, path) if table is None else table
-    head = text[:chars].encode()
-    pieces = head.split()
+    pieces = text[:chars].encode().split()
     if not pieces:
         return 0
-    whole = len(pieces) - 1
-    return int(table[whole - 1] if whole else 0) + memo(path, True)[pieces[-1]]
+    return int(table[len(pieces) - 2] if len(pieces) > 1 else 0) + len(tokenizer(path).encode(pieces[-1].decode(), add_special_tokens=False).ids)
 
 
 def truncate_at(text: str, budget: int, path: str, table: np.ndarray | None = None) -> int:
@@ -73,18 +70,14 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "d
     schema = pa.schema(fields)
 
     def run(batches):
-        get = memo(path, True).__getitem__
+        code = coder(path).code
         for b in batches:
-            texts, ids = b.column(1).cast(pa.binary()).to_pylist(), b.column(0)
-            sizes, totals, tables = [], [], []
-            for t in texts:
-                pieces = t.split() if t else []
-                table = np.cumsum(np.fromiter(map(get, pieces), np.int64, len(pieces)))
-                sizes.append(len(t) if t else 0)
-                totals.append(int(table[-1]) if len(table) else 0)
-                if with_table:
-                    tables.append(table)
-            yield pa.record_batch([ids, pa.array(sizes, pa.int64()), pa.array(totals, pa.int64())] + [pa.array(tables, pa.list_(pa.int64()))] * with_table, schema=schema)
+            for a, z in batches_of(b.column(1)):
+                ids, texts = b.column(0).slice(a, z - a), b.column(1).slice(a, z - a)
+                found = code(texts)
+                sizes = pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())
+                tables = [pa.array([found.table(d) for d in range(z - a)], pa.list_(pa.int64()))] if with_table else []
+                yield pa.record_batch([ids, sizes, pa.array(np.diff(found.starts)), *tables], schema=schema)
 
     spark_schema = "id long, n_bytes long, n_tokens long" + ", prefix_tokens array<long>" * with_table
     out = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, spark_schema)
