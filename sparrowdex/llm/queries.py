@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, language, packing, token_counts, topk, warc
+from . import html_text, language, near_dup, packing, token_counts, topk, warc
 from .workspace import new_path
 
 VOCABULARY = "word_bpe_49k.json"
@@ -21,6 +21,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), per_cent=85)
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     warc.write(warc.records(table(spark, sf_dir, "pages")), path)
@@ -53,6 +57,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_near_dup": op2_near_dup,
     "op3_warc": op3_warc,
     "op5_main_text": op5_main_text,
     "op6_top_k": op6_top_k,
