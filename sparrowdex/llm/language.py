@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3, 4)
@@ -149,16 +150,16 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     texts are read, however long. Null ids and repeated rows stay as they are; other columns are dropped.
     """
     seen = docs.sparkSession.sparkContext.broadcast(model)
-    out = docs.select(F.col(id_col).alias(id_col), *keep, F.col(text_col).cast("string").alias("__text"))
-    schema = out.drop("__text").schema.add("lang_pred", "string").add("score", "double")
+    kept = docs.select(F.col(id_col).alias(id_col), *keep)
+    rows = kept if text_col in keep else docs.select(*kept.columns, text_col)
+    at, width = rows.columns.index(text_col), len(kept.columns)
 
     def run(batches):
-        model = seen.value
         for b in batches:
-            langs, scores = model.predict(b.column(b.num_columns - 1).to_pylist())
-            yield pa.record_batch([*b.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*b.schema.names[:-1], "lang_pred", "score"])
+            langs, scores = seen.value.predict(b.column(at).cast(pa.string()).to_pylist())
+            yield pa.record_batch([*b.columns[:width], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*b.schema.names[:width], "lang_pred", "score"])
 
-    return out.mapInArrow(run, schema)
+    return rows.mapInArrow(run, StructType([*kept.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
 
 
 def held_out(id_col: str = "doc_id"):

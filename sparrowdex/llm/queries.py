@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, language, near_dup, packing, token_counts, topk, warc
+from . import html_text, language, near_dup, packing, token_counts, topk, toxicity, warc
 from .workspace import new_path
 
 VOCABULARY = "word_bpe_49k.json"
@@ -32,6 +32,21 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+CATEGORIES = ["low_quality", "toxic"]
+#: A document is rejected from this probability of the last category on.
+TOXIC_FROM = 0.4
+
+
+def toxicity_chain(docs: DataFrame, labels: DataFrame) -> toxicity.Chain:
+    return toxicity.fit(docs, labels.select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic"), CATEGORIES)
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = toxicity.score(docs, toxicity_chain(docs, table(spark, sf_dir, "labels")))
+    return out.withColumn("rejected", F.col("p_toxic") >= TOXIC_FROM)
+
+
 def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
@@ -59,6 +74,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_near_dup": op2_near_dup,
     "op3_warc": op3_warc,
+    "op4_toxicity": op4_toxicity,
     "op5_main_text": op5_main_text,
     "op6_top_k": op6_top_k,
     "op8_token_counts": op8_token_counts,
