@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, language, near_dup, packing, token_counts, topk, toxicity, warc
+from . import html_text, language, near_dup, packing, spm, token_counts, topk, toxicity, warc
 from .workspace import new_path
 
 VOCABULARY = "word_bpe_49k.json"
@@ -56,6 +56,10 @@ def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spm.encode(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary(), limit=2048)
 
@@ -77,6 +81,7 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op5_main_text": op5_main_text,
     "op6_top_k": op6_top_k,
+    "op7_sentencepiece": op7_sentencepiece,
     "op8_token_counts": op8_token_counts,
     "op9_packing": op9_packing,
     "op10_language_id": op10_language_id,
