@@ -1,11 +1,12 @@
 """Near-duplicate detection: chosen-path set similarity join over word shingles.
 
 Texts with equal sets form a class; only the smallest id of a class goes on. A sketch holds WIDTH minwise values of a
-set. In each of TREES independent trees, a node branches on sketch coordinates that its own key selects: at the root one
-per tree, below it one and, with the chance that keeps a pair at the threshold alive on average, a second. Nodes of at
-most LEAF documents are compared exhaustively: sketches first, which drops only pairs LEAST_SIGMAS below the threshold,
-then the full sets. Only nodes above LEAF branch on. Those left at DEPTH hold sets that agree in almost every coordinate;
-they are dealt into leaves that all hold the node's smallest document.
+set. In each of TREES independent trees the root branches on one sketch coordinate and each further node on two that its
+own key selects, some nodes a second time on two others, so that a pair at the threshold outlives the levels that a
+large group needs. Nodes of at most LEAF documents are compared exhaustively: sketches first, which drops only pairs
+LEAST_SIGMAS below the threshold, then the full sets. Only nodes above LEAF branch on, unless a node holds nearly all of
+its parent: then its sets agree in almost every coordinate, and it is dealt into leaves that all hold its smallest
+document, other leaves in each tree.
 
 Nothing depends on one task holding a large node: nodes are counted by partial aggregation, joined as (node, document)
 pairs, and gathered only when they have at most LEAF documents.
@@ -24,7 +25,9 @@ from .components import components
 from .shingles import shingle_sets
 from .workspace import stash
 
-WIDTH, TREES, LEAF, DEPTH = 128, 16, 128, 24
+WIDTH, TREES, LEAF, DEPTH = 128, 16, 256, 10
+#: Chance of a second branch of a node, and the share of its parent from which a node counts as coherent.
+SECOND, COHERENT = 0.2, 0.7
 LEAST_SIGMAS = 4.5
 #: Ids that go to every task at most when sets are computed again; with more, they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
@@ -84,10 +87,10 @@ def leaves(reps: DataFrame, threshold: float) -> DataFrame:
     """(node, rep): members of leaf nodes with at least two documents, of all trees. reps: rep, sketch."""
     root = [F.xxhash64(F.lit(t), F.element_at("sketch", int(c) + 1)) for t, c in enumerate(np.random.default_rng(4).permutation(WIDTH)[:TREES])]
     rows = reps.select("rep", F.explode(F.array(*root)).alias("node"))
-    found, used = [], []
+    found = []
+    rows = rows.withColumn("parent", F.lit(0))
     for depth in range(1, DEPTH + 1):
-        nodes = stash(rows.groupBy("node").agg(F.count("*").alias("size"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("size > 1"), "nodes")
-        used.append(nodes)
+        nodes = stash(rows.groupBy("node").agg(F.count("*").alias("size"), F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.max("parent").alias("parent")).where("size > 1"), "nodes")
         pairs = nodes.where("size = 2").select("lo", "hi").distinct()
         found.append(pairs.select(F.xxhash64("lo", "hi").alias("node"), F.explode(F.array("lo", "hi")).alias("rep")))
         small = nodes.where((F.col("size") > 2) & (F.col("size") <= LEAF))
@@ -95,14 +98,16 @@ def leaves(reps: DataFrame, threshold: float) -> DataFrame:
         large = nodes.where(F.col("size") > LEAF)
         if large.isEmpty():
             break
-        inside = rows.join(large.select("node", "size", "lo"), "node")
+        inside = rows.select("rep", "node").join(large, "node")
+        alike = F.col("size") > COHERENT * F.col("parent") if depth < DEPTH else F.lit(True)
+        alike = alike & (F.col("parent") > 0)
+        block = F.xxhash64("node", F.pmod(F.xxhash64("node", "rep"), F.ceil(F.col("size") / (LEAF / 2))))
+        found.append(inside.where(alike).select(block.alias("node"), F.explode(F.array_distinct(F.array("rep", "lo"))).alias("rep")).distinct())
         if depth == DEPTH:
-            block = F.xxhash64("node", F.pmod(F.xxhash64("node", "rep"), F.ceil(F.col("size") / (LEAF / 2))))
-            found.append(inside.select(block.alias("node"), F.explode(F.array_distinct(F.array("rep", "lo"))).alias("rep")).distinct())
             break
-        second = F.pmod(F.xxhash64("node", F.lit(depth), F.lit("second")), F.lit(1000)) < int(1000 * (1 / threshold - 1)) + 100
-        kids = F.transform(F.when(second, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))), lambda j: F.xxhash64("node", j, F.element_at("sketch", _pick(F.col("node"), F.lit(depth), j))))
-        rows = stash(inside.select("node", "rep").join(reps.select("rep", "sketch"), "rep").select("rep", F.explode(kids).alias("node")), "paths")
+        second = F.pmod(F.xxhash64("node", F.lit("second")), F.lit(1000)) < int(1000 * SECOND)
+        kids = F.transform(F.when(second, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))), lambda j: F.xxhash64("node", j, F.element_at("sketch", _pick(F.col("node"), F.lit("a"), j)), F.element_at("sketch", _pick(F.col("node"), F.lit("b"), j))))
+        rows = stash(inside.where(~alike).select("node", "rep", "size").join(reps.select("rep", "sketch"), "rep").select("rep", F.explode(kids).alias("node"), F.col("size").cast("int").alias("parent")), "paths")
     out = found[0]
     for x in found[1:]:
         out = out.union(x)
