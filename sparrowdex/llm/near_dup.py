@@ -83,12 +83,16 @@ def _pick(*parts) -> F.Column:
     return F.pmod(F.xxhash64(*parts), F.lit(WIDTH)).cast("int") + 1
 
 
-def leaves(reps: DataFrame, threshold: float) -> DataFrame:
-    """(node, rep): members of leaf nodes with at least two documents, of all trees. reps: rep, sketch."""
-    root = [F.xxhash64(F.lit(t), F.element_at("sketch", int(c) + 1)) for t, c in enumerate(np.random.default_rng(4).permutation(WIDTH)[:TREES])]
-    rows = reps.select("rep", F.explode(F.array(*root)).alias("node"))
+def roots() -> F.Column:
+    """The first node of a sketch in each tree."""
+    chosen = np.random.default_rng(4).permutation(WIDTH)[:TREES]
+    return F.array(*[F.xxhash64(F.lit(t), F.element_at("sketch", int(c) + 1)) for t, c in enumerate(chosen)])
+
+
+def leaves(reps: DataFrame, first: F.Column) -> DataFrame:
+    """(node, rep): members of leaf nodes with at least two documents. reps: rep, sketch; first: its nodes at the root."""
+    rows = reps.select("rep", F.explode(first).alias("node"), F.lit(0).alias("parent"))
     found = []
-    rows = rows.withColumn("parent", F.lit(0))
     for depth in range(1, DEPTH + 1):
         nodes = stash(rows.groupBy("node").agg(F.count("*").alias("size"), F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.max("parent").alias("parent")).where("size > 1"), "nodes")
         pairs = nodes.where("size = 2").select("lo", "hi").distinct()
@@ -114,9 +118,9 @@ def leaves(reps: DataFrame, threshold: float) -> DataFrame:
     return out
 
 
-def clusters(members: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
-    """members (array of ids): in each leaf, documents that similar sketches connect. reps: rep, n, sketch."""
-    least = threshold - LEAST_SIGMAS * float(np.sqrt(threshold * (1 - threshold) / WIDTH))
+def clusters(members: DataFrame, reps: DataFrame, least: float, ratio: float) -> DataFrame:
+    """members (array of ids): in each leaf, those that are connected by sketches of which a share of `least` agrees and
+    set sizes of which the smaller is `ratio` of the larger. reps: rep, n, sketch."""
 
     def run(batches):
         for b in batches:
@@ -129,11 +133,11 @@ def clusters(members: DataFrame, reps: DataFrame, threshold: float) -> DataFrame
             for a, z in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
                 s, size = sketch[a:z], n[a:z]
                 if z - a == 2:
-                    if min(size) >= threshold * max(size) and (s[0] == s[1]).mean() >= least:
+                    if min(size) >= ratio * max(size) and (s[0] == s[1]).mean() >= least:
                         out.append(np.sort(reps_[a:z]))
                     continue
                 near = np.array([(s == x).mean(1) for x in s]) >= least
-                near &= np.minimum.outer(size, size) >= threshold * np.maximum.outer(size, size)
+                near &= np.minimum.outer(size, size) >= ratio * np.maximum.outer(size, size)
                 for group in connected(near):
                     if len(group) > 1:
                         out.append(np.sort(reps_[a:z][group]))
@@ -222,7 +226,9 @@ def near_duplicates(docs: DataFrame, per_cent: int = 80, id_col: str = "doc_id",
     own = known.select("doc_id", "digest").join(classes, "digest").select("doc_id", "rep")
     reps = known.join(classes, "digest").where("doc_id = rep").select("rep", F.col("n_shingles").alias("n"), "sketch").dropDuplicates(["rep"])
     reps = stash(reps, "sketches")
-    edges = links(clusters(leaves(reps, per_cent / 100), reps, per_cent / 100), texts, per_cent)
+    share = per_cent / 100
+    least = share - LEAST_SIGMAS * float(np.sqrt(share * (1 - share) / WIDTH))
+    edges = links(clusters(leaves(reps, roots()), reps, least, share), texts, per_cent)
     shared = own.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("a", "b")
     found = components(edges.union(shared))
     rows = sig.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left")

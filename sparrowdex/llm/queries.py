@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, language, near_dup, packing, spm, token_counts, topk, toxicity, warc
+from . import html_text, language, media, near_dup, packing, spm, token_counts, topk, toxicity, warc
 from .workspace import new_path
 
 VOCABULARY = "word_bpe_49k.json"
@@ -21,6 +22,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "html")
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 500):
+                part = b.slice(at, 500)
+                images = [media.render(x) for x in part.column(1).cast(pa.string()).to_pylist()]
+                yield pa.record_batch([part.column(0), pa.array(images, pa.binary())], names=["page_id", "image"])
+
+    return media.copies(pages.mapInArrow(run, "page_id long, image binary"), "page_id", "image")
+
+
 def op2_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), per_cent=85)
 
@@ -76,6 +90,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_media_copies": op1_media_copies,
     "op2_near_dup": op2_near_dup,
     "op3_warc": op3_warc,
     "op4_toxicity": op4_toxicity,
