@@ -15,10 +15,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from .workspace import lean
+
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3, 4)
 #: Characters that are hashed at once.
-SLICE = 1 << 19
+SLICE = 1 << 18
 _letters: list[np.ndarray] = []
 
 
@@ -159,7 +161,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
             langs, scores = seen.value.predict(b.column(at).cast(pa.string()).to_pylist())
             yield pa.record_batch([*b.columns[:width], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*b.schema.names[:width], "lang_pred", "score"])
 
-    return rows.mapInArrow(run, StructType([*kept.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
+    return rows.mapInArrow(lean(run), StructType([*kept.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
 
 
 def held_out(id_col: str = "doc_id"):

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .shingles import shingle_sets
-from .workspace import stash
+from .workspace import lean, stash
 
 WIDTH, TREES, LEAF, DEPTH = 128, 16, 256, 10
 #: Chance of a second branch of a node, and the share of its parent from which a node counts as coherent.
@@ -75,7 +75,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
                 yield pa.record_batch([part.column(0), pa.array(map(len, sets), pa.int64()), pa.array(digest, pa.binary()), pa.array(sketch, pa.list_(pa.int32()))], schema=schema)
 
-    return _texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_shingles long, digest binary, sketch array<int>")
+    return _texts(docs, id_col, text_col).mapInArrow(lean(run), "doc_id long, n_shingles long, digest binary, sketch array<int>")
 
 
 def _pick(*parts) -> F.Column:
@@ -144,7 +144,7 @@ def clusters(members: DataFrame, reps: DataFrame, least: float, ratio: float) ->
             yield pa.record_batch([pa.array(out, pa.list_(pa.int64()))], names=["members"])
 
     rows = members.join(reps.select("rep", "n", "sketch"), "rep").groupBy("node").agg(F.collect_list(F.struct("rep", "n", "sketch")).alias("r"))
-    return rows.select("r").mapInArrow(run, "members array<long>").distinct()
+    return rows.select("r").mapInArrow(lean(run), "members array<long>").distinct()
 
 
 def connected(near: np.ndarray) -> list[np.ndarray]:
@@ -174,7 +174,7 @@ def links(groups: DataFrame, docs: DataFrame, per_cent: int) -> DataFrame:
             found = [s.tobytes() for s in shingle_sets(b.column(1).cast(pa.binary()).to_pylist())]
             yield pa.record_batch([b.column(0), pa.array(found, pa.binary())], names=["rep", "set"])
 
-    full = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").mapInArrow(sets, "rep long, set binary").distinct()
+    full = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").mapInArrow(lean(sets), "rep long, set binary").distinct()
 
     def run(batches):
         for b in batches:
@@ -188,7 +188,7 @@ def links(groups: DataFrame, docs: DataFrame, per_cent: int) -> DataFrame:
             yield pa.record_batch([pa.array(c, pa.int64()) for c in out], names=["a", "b"])
 
     gathered = rows.join(full, "rep").groupBy("cluster").agg(F.collect_list(F.struct("rep", "set")).alias("r"))
-    return gathered.select("r").mapInArrow(run, "a long, b long")
+    return gathered.select("r").mapInArrow(lean(run), "a long, b long")
 
 
 def exact(sets: list[np.ndarray], per_cent: int) -> list[tuple[int, int]]:

@@ -6,7 +6,7 @@ import numpy as np
 
 SHINGLE = 5
 #: Bytes of text that are hashed at once.
-SLICE = 4 << 20
+SLICE = 1 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _BASE, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)

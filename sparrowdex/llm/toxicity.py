@@ -19,6 +19,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .language import letter_table, slices
 from .linear import Logistic, Sparse, fit_logistic
+from .workspace import lean
 
 BUCKETS = 1 << 20
 BEGINNINGS = (3, 4, 5, 6)
@@ -114,7 +115,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], sample_rows:
             yield pa.record_batch([pa.array(part.astype(np.int32)), *[pa.array(total[part, c].astype(np.int64)) for c in range(1 + len(categories))]], names=["bucket", *[f"n{c}" for c in range(1 + len(categories))]])
 
     names = [f"n{c}" for c in range(1 + len(categories))]
-    sums = sample.mapInArrow(count, "bucket int, " + ", ".join(f"{c} long" for c in names)).groupBy("bucket").agg(*[F.sum(c).alias(c) for c in names])
+    sums = sample.mapInArrow(lean(count), "bucket int, " + ", ".join(f"{c} long" for c in names)).groupBy("bucket").agg(*[F.sum(c).alias(c) for c in names])
     whole = sample.agg(F.count("*"), *[F.sum(F.element_at("y", j + 1)) for j in range(len(categories))]).first()
     size, positive = whole[0], [int(x or 0) for x in whole[1:]]
     # how far the share of a category's rows that have a feature is from that of the others, in standard errors
@@ -175,4 +176,4 @@ def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str =
             p = shared.value.predict(b.column(at).cast(pa.string()).to_pylist())
             yield pa.record_batch([*b.columns[:width], *[pa.array(p[:, j]) for j in range(len(names))]], names=[*b.schema.names[:width], *names])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)

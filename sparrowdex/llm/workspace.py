@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -36,6 +39,15 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def rows_of(batch, *names):
-    """Python lists of the named columns of an Arrow batch."""
-    return [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names]
+def lean(run):
+    """run, an iterator function of a worker, giving memory back to the system after it: workers live on for other tasks."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            return
+
+    return wrapped
