@@ -73,7 +73,7 @@ def scopes(types: DataFrame, key: str = "jvm_name") -> DataFrame:
     """(type, scope, depth): a type and the types around it, from the inside out."""
     parts = F.split(F.col(key), r"\$")
     levels = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda d: F.array_join(F.slice(parts, 1, F.size(parts) - d), "$"))
-    return types.select(F.col(key).alias("type"), F.posexplode(levels).alias("depth", "scope")).distinct()
+    return types.select(key, F.posexplode(levels).alias("depth", "scope")).distinct().withColumnRenamed(key, "type")
 
 
 def member_in_scope(refs: DataFrame, types: DataFrame, edges: DataFrame, most: int = 16) -> DataFrame:
