@@ -81,7 +81,8 @@ class Coder:
         of_words = self.values(coded.dictionary.to_pylist(), self.by_model)
         out: list[bytes] = [b""] * len(pieces)
         ends = np.frombuffer(pieces.buffers()[1], np.int64)[pieces.offset + 1 : pieces.offset + 1 + len(pieces)]
-        last = np.frombuffer(pieces.buffers()[2], np.uint8)[np.maximum(ends, 1) - 1] if len(pieces) else ends
+        data = pieces.buffers()[2]
+        last = np.frombuffer(data, np.uint8)[np.maximum(ends, 1) - 1] if data is not None and data.size and ends.max(initial=0) else ends
         at = np.flatnonzero(plain)
         for i, w, t, mark in zip(at.tolist(), coded.indices.to_pylist(), tail[at].tolist(), last[at].tolist(), strict=True):
             out[i] = of_words[w] + self.marks[mark] if t else of_words[w]
@@ -92,7 +93,7 @@ class Coder:
 
     def code(self, texts: pa.Array) -> Coded:
         """The ids of all texts; a null text is empty."""
-        parts = pc.ascii_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
+        parts = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(texts.cast(pa.large_string()).fill_null("")))
         flat = parts.flatten()
         coded = flat.dictionary_encode()
         values = self.distinct(coded.dictionary)

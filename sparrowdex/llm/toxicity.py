@@ -145,7 +145,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], sample_rows:
 
 def chain_models(x: Sparse, y: np.ndarray) -> list[Logistic]:
     """The models of a chain: each is fitted on the words and the out-of-fold probabilities of the categories before."""
-    fold = np.arange(x.rows) % FOLDS
+    fold = np.random.default_rng(3).permutation(x.rows) % FOLDS
     before, models = np.zeros((x.rows, 0)), []
     for j in range(y.shape[1]):
         dense, unseen = logit(before), np.zeros(x.rows)
