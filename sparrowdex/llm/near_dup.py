@@ -89,13 +89,15 @@ def roots() -> F.Column:
     return F.array(*[F.xxhash64(F.lit(t), F.element_at("sketch", int(c) + 1)) for t, c in enumerate(chosen)])
 
 
-def leaves(reps: DataFrame, first: F.Column) -> DataFrame:
-    """(node, rep): members of leaf nodes with at least two documents. reps: rep, sketch; first: its nodes at the root."""
+def leaves(reps: DataFrame, first: F.Column, meetings: int = 1) -> DataFrame:
+    """(node, rep): members of leaf nodes with at least two documents. reps: rep, sketch; first: its nodes at the root.
+
+    meetings: two documents that are alone in a node must be so in as many nodes."""
     rows = reps.select("rep", F.explode(first).alias("node"), F.lit(0).alias("parent"))
     found = []
     for depth in range(1, DEPTH + 1):
         nodes = stash(rows.groupBy("node").agg(F.count("*").alias("size"), F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.max("parent").alias("parent")).where("size > 1"), "nodes")
-        pairs = nodes.where("size = 2").select("lo", "hi").distinct()
+        pairs = nodes.where("size = 2").groupBy("lo", "hi").agg(F.count("*").alias("times")).where(F.col("times") >= meetings)
         found.append(pairs.select(F.xxhash64("lo", "hi").alias("node"), F.explode(F.array("lo", "hi")).alias("rep")))
         small = nodes.where((F.col("size") > 2) & (F.col("size") <= LEAF))
         found.append(rows.join(small.select("node"), "node").select("node", "rep"))
@@ -143,7 +145,10 @@ def clusters(members: DataFrame, reps: DataFrame, least: float, ratio: float) ->
                         out.append(np.sort(reps_[a:z][group]))
             yield pa.record_batch([pa.array(out, pa.list_(pa.int64()))], names=["members"])
 
-    rows = members.join(reps.select("rep", "n", "sketch"), "rep").groupBy("node").agg(F.collect_list(F.struct("rep", "n", "sketch")).alias("r"))
+    # many leaves hold the same documents: one of them is enough, and only its members need their sketches
+    same = members.groupBy("node").agg(F.sort_array(F.collect_set("rep")).alias("m")).select("m").distinct()
+    each = same.select(F.xxhash64("m").alias("node"), F.explode("m").alias("rep"))
+    rows = each.join(reps.select("rep", "n", "sketch"), "rep").groupBy("node").agg(F.collect_list(F.struct("rep", "n", "sketch")).alias("r"))
     return rows.select("r").mapInArrow(lean(run), "members array<long>").distinct()
 
 
