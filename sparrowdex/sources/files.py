@@ -7,17 +7,17 @@ parsed on its own, so a scan is one pass without an exchange; a file that fails
 from __future__ import annotations
 
 import io
-import json
 import zipfile
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
 from .. import schemas
 from ..functions import names
-from . import classfile, javasource
+from . import classfile, image, javasource
 
 #: Rows of resources that a task hands over at once.
 ROWS = 64
@@ -81,13 +81,8 @@ def expand_archives(archives: DataFrame) -> DataFrame:
     return archives.select("source_uri", "content").mapInArrow(run, schemas.RESOURCE)
 
 
-def image_sources(spark: SparkSession, home: str) -> DataFrame:
-    """(source_uri) of a Java home's image; its classes are read from the jmods folder, where there is one."""
-    return spark.createDataFrame([(f"jrt://{home}",)], "source_uri string")
-
-
-def read_image(spark: SparkSession, home: str) -> DataFrame:
-    """Resources of a Java home: the classes of its jmods, whose entries stand below `classes/`."""
+def read_jmods(spark: SparkSession, home: str) -> DataFrame:
+    """Resources of a Java home's jmods, where it has them instead of, or beside, an image; classes stand below `classes/`."""
     found = read_archives(spark, f"{home.rstrip('/')}/jmods", "*.jmod")
     inner = F.regexp_replace("resource_path", "^classes/", "")
     module = F.regexp_extract("source_uri", r"([^/]*)\.jmod$", 1)
@@ -100,7 +95,8 @@ def parse(resources: DataFrame, surface_names: bool = False, record_components:
     surface_names or bytecode="surface": names of class files come from their declared surface only.
     record_components=False leaves those of sources empty.
     """
-    schema = pa.schema([("source_uri", pa.string()), ("resource_path", pa.string()), ("origin", pa.string()), ("size", pa.int64()), ("types", pa.list_(pa.string())), ("modules", pa.list_(pa.string())), ("names", pa.list_(pa.string())), ("error", pa.string())])
+    spark_schema = _parse_datatype_string(schemas.PARSED)
+    schema = to_arrow_schema(spark_schema)
     surface = surface_names or bytecode == "surface"
 
     def one(uri, path, data, error):
@@ -111,7 +107,7 @@ def parse(resources: DataFrame, surface_names: bool = False, record_components:
                 if not record_components and origin == "source":
                     for t in types:
                         t["record_components"] = []
-                return uri, path, origin, len(data), [json.dumps(t) for t in types], [json.dumps(m) for m in modules], mentioned, None
+                return uri, path, origin, len(data), types, modules, mentioned, None
             except Exception as e:  # noqa: BLE001  one file's failure is a row of its own
                 error = f"{type(e).__name__}: {e}"
         return uri, path, origin, len(data or b""), [], [], [], error
@@ -122,9 +118,7 @@ def parse(resources: DataFrame, surface_names: bool = False, record_components:
                 rows = [one(*x) for x in zip(*[c.to_pylist() for c in b.slice(at, ROWS).columns], strict=True)]
                 yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    raw = resources.select("source_uri", "resource_path", "content", "error").mapInArrow(run, "source_uri string, resource_path string, origin string, size long, types array<string>, modules array<string>, names array<string>, error string")
-    of = lambda column, struct: F.transform(column, lambda x: F.from_json(x, _parse_datatype_string(struct)))
-    return raw.withColumn("types", of("types", schemas.TYPE_STRUCT)).withColumn("modules", of("modules", schemas.MODULE_STRUCT))
+    return resources.select("source_uri", "resource_path", "content", "error").mapInArrow(run, spark_schema)
 
 
 def type_entries(parsed: DataFrame) -> DataFrame:
@@ -147,9 +141,9 @@ def failures(parsed: DataFrame) -> DataFrame:
     return parsed.where("error is not null").select("source_uri", "resource_path", "error")
 
 
-def scan(spark: SparkSession, directories: list[str] = (), archives: list[str] = (), **options) -> DataFrame:
-    """Parsed resources of archives and directories, archives first; an unreadable source is a row with an error."""
-    parts = [read_archives(spark, a) for a in archives] + [read_directory(spark, d) for d in directories]
+def scan(spark: SparkSession, directories: list[str] = (), archives: list[str] = (), homes: list[str] = (), **options) -> DataFrame:
+    """Parsed resources of archives and Java homes, then directories; an unreadable archive is a row with an error."""
+    parts = [read_archives(spark, a) for a in archives] + [image.read_image(spark, h) for h in homes] + [read_directory(spark, d) for d in directories]
     if not parts:
         return parse(spark.createDataFrame([], schemas.RESOURCE), **options)
     out = parts[0]

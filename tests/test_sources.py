@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparrowdex.operators import classpath, hierarchy
-from sparrowdex.sources import classfile, files, javasource, manifest
+from sparrowdex.sources import classfile, files, image, javasource, manifest
 
 SOURCE = '''
 package demo.x; // not a { brace
@@ -124,3 +124,18 @@ def test_manifest(spark, tmp_path):
 def test_source_uri(spark):
     got = lambda p: spark.range(1).select(files.source_uri(F.lit(p)).alias("u")).first().u
     assert got("file:/a/b.jar") == got("/a/b.jar") == got("file:///a/b.jar") == "file:///a/b.jar" and got("hdfs://x/y") == "hdfs://x/y"
+
+
+def test_java_image(spark):
+    import shutil
+
+    java = shutil.which("java")
+    home = os.path.dirname(os.path.dirname(os.path.realpath(java))) if java else ""
+    if not os.path.exists(f"{home}/lib/modules"):
+        pytest.skip("no Java image here")
+    one = image.read_image(spark, home).where(F.col("resource_path").rlike("^modules/java.base/(java/util/ArrayList|module-info).class$"))
+    parsed = files.parse(one).cache()
+    row = files.type_entries(parsed).first()
+    assert row.jvm_name == "java/util/ArrayList" and row.super_sig == "Ljava/util/AbstractList<TE;>;" and row.resource_uri == f"jrt://{home}!/modules/java.base/java/util/ArrayList.class"
+    module = files.module_entries(parsed).first()
+    assert module.name == "java.base" and "java/util" in [e["package"] for e in module.exports] and "java/util" in module.packages
