@@ -101,6 +101,22 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_language_id": op10_language_id,
 }
+OP2_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), grams AS (
+  SELECT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM words
+), sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+met AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT a, b FROM met JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)
+), arcs AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(d, r) AS (SELECT a, a FROM arcs UNION SELECT reach.d, arcs.b FROM reach JOIN arcs ON reach.r = arcs.a),
+least AS (SELECT d, min(r) AS r FROM reach GROUP BY d)
+SELECT w.doc_id, CAST(coalesce(s.n, 0) AS BIGINT) AS n_shingles, coalesce(l.r, w.doc_id) AS component_id, w.doc_id = coalesce(l.r, w.doc_id) AS kept
+FROM words w LEFT JOIN sizes s ON s.doc_id = w.doc_id LEFT JOIN least l ON l.d = w.doc_id
+"""
+
 OP3_SQL = """
 WITH p AS (
   SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
@@ -111,6 +127,17 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
 FROM f
 """
 
+#: The tables' pages have one article each, and these character references.
+OP5_SQL = r"""
+WITH parts AS (
+  SELECT page_id, url, string_split_regex(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1), '</?(p|h[1-6])>') AS b FROM pages
+), clean AS (
+  SELECT page_id, url, list_filter(list_transform(b, lambda x: trim(regexp_replace(
+    regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '<[^>]*>', '', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&#x27;?', chr(39), 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))), lambda x: x <> '') AS b FROM parts
+)
+SELECT page_id, url, array_to_string(b, chr(10)) AS text, CAST(length(array_to_string(b, chr(10))) AS BIGINT) AS n_chars FROM clean
+"""
+
 OP6_SQL = """
 WITH v AS (
   SELECT CAST(vec_id AS BIGINT) AS vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS w
@@ -126,6 +153,8 @@ FROM scored QUALIFY rank <= 5
 """
 
 ORACLES: dict[str, str] = {
+    "op2_near_dup": OP2_SQL,
     "op3_warc": OP3_SQL,
+    "op5_main_text": OP5_SQL,
     "op6_top_k": OP6_SQL,
 }
