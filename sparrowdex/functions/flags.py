@@ -11,6 +11,8 @@ ANNOTATION, ENUM, MODULE, RECORD, DEPRECATED = 0x2000, 0x4000, 0x8000, 0x10000,
 MODULE_FLAG, VARARGS_FLAG, DEFAULT_FLAG = 1 << 51, 1 << 34, 1 << 43
 DEPRECATED_FLAG, DEPRECATED_ANNOTATION, DEPRECATED_REMOVAL = 1 << 17, 1 << 46, 1 << 55
 EXTRA_RECORD, EXTRA_SEALED, DEFAULT_ANNOTATION = 1 << 24, 1 << 28, 0x20000
+#: A flag of binary members, and a bit among the tags of annotated ones.
+DEPRECATED_BIT, TAG_DEPRECATED = 0x100000, 1 << 46
 DEPRECATED_SIG = "Ljava/lang/Deprecated;"
 
 
@@ -83,7 +85,7 @@ def binary_class_modifiers(modifiers: Column | str, kind: Column | str, permitte
     flags = add(without(raw, RECORD), EXTRA_RECORD, has(raw, RECORD))
     flags = add(flags, SUPER, ~has(flags, INTERFACE))
     flags = add(flags, EXTRA_SEALED, F.coalesce(F.size(_col(permitted)) > 0, F.lit(False)))
-    return add(flags, 0x100000, deprecated(annotations))
+    return add(flags, DEPRECATED_BIT, deprecated(annotations))
 
 
 def binary_method_modifiers(modifiers: Column | str, varargs: Column | str, has_body: Column | str, owner_kind: Column | str, has_default: Column | str) -> Column:
@@ -94,6 +96,22 @@ def binary_method_modifiers(modifiers: Column | str, varargs: Column | str, has_
     return add(flags, DEFAULT_ANNOTATION, _col(has_default))
 
 
+def binary_field_modifiers(modifiers: Column | str, owner_kind: Column | str, annotations: Column | str) -> Column:
+    return add(field_flags(modifiers, owner_kind), DEPRECATED_BIT, deprecated(annotations))
+
+
+def binary_inner_class_modifiers(modifiers: Column | str, kind: Column | str, permitted: Column | str, annotations: Column | str, outer_modifiers: Column | str, outer_kind: Column | str) -> Column:
+    flags = binary_class_modifiers(modifiers, kind, permitted, annotations)
+    from_source = _col(kind).isNotNull()
+    flags = add(flags, PUBLIC | STATIC, from_source & is_interface(outer_modifiers, outer_kind))
+    return add(flags, STATIC, from_source & _col(kind).isin("INTERFACE", "ANNOTATION", "ENUM", "RECORD"))
+
+
+def annotation_tags(annotations: Column | str) -> Column:
+    """Tag bits that annotations give: that of Deprecated."""
+    return F.when(deprecated(annotations), F.lit(TAG_DEPRECATED)).otherwise(F.lit(0)).cast("long")
+
+
 def symbol_kind(modifiers: Column | str, kind: Column | str) -> Column:
     m = _col(modifiers).cast("long")
     binary = F.when(has(m, ANNOTATION | INTERFACE), "Interface").when(has(m, ENUM), "Enum").otherwise("Class")

@@ -88,6 +88,20 @@ def longest_root(uris: DataFrame, uri: str, roots: list[str]) -> DataFrame:
     return uris.select(uri).distinct().withColumn("root", F.when(at >= 0, F.element_at(F.array(*map(F.lit, longest)), at + 1)) if longest else F.lit(None).cast("string"))
 
 
+def find_type(types: DataFrame, name: str, path: list[str] | None, ties: list[str]) -> DataFrame:
+    """The declaration that a class name means on a search path: one row or none. Dots may stand for slashes."""
+    jvm = name.replace(".", "/")
+    return pick(types.where(F.col("jvm_name") == jvm), "jvm_name", "source_uri", path, ties)
+
+
+def list_types(types: DataFrame, package: str, path: list[str] | None, ties: list[str], recursive: bool = False) -> DataFrame:
+    """The declarations of a package that its names mean on a search path."""
+    inside = F.col("package_jvm") == package
+    if recursive:
+        inside = inside | F.startswith("package_jvm", F.lit(package + "/")) if package else F.lit(True)
+    return pick(types.where(inside), "jvm_name", "source_uri", path, ties)
+
+
 def build_path(namespace: DataFrame, targets: DataFrame, modules: DataFrame, transitive: bool = False) -> DataFrame:
     """(namespace, rank, prefix) in the order: own sources, sources of direct dependencies, dependency jars, the image.
 

@@ -146,5 +146,23 @@ def diagnostics(rows: DataFrame, uri: str, source: str) -> DataFrame:
     return rows.where(F.col("uri") == uri).select("uri", start.alias("start_off"), end.alias("end_off"), "message", severity.alias("severity"), F.lit(source).alias("source"), "code").distinct()
 
 
+def synthetic_problem(uri: str, error: str) -> dict:
+    """What is published where a compiler fails: one error at the start of the file."""
+    return {"uri": uri, "start_off": 0, "end_off": 0, "message": error, "severity": 1, "source": "index", "code": None}
+
+
+def published(documents: DataFrame, problems: DataFrame, uri: str = "uri") -> DataFrame:
+    """(uri, problems): the problems of each open document in order, empty for those without: they clear what was shown."""
+    place = F.struct("start_off", "end_off", "message", "severity", "source", "code")
+    listed = problems.groupBy(uri).agg(F.sort_array(F.collect_list(place)).alias("problems"))  # as many as one document has
+    none = F.array().cast(listed.schema["problems"].dataType)
+    return documents.select(uri).distinct().join(listed, uri, "left").withColumn("problems", F.coalesce("problems", none))
+
+
+def name_range(occurrences: DataFrame) -> DataFrame:
+    """Occurrences whose range is that of the name at their end."""
+    return occurrences.withColumn("start_off", F.col("end_off") - F.length("name"))
+
+
 def coalesced_problems(rows: DataFrame, code: str, message: Column | str, place: Column | str, limit: int | None = None) -> DataFrame:
     return stats.coalesced_problems(rows, code, message, place, limit)
