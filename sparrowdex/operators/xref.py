@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,20 +53,40 @@ def finalize(references: DataFrame, declaration: DataFrame, place: list[str], in
     return references.select(*place).distinct().join(declaration.select(*place), place, "left_anti")
 
 
+def _places(cut: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, name, line, col, start_off, end_off) from rows (keys, i, name, gap): the i-th name and the text before it.
+
+    Only numbers go through the exchange: the length of a gap, its line breaks, and what follows the last of them.
+    """
+    gap = F.col("gap")
+    rows = cut.select(*keys, "i", "name", F.length("name").alias("size"), F.length(gap).alias("before"), (F.length(gap) - F.length(F.replace(gap, F.lit("\n"), F.lit("")))).alias("breaks"), F.length(F.substring_index(gap, "\n", -1)).alias("after"))
+    w = Window.partitionBy(*keys).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    ends = rows.withColumn("end_off", F.sum(F.col("before") + F.col("size")).over(w)).withColumn("line", F.sum("breaks").over(w)).withColumn("start_off", F.col("end_off") - F.col("size"))
+    ends = ends.withColumn("line_start", F.coalesce(F.last(F.when(F.col("breaks") > 0, F.col("start_off") - F.col("after")), True).over(w), F.lit(0)))
+    return ends.select(*keys, "name", F.col("line").cast("int").alias("line"), (F.col("start_off") - F.col("line_start")).cast("int").alias("col"), F.col("start_off").cast("int").alias("start_off"), F.col("end_off").cast("int").alias("end_off"))
+
+
 def token_positions(texts: DataFrame, keys: list[str], text: str = "text", pattern: str = IDENTIFIER) -> DataFrame:
-    """(keys, name, line, col, start_off, end_off) of each identifier, lines and columns from 0.
+    """(keys, name, line, col, start_off, end_off) of each identifier, lines and columns from 0; keys tell texts apart.
 
     The text is cut at its identifiers once: the k-th gap and the k-th identifier give the offsets by running sums, so
     the work is in proportion to the text.
     """
     named = texts.select(*keys, F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0)).alias("__n"), F.split(F.col(text), pattern).alias("__g"))
-    zipped = named.select(*keys, F.posexplode(F.arrays_zip(F.col("__n").alias("n"), F.slice("__g", F.lit(1), F.size("__n")).alias("g"))).alias("i", "z")).select(*keys, "i", F.col("z.n").alias("name"), F.col("z.g").alias("gap"))
-    w = Window.partitionBy(*keys).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    ends = zipped.withColumn("end_off", F.sum(F.length("gap") + F.length("name")).over(w)).withColumn("breaks", F.length("gap") - F.length(F.replace("gap", F.lit("\n"), F.lit(""))))
-    ends = ends.withColumn("line", F.sum("breaks").over(w)).withColumn("start_off", F.col("end_off") - F.length("name"))
-    begins = F.when(F.col("breaks") > 0, F.col("start_off") - F.length(F.substring_index("gap", "\n", -1)))
-    ends = ends.withColumn("line_start", F.coalesce(F.last(begins, True).over(w), F.lit(0)))
-    return ends.select(*keys, "name", F.col("line").cast("int").alias("line"), (F.col("start_off") - F.col("line_start")).cast("int").alias("col"), F.col("start_off").cast("int").alias("start_off"), F.col("end_off").cast("int").alias("end_off"))
+    zipped = named.select(*keys, F.posexplode(F.arrays_zip(F.col("__n").alias("n"), F.slice("__g", F.lit(1), F.size("__n")).alias("g"))).alias("i", "z"))
+    return _places(zipped.select(*keys, "i", F.col("z.n").alias("name"), F.col("z.g").alias("gap")), keys)
+
+
+def name_positions(texts: DataFrame, keys: list[str], name: str, text: str = "text", letters: str = "A-Za-z_$") -> DataFrame:
+    """The rows of token_positions of one ASCII name: texts without it are passed over, the others are cut at it alone.
+
+    A name does not stand inside a longer one; digits before it belong to it only after a letter (40 of them at most). letters: what
+    a name can begin with, as a regular expression's range.
+    """
+    pattern = f"(?<![{letters}][0-9]{{0,40}}){re.escape(name)}(?![{letters}0-9])"
+    cut = texts.where(F.contains(F.col(text), F.lit(name))).select(*keys, F.split(F.col(text), pattern).alias("__g"))
+    pieces = cut.where(F.size("__g") > 1).select(*keys, F.posexplode(F.slice("__g", F.lit(1), F.size("__g") - 1)).alias("i", "gap"))
+    return _places(pieces.withColumn("name", F.lit(name)), keys)
 
 
 def line_starts(texts: DataFrame, keys: list[str], text: str = "text", count_cr: bool = True) -> DataFrame:

@@ -175,8 +175,7 @@ WITH parts AS (
 
 @query(POSITIONS + f"SELECT doc_id, line, col, start_off, end_off FROM places WHERE name = '{WORD}'")
 def occurrences(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where(F.contains("text", F.lit(WORD)))
-    return xref.token_positions(docs, ["doc_id"], pattern=ASCII_NAME).where(F.col("name") == WORD).drop("name")
+    return xref.name_positions(table(spark, sf_dir, "documents"), ["doc_id"], WORD, letters="A-Za-z_").drop("name")
 
 
 @query(f"""
@@ -199,8 +198,8 @@ def reference_candidates(spark, sf_dir):
 
 
 def _references(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """The places of the word, and as its declaration those at which a document begins with it or names it first."""
-    found = xref.token_positions(table(spark, sf_dir, "documents").where(F.contains("text", F.lit(WORD))), ["doc_id"], pattern=ASCII_NAME).where(F.col("name") == WORD)
+    """The places of the word, and as its declaration the first place of each document."""
+    found = xref.name_positions(table(spark, sf_dir, "documents"), ["doc_id"], WORD, letters="A-Za-z_")
     return found, found.groupBy("doc_id").agg(F.min("start_off").alias("start_off"))
 
 

@@ -148,6 +148,9 @@ def test_references_in_two_files(spark):
     assert {r.path for r in xref.candidates(ids.withColumnRenamed("path", "resource_path"), "greet").withColumnRenamed("resource_path", "path").collect()} == {"Greeter.java", "Main.java"}
     places = xref.token_positions(texts, ["path"]).where("name = 'greet'")
     assert {(r.path, r.line, r.col, r.start_off) for r in places.collect()} == {("Greeter.java", 1, 7, 23), ("Main.java", 2, 23, 37)}
+    assert sorted(map(tuple, xref.name_positions(texts, ["path"], "greet").collect())) == sorted(map(tuple, places.collect()))
+    tricky = spark.createDataFrame([("t", "greet greeting a1greet 9greet _greet greet1\nxgreet greet.greet $greet")], "path string, text string")
+    assert sorted(map(tuple, xref.name_positions(tricky, ["path"], "greet").collect())) == sorted(map(tuple, xref.token_positions(tricky, ["path"]).where("name = 'greet'").collect()))
     decl = places.where("path = 'Greeter.java'")
     keys = ["path", "line", "col"]
     assert xref.finalize(places, decl, keys, True).count() == 2 and [r.path for r in xref.finalize(places, decl, keys, False).collect()] == ["Main.java"]
