@@ -3,7 +3,7 @@
 The vocabulary's normaliser turns runs of white space into one space and its splitter drops them, so no token and no
 normalisation step reaches across ASCII white space: the ids of a text are those of its pieces in order. A batch of texts
 is split and its distinct pieces are found in Arrow; a distinct piece that is a word of plain letters, or one and a final
-mark, is looked up by its lower-case word. Each worker keeps the ids of up to MEMO_ROWS words.
+mark, is looked up by its lower-case word. Each worker keeps the ids of the words it met last, twice MEMO_ROWS of them at most.
 """
 
 from __future__ import annotations
@@ -15,9 +15,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-MEMO_ROWS = 300_000
+MEMO_ROWS = 250_000
 #: Text that is coded at once.
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 4 << 20
 _loaded: dict[str, object] = {}
 
 
@@ -52,6 +52,7 @@ class Coder:
         loaded = tokenizer(path)
         self.encode, self.split = loaded.encode, loaded.model.tokenize
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.marks = {ord(m): self.by_chain(m) for m in MARKS}
 
     def by_chain(self, text: str) -> bytes:
@@ -65,47 +66,50 @@ class Coder:
 
     def values(self, keys: list[str], code) -> list[bytes]:
         found = list(map(self.words.get, keys))
-        if len(self.words) > MEMO_ROWS:
-            self.words.clear()
         for i, v in enumerate(found):
             if v is None:
-                found[i] = self.words[keys[i]] = code(keys[i])
+                k = keys[i]
+                v = self.older.get(k)
+                found[i] = self.words[k] = code(k) if v is None else v
+        if len(self.words) > MEMO_ROWS:  # words that are met again move on, the others go
+            self.words, self.older = {}, self.words
         return found
 
-    def distinct(self, pieces: pa.Array) -> list[bytes]:
-        """The ids of each of some distinct pieces."""
+    def distinct(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, starts, lengths): each of some distinct pieces is two runs of ids, one row of starts and lengths."""
         word = pc.utf8_rtrim(pieces, MARKS)
         tail = pc.subtract(pc.binary_length(pieces), pc.binary_length(word)).to_numpy(zero_copy_only=False)
         plain = pc.match_substring_regex(word, PLAIN).to_numpy(zero_copy_only=False) & (tail < 2)
         coded = pc.utf8_lower(word.filter(pa.array(plain))).dictionary_encode()
-        of_words = self.values(coded.dictionary.to_pylist(), self.by_model)
-        out: list[bytes] = [b""] * len(pieces)
-        ends = np.frombuffer(pieces.buffers()[1], np.int64)[pieces.offset + 1 : pieces.offset + 1 + len(pieces)]
-        data = pieces.buffers()[2]
-        last = np.frombuffer(data, np.uint8)[np.maximum(ends, 1) - 1] if data is not None and data.size and ends.max(initial=0) else ends
-        at = np.flatnonzero(plain)
-        for i, w, t, mark in zip(at.tolist(), coded.indices.to_pylist(), tail[at].tolist(), last[at].tolist(), strict=True):
-            out[i] = of_words[w] + self.marks[mark] if t else of_words[w]
         rest = np.flatnonzero(~plain)
-        for i, v in zip(rest.tolist(), self.values(pieces.take(pa.array(rest)).to_pylist(), self.by_chain), strict=True):
-            out[i] = v
-        return out
+        runs = [*self.values(coded.dictionary.to_pylist(), self.by_model), *self.values(pieces.take(pa.array(rest)).to_pylist(), self.by_chain), *self.marks.values()]
+        sizes = np.fromiter(map(len, runs), np.int64, len(runs)) // 4
+        begins = np.cumsum(sizes) - sizes
+        first = np.zeros(len(pieces), np.int64)
+        first[plain] = coded.indices.to_numpy(zero_copy_only=False)
+        first[rest] = len(coded.dictionary) + np.arange(len(rest))
+        marked = np.flatnonzero(plain & (tail == 1))
+        ends = np.frombuffer(pieces.buffers()[1], np.int64)[pieces.offset + 1 : pieces.offset + 1 + len(pieces)]
+        place = np.zeros(256, np.int64)
+        place[list(self.marks)] = len(runs) - len(self.marks) + np.arange(len(self.marks))
+        starts, lengths = np.zeros((len(pieces), 2), np.int64), np.zeros((len(pieces), 2), np.int64)
+        starts[:, 0], lengths[:, 0] = begins[first], sizes[first]
+        if len(marked):
+            which = place[np.frombuffer(pieces.buffers()[2], np.uint8)[ends[marked] - 1]]
+            starts[marked, 1], lengths[marked, 1] = begins[which], sizes[which]
+        return np.frombuffer(b"".join(runs), "<u4"), starts, lengths
 
     def code(self, texts: pa.Array) -> Coded:
         """The ids of all texts; a null text is empty."""
         parts = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(texts.cast(pa.large_string()).fill_null("")))
-        flat = parts.flatten()
-        coded = flat.dictionary_encode()
-        values = self.distinct(coded.dictionary)
-        sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
-        ids = np.frombuffer(b"".join(values), "<u4")
+        coded = parts.flatten().dictionary_encode()
+        ids, starts, lengths = self.distinct(coded.dictionary)
         which = coded.indices.to_numpy(zero_copy_only=False)
-        n = sizes[which]
+        n = lengths[which].ravel()
         ends = np.cumsum(n)
-        total = int(ends[-1]) if len(ends) else 0
-        at = np.repeat((np.cumsum(sizes) - sizes)[which] - (ends - n), n) + np.arange(total)
+        at = np.repeat(starts[which].ravel() - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)
         of_text = parts.value_lengths().to_numpy(zero_copy_only=False)
-        return Coded(ids[at], np.concatenate([[0], ends]), np.concatenate([[0], np.cumsum(of_text)]).astype(np.int64))
+        return Coded(ids[at], np.concatenate([[0], ends[1::2]]), np.concatenate([[0], np.cumsum(of_text)]).astype(np.int64))
 
 
 class Coded:
