@@ -25,6 +25,8 @@ ROLES = frozenset("navigation banner contentinfo complementary search dialog ale
 HINTS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe subscription signup login paywall sidebar aside nav navbar navigation menu breadcrumb breadcrumbs toc footer header masthead topbar comment comments commentlist disqus respond reply replies related recommended recommendations share sharing social widget widgets pagination pager toolbar skip".split()
 )
+#: With one of these, a class tells how what is around the text is laid out.
+LAYOUT = frozenset("has with no without layout".split())
 REGION, SIGMA = 0.75, 1.0
 
 
@@ -77,7 +79,7 @@ class Lines(HTMLParser):
                 words = set(re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", v).lower()))
                 if self.inside:
                     words -= {"header"}
-                if words & HINTS:
+                if words & HINTS and not words & LAYOUT:
                     return True
         return False
 

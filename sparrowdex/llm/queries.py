@@ -58,7 +58,7 @@ def toxicity_chain(docs: DataFrame, labels: DataFrame) -> toxicity.Chain:
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = toxicity.score(docs, toxicity_chain(docs, table(spark, sf_dir, "labels")))
-    return out.withColumn("rejected", F.col("p_toxic") >= TOXIC_FROM)
+    return out.withColumn("toxic", F.col("p_toxic") >= TOXIC_FROM)
 
 
 def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

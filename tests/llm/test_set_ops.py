@@ -150,6 +150,8 @@ PAGES = [
     ('<div id="cookie-notice">We use cookies and so on for ever and ever</div><div class="post"><p>A long paragraph of the text, which goes on.</p><p>Short</p></div><div class="comments"><p>A reader says a lot of things here, at length.</p></div>', "A long paragraph of the text, which goes on.\nShort"),
     ('<header>Site</header><main><header><h1>Title</h1></header><p>Body text that is here &#233;&eacute;.</p><form>q<input></form><aside>side</aside><script>if (a<b) x="</p>";</script></main>', "Title\nBody text that is here éé."),
     ("<p>a<br>b <b>c</b>d</p>", "a b cd"), ("plain text", "plain text"), ("<ul><li>one<li>two</ul>", "one\ntwo"), ("<article><p>cut here and the tag is bro</p><p>next <a hre", "cut here and the tag is bro\nnext"),
+    ('<body class="dark"><div class="layout-with-sidebar"><article><p>The text of the article itself.</p></article><div class="sidebar"><p>Links and more links</p></div></div></body>', "The text of the article itself."),
+    ('<div class="top-header">Brand</div><div class="page"><div id="content"><h2>Heading</h2><p>First part of the text is long enough to see.</p><p>Then.</p><div class="ad-box">Buy this now, it is very cheap and very good</div><p>The last part of the text is long as well.</p></div><div class="newsletter"><p>Subscribe to get our mails every day</p></div></div><div class="footer">(c)</div>', "Heading\nFirst part of the text is long enough to see.\nThen.\nThe last part of the text is long as well."),
     ("", ""), (None, ""), ("<!-- only -->", ""), ("<nav>menu</nav>", ""), ("&lt;p&gt; &amp; &copy", "<p> & ©"),
     ('<article><p>Text of the article goes here.</p><div class="share">Share</div><section id="comments"><article class="comment"><p>no</p></article></section></article>', "Text of the article goes here."),
 ]
