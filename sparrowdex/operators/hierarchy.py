@@ -59,15 +59,16 @@ def closure(edges: DataFrame, starts: DataFrame, sub: str = "sub_jvm", sup: str
     """(start, reached, depth): all supertypes of the starts (column `start`) with the least depth; cycles end.
 
     Semi-naive: each round joins only what the last round reached first. A hierarchy is as deep as its longest chain,
-    so the rounds are few, and each is one join and one aggregation.
+    so the rounds are few, and each is one join and one aggregation. A round's result is kept: checkpointed where the
+    session names a folder for that, else cached, and computed again if an executor with it is lost.
     """
+    keep = (lambda df: df.checkpoint()) if edges.sparkSession.conf.get("spark.checkpoint.dir", None) else (lambda df: df.persist())
     pairs = edges.select(F.col(sub).alias("__sub"), F.col(sup).alias("__sup")).distinct()
     reached = frontier = starts.select("start").distinct().join(pairs, F.col("start") == F.col("__sub")).select("start", F.col("__sup").alias("reached"), F.lit(1).alias("depth"))
+    reached = frontier = keep(frontier)
     for depth in range(2, most + 1):
         step = frontier.join(pairs, F.col("reached") == F.col("__sub")).select("start", F.col("__sup").alias("reached")).distinct()
-        frontier = step.join(reached.select("start", "reached"), ["start", "reached"], "left_anti").withColumn("depth", F.lit(depth))
-        if depth % 4 == 0 and edges.sparkSession.conf.get("spark.checkpoint.dir", None):
-            frontier = frontier.checkpoint()
+        frontier = keep(step.join(reached.select("start", "reached"), ["start", "reached"], "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
         reached = reached.unionByName(frontier)
