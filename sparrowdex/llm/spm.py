@@ -13,6 +13,7 @@ state follows from earlier ones as in Viterbi's recurrence and depends on the pr
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -25,7 +26,7 @@ from .pieces import batches_of
 from .workspace import lean
 
 MARK = "▁"
-UNITS_KEPT, PAIRS_KEPT = 500_000, 1_000_000
+UNITS_KEPT, PAIRS_KEPT = 300_000, 600_000
 _loaded: dict[str, Model] = {}
 
 
@@ -42,11 +43,7 @@ class Model:
         self.ids = {sp.id_to_piece(i): i for i in plain}
         self.scores = {sp.id_to_piece(i): sp.get_score(i) for i in plain}
         self.bytes = {int(sp.id_to_piece(i)[3:5], 16): i for i in range(n) if sp.is_byte(i)}
-        self.longest = max(map(len, self.ids))
-        self.ends: dict[str, set[int]] = {}  # last character -> lengths of the pieces that end with it
-        for p in self.ids:
-            self.ends.setdefault(p[-1], set()).add(len(p))
-        self.lengths = {c: sorted(s, reverse=True) for c, s in self.ends.items()}
+        self.lengths = piece_lengths(self.ids)
         text = [b""] * n
         for p, i in self.ids.items():
             text[i] = p.replace(MARK, " ").encode()
@@ -55,7 +52,8 @@ class Model:
         self.piece_sizes = np.array([len(t) for t in text], np.int64)
         self.piece_starts = np.cumsum(self.piece_sizes) - self.piece_sizes
         self.piece_bytes = np.frombuffer(b"".join(text), np.uint8)
-        self.units: dict[str, np.ndarray] = {}
+        self.units: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
 
     def merged(self, text: str) -> list[str]:
@@ -83,62 +81,81 @@ class Model:
     def encode_sorted(self, units: list[str]):
         """The pieces of each of some sorted units."""
         last: list[str] = [""]  # last[i]: last piece of the prefix of i characters
-        total: list[float] = [0.0]
+        total: list[float] = [0.0]  # its score; BPE has none
+        step = self.step_bpe if self.bpe else self.step_unigram
         before = ""
         for unit in units:
-            same, most = 0, min(len(before), len(unit))
-            while same < most and before[same] == unit[same]:
+            same = 0
+            for a, b in zip(before, unit):  # noqa: B905  up to the shorter one
+                if a != b:
+                    break
                 same += 1
             del last[same + 1 :], total[same + 1 :]
-            for i in range(same + 1, len(unit) + 1):
-                self.step(unit, i, last, total)
+            step(unit, same + 1, last, total)
             before = unit
             out, i = [], len(unit)
             while i:
-                out.append(last[i])
-                i -= len(last[i])
-            yield out[::-1]
-
-    def step(self, unit: str, i: int, last: list[str], total: list[float]):
-        """The forward state of unit[:i] from the states of shorter prefixes."""
-        scores, char = self.scores, unit[i - 1]
-        if self.bpe:
-            for n in self.lengths.get(char, ()):
+                piece = last[i]
+                out.append(piece)
+                i -= len(piece)
+            out.reverse()
+            yield out
+
+    def step_bpe(self, unit: str, first: int, last: list[str], total: list[float]):
+        """The forward states of the prefixes from `first` characters on."""
+        known, pairs, lengths = self.ids, self.pairs, self.lengths
+        for i in range(first, len(unit) + 1):
+            for n in lengths.get(unit[i - 2 : i], ()) if i > 1 else ():
                 if n <= i:
                     t = unit[i - n : i]
-                    if t in scores and self.border(last[i - n], t):
-                        last.append(t)
-                        total.append(0.0)
-                        return
-            last.append(char)
+                    if t in known:
+                        pair = (last[i - n], t)
+                        ok = pairs.get(pair)
+                        if ok or ok is None and self.border(*pair):
+                            last.append(t)
+                            break
+            else:
+                last.append(unit[i - 1])
             total.append(0.0)
-            return
-        best, piece = total[i - 1] - 1e6, char  # an unknown character costs more than any path of pieces
-        for n in self.lengths.get(char, ()):
-            if n <= i and (t := unit[i - n : i]) in scores and total[i - n] + scores[t] > best:
-                best, piece = total[i - n] + scores[t], t
-        last.append(piece)
-        total.append(best)
-
-    def to_ids(self, pieces: list[str]) -> np.ndarray:
-        out: list[int] = []
-        for p in pieces:
-            if (i := self.ids.get(p)) is not None:
-                out.append(i)
-            elif self.bytes:
-                out += [self.bytes[b] for b in p.encode()]
-            elif not out or out[-1] != self.unknown:
-                out.append(self.unknown)
-        return np.array(out, np.int32)
-
-    def values(self, units: list[str]) -> list[np.ndarray]:
+
+    def step_unigram(self, unit: str, first: int, last: list[str], total: list[float]):
+        scores = self.scores
+        for i in range(first, len(unit) + 1):
+            piece = unit[i - 1]
+            best = total[i - 1] + scores.get(piece, -1e6)  # an unknown character costs more than any path of pieces
+            for n in self.lengths.get(unit[i - 2 : i], ()) if i > 1 else ():
+                if n <= i and (t := unit[i - n : i]) in scores and total[i - n] + scores[t] > best:
+                    best, piece = total[i - n] + scores[t], t
+            last.append(piece)
+            total.append(best)
+
+    def to_ids(self, pieces: list[str]) -> bytes:
+        """The ids as little-endian 32-bit numbers; a character that is no piece becomes its bytes, or the unknown id."""
+        out = [self.ids.get(p) for p in pieces]
+        if None in out:
+            out = []
+            for p in pieces:
+                if (i := self.ids.get(p)) is not None:
+                    out.append(i)
+                elif self.bytes:
+                    out += [self.bytes[b] for b in p.encode()]
+                elif not out or out[-1] != self.unknown:
+                    out.append(self.unknown)
+        return struct.pack(f"<{len(out)}i", *out)
+
+    def values(self, units: list[str]) -> list[bytes]:
         """The ids of each of some distinct units."""
-        if len(self.units) >= UNITS_KEPT:
-            self.units.clear()
-        new = sorted(u for u in units if u not in self.units)
-        for u, pieces in zip(new, self.encode_sorted(new), strict=True):
-            self.units[u] = self.to_ids(pieces)
-        return [self.units[u] for u in units]
+        if len(self.units) >= UNITS_KEPT:  # units that are met again move on, the others go
+            self.units, self.older = {}, self.units
+        found = list(map(self.units.get, units))
+        if self.older:
+            for k, u in enumerate(units):
+                if found[k] is None and (v := self.older.get(u)) is not None:
+                    found[k] = self.units[u] = v
+        new = sorted((u, k) for k, u in enumerate(units) if found[k] is None)
+        for (u, k), pieces in zip(new, self.encode_sorted([u for u, _ in new]), strict=True):
+            found[k] = self.units[u] = self.to_ids(pieces)
+        return found
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, ids before each text and in all); a null text has none."""
@@ -153,20 +170,20 @@ class Model:
         strange = {i: [u for u in re.findall(f"{MARK}+[^{MARK}]*|[^{MARK}]+", MARK + texts[i].as_py().replace(" ", MARK))] for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False))}
         for i in np.flatnonzero(empty.to_numpy(zero_copy_only=False)):
             strange[i] = []
-        extra = sorted({u for us in strange.values() for u in us} - set(names))
-        place = {u: k for k, u in enumerate([*names, *extra])}
+        extra = sorted({u for us in strange.values() for u in us} - set(names)) if strange else []
         values = self.values([*names, *extra])
         which = coded.indices.to_numpy(zero_copy_only=False)
         counts = parts.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
         if strange:  # put those texts' units where the split has one empty part for each
             at = np.cumsum(counts) - counts
             runs = np.split(which, at[1:])
+            place = {u: k for k, u in enumerate([*names, *extra])}
             for i, us in strange.items():
                 runs[i] = np.array([place[u] for u in us], which.dtype)
                 counts[i] = len(us)
             which = np.concatenate(runs) if len(runs) else which
-        sizes = np.array([len(v) for v in values], np.int64)
-        flat = np.concatenate(values) if values else np.zeros(0, np.int32)
+        sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
+        flat = np.frombuffer(b"".join(values), "<i4")
         n = sizes[which]
         ends = np.cumsum(n)
         total = int(ends[-1]) if len(ends) else 0
@@ -180,6 +197,15 @@ class Model:
         return self.piece_bytes[np.repeat(self.piece_starts[ids] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)].tobytes()
 
 
+def piece_lengths(pieces) -> dict[str, list[int]]:
+    """Two characters -> the lengths of the pieces that end with them, longest first."""
+    ends: dict[str, set[int]] = {}
+    for p in pieces:
+        if len(p) > 1:
+            ends.setdefault(p[-2:], set()).add(len(p))
+    return {e: sorted(n, reverse=True) for e, n in ends.items()}
+
+
 def model(path: str, kind: str = "bpe") -> Model:
     key = f"{kind} {path}"
     if key not in _loaded:

@@ -156,9 +156,7 @@ def test_unigram_viterbi_is_the_best_path():
     """A unigram model's forward states against all segmentations."""
     m = spm.Model.__new__(spm.Model)
     m.bpe, m.scores = False, {"a": -1.0, "b": -1.5, "ab": -2.0, "abc": -2.2, "c": -3.0, "bc": -0.5, "▁": -0.1, "▁a": -0.4}
-    m.lengths = {}
-    for p in m.scores:
-        m.lengths.setdefault(p[-1], []).append(len(p))
+    m.lengths = spm.piece_lengths(m.scores)
 
     def best(s):
         options = [(0.0, [])] if not s else []
