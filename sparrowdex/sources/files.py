@@ -142,8 +142,12 @@ def failures(parsed: DataFrame) -> DataFrame:
 
 
 def scan(spark: SparkSession, directories: list[str] = (), archives: list[str] = (), homes: list[str] = (), **options) -> DataFrame:
-    """Parsed resources of archives and Java homes, then directories; an unreadable archive is a row with an error."""
-    parts = [read_archives(spark, a) for a in archives] + [image.read_image(spark, h) for h in homes] + [read_directory(spark, d) for d in directories]
+    """Parsed resources of archives and Java homes, then directories; an unreadable archive is a row with an error.
+
+    One archive can hold a third of all files, so the entries of archives are dealt anew before they are parsed.
+    """
+    n = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = [read_archives(spark, a).repartition(n) for a in archives] + [image.read_image(spark, h) for h in homes] + [read_directory(spark, d) for d in directories]
     if not parts:
         return parse(spark.createDataFrame([], schemas.RESOURCE), **options)
     out = parts[0]
