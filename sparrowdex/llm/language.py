@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .workspace import lean
+from .workspace import lean, small_batches
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3, 4)
@@ -109,7 +109,7 @@ def fit(docs: DataFrame, sample_rows: int = 20_000, id_col: str = "doc_id", text
     sample_rows bounds the expected number of rows that are learned from: with more, those with the smallest hash of the
     id are taken, whichever their language. Without rows to learn from, the model knows no language.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
+    rows = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
     n = docs.where(F.col(lang_col).isNotNull()).count()
     if n > sample_rows:
         rows = rows.where(F.xxhash64("id") < int(-(2**63) + 2**64 * (sample_rows / n)))
@@ -152,7 +152,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     texts are read, however long. Null ids and repeated rows stay as they are; other columns are dropped.
     """
     seen = docs.sparkSession.sparkContext.broadcast(model)
-    kept = docs.select(F.col(id_col).alias(id_col), *keep)
+    kept = small_batches(docs).select(F.col(id_col).alias(id_col), *keep)
     rows = kept if text_col in keep else docs.select(*kept.columns, text_col)
     at, width = rows.columns.index(text_col), len(kept.columns)
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .shingles import shingle_sets
-from .workspace import lean, stash
+from .workspace import lean, small_batches, stash
 
 WIDTH, TREES, LEAF, DEPTH = 128, 16, 256, 10
 #: Chance of a second branch of a node, and the share of its parent from which a node counts as coherent.
@@ -57,7 +57,7 @@ def sketches(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

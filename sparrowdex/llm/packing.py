@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .pieces import batches_of, coder
-from .workspace import lean
+from .workspace import lean, small_batches
 
 #: A smaller gap stays as padding: no snippet of fewer tokens is cut to fill one.
 MIN_GAP = 16
@@ -175,5 +175,5 @@ def pack(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 2, id_c
             yield flush()
 
     spark_schema = ", ".join(f"{n} long" for n in names) + ", ids array<long>" * with_ids
-    out = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(lean(run), spark_schema)
+    out = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(lean(run), spark_schema)
     return out.withColumnRenamed("id", id_col)

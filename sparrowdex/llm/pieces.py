@@ -15,9 +15,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-MEMO_ROWS = 250_000
+MEMO_ROWS = 150_000
 #: Text that is coded at once.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 _loaded: dict[str, object] = {}
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .pieces import batches_of
-from .workspace import lean
+from .workspace import lean, small_batches
 
 MARK = "▁"
 UNITS_KEPT, PAIRS_KEPT = 300_000, 600_000
@@ -233,7 +233,7 @@ def encode(docs: DataFrame, path: str, kind: str = "bpe", id_col: str = "doc_id"
                 same = [coder.decode(p) == (b" " + t if t else b"") for p, t in zip(parts, raw, strict=True)]
                 yield pa.record_batch([b.column(0).slice(a, z - a), pa.array(np.diff(starts)), pa.array(crc, pa.int64()), pa.array(same)] + [pa.array(parts, pa.list_(pa.int32()))] * with_ids, schema=schema)
 
-    out = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(lean(run), "id long, n_tokens long, ids_crc32 long, round_trip boolean" + ", ids array<int>" * with_ids)
+    out = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(lean(run), "id long, n_tokens long, ids_crc32 long, round_trip boolean" + ", ids array<int>" * with_ids)
     return out.withColumnRenamed("id", id_col)
 
 

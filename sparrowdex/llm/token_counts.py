@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .pieces import batches_of, coder, tokenizer
-from .workspace import lean
+from .workspace import lean, small_batches
 
 
 def prefix_table(text: str | None, path: str) -> np.ndarray:
@@ -81,5 +81,5 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "d
                 yield pa.record_batch([ids, sizes, pa.array(np.diff(found.starts)), *tables], schema=schema)
 
     spark_schema = "id long, n_bytes long, n_tokens long" + ", prefix_tokens array<long>" * with_table
-    out = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(lean(run), spark_schema)
+    out = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(lean(run), spark_schema)
     return out.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), *["prefix_tokens"] * with_table)

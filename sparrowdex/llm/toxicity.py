@@ -19,7 +19,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .language import letter_table, slices
 from .linear import Logistic, Sparse, fit_logistic
-from .workspace import lean
+from .workspace import lean, small_batches
 
 BUCKETS = 1 << 20
 BEGINNINGS = (3, 4, 5, 6)
@@ -96,7 +96,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], sample_rows:
     n = marked.count()
     if n > sample_rows:
         marked = marked.where(F.xxhash64("id") < int(-(2**63) + 2**64 * (sample_rows / n)))
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    texts = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     sample = texts.join(F.broadcast(marked), "id").select("id", "text", F.array(*[f"y{j}" for j in range(len(categories))]).alias("y"))  # sample_rows rows
 
     def count(batches):
@@ -166,7 +166,7 @@ def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str =
     """
     shared = docs.sparkSession.sparkContext.broadcast(chain)
     names = [f"p_{c}" for c in chain.categories]
-    kept = docs.select(F.col(id_col).alias(id_col), *keep)
+    kept = small_batches(docs).select(F.col(id_col).alias(id_col), *keep)
     rows = kept if text_col in keep else docs.select(*kept.columns, text_col)
     at, width = rows.columns.index(text_col), len(kept.columns)
     schema = StructType([*kept.schema.fields, *[StructField(c, DoubleType()) for c in names]])

@@ -39,6 +39,18 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Bytes that go to a Python worker at once; Spark's own bound holds several copies of 64 MB in each task.
+BATCH_BYTES, BATCH_KEY, SPARK_DEFAULT = "8m", "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, in a session that hands texts to Python in small batches, unless it has a bound of its own."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_KEY, SPARK_DEFAULT) == SPARK_DEFAULT:
+        conf.set(BATCH_KEY, BATCH_BYTES)
+    return df
+
+
 def lean(run):
     """run, an iterator function of a worker, giving memory back to the system after it: workers live on for other tasks."""
 
