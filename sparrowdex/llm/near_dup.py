@@ -5,8 +5,13 @@ set. In each of TREES independent trees the root branches on one sketch coordina
 own key selects, some nodes a second time on two others, so that a pair at the threshold outlives the levels that a
 large group needs. Nodes of at most LEAF documents are compared exhaustively: sketches first, which drops only pairs
 LEAST_SIGMAS below the threshold, then the full sets. Only nodes above LEAF branch on, unless a node holds nearly all of
-its parent: then its sets agree in almost every coordinate, and it is dealt into leaves that all hold its smallest
-document, other leaves in each tree.
+its parent: then its sets agree in almost every coordinate, and it is solved exactly by what its sets do not share.
+
+Let T be the shingles that most of a node's sets have, and f(x) the difference of x and T. As |x ^ y| = |f(x) ^ f(y)|, x
+and y are linked without a look at T if their slacks (100 - per_cent) |x| - (100 + per_cent) |f(x)| add up to 0 or more,
+and otherwise only if f(x) and f(y) meet. So each document is linked with the one of the most slack where the slacks
+allow it, which connects all such pairs, and the others meet in the node's entries: the documents that have, or lack, a
+shingle against T. An entry holds at most half of its node; one above LEAF is solved as a node of its own.
 
 Nothing depends on one task holding a large node: nodes are counted by partial aggregation, joined as (node, document)
 pairs, and gathered only when they have at most LEAF documents.
@@ -15,6 +20,7 @@ pairs, and gathered only when they have at most LEAF documents.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -89,12 +95,13 @@ def roots() -> F.Column:
     return F.array(*[F.xxhash64(F.lit(t), F.element_at("sketch", int(c) + 1)) for t, c in enumerate(chosen)])
 
 
-def leaves(reps: DataFrame, first: F.Column, meetings: int = 1) -> DataFrame:
-    """(node, rep): members of leaf nodes with at least two documents. reps: rep, sketch; first: its nodes at the root.
+def leaves(reps: DataFrame, first: F.Column, meetings: int = 1) -> tuple[DataFrame, DataFrame | None]:
+    """(node, rep): members of leaf nodes with at least two documents; (node, size, lo, rep): members of large nodes
+    that do not branch on, lo the smallest, or None. reps: rep, sketch; first: its nodes at the root.
 
     meetings: two documents that are alone in a node must be so in as many nodes."""
     rows = reps.select("rep", F.explode(first).alias("node"), F.lit(0).alias("parent"))
-    found = []
+    found, whole = [], []
     for depth in range(1, DEPTH + 1):
         nodes = stash(rows.groupBy("node").agg(F.count("*").alias("size"), F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.max("parent").alias("parent")).where("size > 1"), "nodes")
         pairs = nodes.where("size = 2").groupBy("lo", "hi").agg(F.count("*").alias("times")).where(F.col("times") >= meetings)
@@ -107,17 +114,57 @@ def leaves(reps: DataFrame, first: F.Column, meetings: int = 1) -> DataFrame:
         inside = rows.select("rep", "node").join(large, "node")
         alike = F.col("size") > COHERENT * F.col("parent") if depth < DEPTH else F.lit(True)
         alike = alike & (F.col("parent") > 0)
-        block = F.xxhash64("node", F.pmod(F.xxhash64("node", "rep"), F.ceil(F.col("size") / (LEAF / 2))))
-        found.append(inside.where(alike).select(block.alias("node"), F.explode(F.array_distinct(F.array("rep", "lo"))).alias("rep")).distinct())
+        whole.append(inside.where(alike).select("node", "size", "lo", "rep"))
         if depth == DEPTH:
             break
         second = F.pmod(F.xxhash64("node", F.lit("second")), F.lit(1000)) < int(1000 * SECOND)
         kids = F.transform(F.when(second, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))), lambda j: F.xxhash64("node", j, F.element_at("sketch", _pick(F.col("node"), F.lit("a"), j)), F.element_at("sketch", _pick(F.col("node"), F.lit("b"), j))))
         rows = stash(inside.where(~alike).select("node", "rep", "size").join(reps.select("rep", "sketch"), "rep").select("rep", F.explode(kids).alias("node"), F.col("size").cast("int").alias("parent")), "paths")
-    out = found[0]
-    for x in found[1:]:
-        out = out.union(x)
-    return out
+    return reduce(DataFrame.union, found), reduce(DataFrame.union, whole) if whole else None
+
+
+def dealt(whole: DataFrame) -> DataFrame:
+    """(node, rep): large nodes in blocks that share the node's smallest document."""
+    block = F.xxhash64("node", F.pmod(F.xxhash64("node", "rep"), F.ceil(F.col("size") / (LEAF / 2))))
+    return whole.select(block.alias("node"), F.explode(F.array_distinct(F.array("rep", "lo"))).alias("rep")).distinct()
+
+
+def solved(groups: DataFrame, docs: DataFrame, per_cent: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """([(node, rep)], [(a, b)]): leaves and links that hold or connect all pairs that are linked within a group.
+
+    groups: node, rep; docs: doc_id, text."""
+    leaf, edges = [], []
+
+    def differences(batches):
+        for b in batches:
+            columns: tuple[list, list] = ([], [])
+            sets, common = b.column(2), b.column(3)
+            for x, t in zip(sets, common, strict=True):
+                x, t = x.values.to_numpy(), (t.values.to_numpy() if t.is_valid else np.zeros(0, np.int64))
+                own, lacked = np.setdiff1d(x, t, assume_unique=True), np.setdiff1d(t, x, assume_unique=True)
+                columns[0].append((100 - per_cent) * len(x) - (100 + per_cent) * (len(own) + len(lacked)))
+                columns[1].append(np.concatenate([own, lacked]))  # a shingle is in T or not: no entry mixes the two
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.list_(pa.int64()))], names=["node", "rep", "slack", "diff"])
+
+    while not groups.isEmpty():
+        full = shingles_of(groups.select(F.col("rep").alias("doc_id")).distinct(), docs)
+        rows = groups.join(full, "rep").select("node", "rep", "set")
+        # the null entry of each set counts the node's sets
+        often = rows.select("node", F.explode(F.concat("set", F.array(F.lit(None).cast("long")))).alias("e")).groupBy("node", "e").agg(F.count("*").alias("n")).where("n > 1")
+        often = stash(often, "shared")
+        size = often.where("e is null").select("node", F.col("n").alias("size"))
+        common = often.where("e is not null").join(size, "node").where("2 * n > size").groupBy("node").agg(F.collect_list("e").alias("common"))
+        diffs = stash(rows.join(common, "node", "left").select("node", "rep", "set", "common").mapInArrow(lean(differences), "node long, rep long, slack long, diff array<long>"), "differences")
+        best = stash(diffs.groupBy("node").agg(F.max(F.struct("slack", "rep")).alias("best")).select("node", F.col("best.rep").alias("star"), F.col("best.slack").alias("most")), "stars")
+        edges.append(diffs.join(best, "node").where("rep <> star and slack + most >= 0").select(F.col("star").alias("a"), F.col("rep").alias("b")).distinct())
+        entry = diffs.select("rep", "slack", "node", F.explode("diff").alias("e"))
+        met = entry.groupBy("node", "e").agg(F.count("*").alias("n"), F.min("slack").alias("low"), F.bit_xor(F.xxhash64("rep")).alias("who")).where("n > 1 and low < 0")
+        # entries of the same documents: one of them is enough
+        met = stash(met.groupBy("n", "who").agg(F.min(F.struct("node", "e")).alias("at")).select("n", "at.node", "at.e"), "entries")
+        held = lambda some: entry.join(some.select("node", "e"), ["node", "e"]).select(F.xxhash64("node", "e").alias("node"), "rep").distinct()  # noqa: E731, B023
+        leaf.append(held(met.where(F.col("n") <= LEAF)))
+        groups = stash(held(met.where(F.col("n") > LEAF)), "groups")
+    return leaf, edges
 
 
 def clusters(members: DataFrame, reps: DataFrame, least: float, ratio: float) -> DataFrame:
@@ -168,25 +215,30 @@ def connected(near: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def links(groups: DataFrame, docs: DataFrame, per_cent: int) -> DataFrame:
-    """(a, b): links that connect what full sets link, among the documents of each group. docs: doc_id, text."""
-    rows = stash(groups.select(F.xxhash64("members").alias("cluster"), F.explode("members").alias("rep")).distinct(), "clusters")
-    ids = stash(rows.select(F.col("rep").alias("doc_id")).distinct(), "cluster-ids")
+def shingles_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """rep, set (array of shingles, never null): the different sets of each id. ids: doc_id; docs: doc_id, text."""
+    ids = stash(ids, "ids")
     few = ids.count() <= BROADCAST_IDS
 
     def sets(batches):
         for b in batches:
-            found = [s.tobytes() for s in shingle_sets(b.column(1).cast(pa.binary()).to_pylist())]
-            yield pa.record_batch([b.column(0), pa.array(found, pa.binary())], names=["rep", "set"])
+            found = [s.view(np.int64) for s in shingle_sets(b.column(1).cast(pa.binary()).to_pylist())]
+            yield pa.record_batch([b.column(0), pa.array(found, pa.list_(pa.int64()))], names=["rep", "set"])
+
+    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").mapInArrow(lean(sets), "rep long, set array<long>").distinct()
 
-    full = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").mapInArrow(lean(sets), "rep long, set binary").distinct()
+
+def links(groups: DataFrame, docs: DataFrame, per_cent: int) -> DataFrame:
+    """(a, b): links that connect what full sets link, among the documents of each group. docs: doc_id, text."""
+    rows = stash(groups.select(F.xxhash64("members").alias("cluster"), F.explode("members").alias("rep")).distinct(), "clusters")
+    full = shingles_of(rows.select(F.col("rep").alias("doc_id")).distinct(), docs)
 
     def run(batches):
         for b in batches:
             out: tuple[list, list] = ([], [])
             for row in b.column(0):
                 reps = row.values.field("rep").to_pylist()
-                group = [np.frombuffer(x, np.uint64) for x in row.values.field("set").to_pylist()]
+                group = [x.values.to_numpy().view(np.uint64) for x in row.values.field("set")]
                 for x, y in exact(group, per_cent):
                     out[0].append(reps[x])
                     out[1].append(reps[y])
@@ -233,7 +285,12 @@ def near_duplicates(docs: DataFrame, per_cent: int = 80, id_col: str = "doc_id",
     reps = stash(reps, "sketches")
     share = per_cent / 100
     least = share - LEAST_SIGMAS * float(np.sqrt(share * (1 - share) / WIDTH))
-    edges = links(clusters(leaves(reps, roots()), reps, least, share), texts, per_cent)
+    leaf, whole = leaves(reps, roots())
+    edges = []
+    if whole is not None:  # nodes of different trees with the same smallest document are mostly one group
+        more, edges = solved(stash(whole.select(F.xxhash64("lo").alias("node"), "rep").distinct(), "groups"), texts, per_cent)
+        leaf = reduce(DataFrame.union, more, leaf)
+    edges = reduce(DataFrame.union, edges, links(clusters(leaf, reps, least, share), texts, per_cent))
     shared = own.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("a", "b")
     found = components(edges.union(shared))
     rows = sig.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left")

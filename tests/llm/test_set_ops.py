@@ -75,6 +75,20 @@ def test_a_large_group_of_near_copies(spark):
     assert got == {d: c for d, (_, c) in brute_components(rows, 85).items()}
 
 
+def test_a_template_group_of_unlinked_documents(spark):
+    """5,000 documents that share a template just below the threshold, 60 pairs among them just above it: all are found."""
+    r = random.Random(5)
+    template = [f"t{i}" for i in range(400)]
+    texts = [" ".join([*template, *(f"w{i}x{k}" for k in range(42))]) for i in range(5000)]  # 396 of 480 shingles: 0.825
+    for i in range(60):
+        a = texts[i].split()
+        texts[5000 - 1 - i] = " ".join([*a[:-28], *(f"v{i}x{k}" for k in range(28))])  # 410 of 466: 0.88
+    rows = [(i, t) for i, t in enumerate(texts)]
+    r.shuffle(rows)
+    got = {x.doc_id: x.component_id for x in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 85).collect()}
+    assert got == {i: 4999 - i if i >= 4940 else i for i in range(5000)}
+
+
 def test_repeated_ids_are_one_document(spark):
     a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
     rows = [(1, a), (5, a), (5, b), (9, b), (9, b)]
