@@ -3,8 +3,9 @@
 The standard library's parser streams events into lines, one for each block of text. A line's ratio is its characters by
 its tags; lines inside menus, adverts, forms and the like count 0. The ratios are smoothed by a Gaussian, those above
 the standard deviation of the smoothed ratios are content, and the content lines choose the region: the article element
-that holds most of them or, without one, the innermost element that holds REGION of their characters. All lines of the
-region that are not boilerplate are the text, the short ones too.
+that holds most of them or, without one, the innermost element that holds them all, grown outward while it meets no
+boilerplate, with the blocks right beside it. All lines of the region that are not boilerplate are the text, the short
+ones too.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ HINTS = frozenset(
 )
 #: With one of these, a class tells how what is around the text is laid out.
 LAYOUT = frozenset("has with no without layout".split())
-REGION, SIGMA = 0.75, 1.0
+SIGMA = 1.0
 
 
 class Lines(HTMLParser):
@@ -158,14 +159,17 @@ def main_text(html: str | None) -> str:
         outer = next(path for *_, path in own if region in path)
         region = next((n for n in outer[: outer.index(region)] if page.kinds[n] == "article"), region)
         return "\n".join(t for t, _, _, path in own if region in path)
-    total, region = sum(len(t) for t, *_ in content), None
-    deep = [n for n, m in mass.items() if m >= REGION * total and page.kinds[n] not in ("p", "li", "tr")]
-    if deep:
-        region = max(deep)  # elements are numbered in page order, so the innermost of nested ones has the largest number
-    if region is not None and page.kinds[region] not in ("html", "body"):
-        return "\n".join(t for t, _, _, path in own if region in path)
-    marks = [i for i, (x, h) in enumerate(zip(page.lines, high, strict=True)) if h and not x[2]] or [0, len(page.lines) - 1]
-    return "\n".join(t for t, _, drop, _ in page.lines[marks[0] : marks[-1] + 1] if not drop)
+    # the innermost element of all content lines, and around it what holds no boilerplate
+    around = content[0][3]
+    for *_, path in content:
+        around = around[: next((k for k, (x, y) in enumerate(zip(around, path, strict=False)) if x != y), min(len(around), len(path)))]
+    noisy = {n for *_, drop, path in page.lines if drop for n in path}
+    while around and (page.kinds[around[-1]] in ("p", "li", "tr") or not noisy.intersection(around[-2:-1])):
+        around = around[:-1]
+    if not around or page.kinds[around[-1]] in ("html", "body"):
+        return "\n".join(t for t, *_ in own)
+    # a heading or a short block right beside the region belongs to it
+    return "\n".join(t for t, _, _, path in own if around[-1] in path or path[:-1] == around[:-1] or path == around[:-1])
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -176,6 +176,21 @@ def test_main_text(html, text):
     assert html_text.main_text(html) == text
 
 
+LONG = "This sentence of the article goes on and on for quite a while. " * 8
+NAV, FOOT = "<nav><a>Home</a> <a>News</a></nav>", "<footer>Imprint</footer>"
+NESTED = [
+    (f"{NAV}<div id=content><h1>Title</h1><p>Lead</p><div class=body><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div><div class=part2><p>{LONG}</p></div></div>{FOOT}", ["Title", "Lead", *[LONG.strip()] * 5]),
+    (f"<body>{NAV}<h1>Title</h1><p>Lead</p><blockquote>{LONG * 5}</blockquote><p>Last</p>{FOOT}</body>", ["Title", "Lead", (LONG * 5).strip(), "Last"]),
+    (f"<body>{NAV}<section><h2>One</h2><pre>{LONG * 5}</pre></section><section><h2>Two</h2><p>{LONG}</p><p>End</p></section>{FOOT}</body>", ["One", (LONG * 5).strip(), "Two", LONG.strip(), "End"]),
+    (f"<div>First</div><p>{LONG}</p><p>{LONG}</p><div>Last</div>", ["First", *[LONG.strip()] * 2, "Last"]),
+]
+
+
+@pytest.mark.parametrize("html,texts", NESTED)
+def test_main_text_without_an_article_element(html, texts):
+    assert html_text.main_text(html).split("\n") == texts
+
+
 def test_main_text_table(spark):
     rows = [(i, f"u{i}", h, "t", 7) for i, (h, _) in enumerate(PAGES)] + [(None, None, "<p>x</p>", "t", 1), (1, "u1", PAGES[1][0], "t", 1)]
     got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")).collect()
