@@ -87,8 +87,16 @@ class LanguageModel:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """The likeliest language and its posterior probability; und and 0 without a letter."""
+        langs, scores, _ = self.judge(texts)
+        return langs, scores
+
+    def judge(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
+        """predict(), and how many nats the mean n-gram of each text is less likely than that of the language's training
+        rows; this doesn't saturate: the posterior only compares the languages that are learned."""
         langs: list[str] = []
         scores: list[float] = []
+        gaps: list[float] = []
+        usual = (np.exp(self.matrix) * self.matrix).sum(0)
         k = len(self.languages)
         for a, z in slices(texts):
             bucket, owner, has = grams(texts[a:z])
@@ -98,9 +106,14 @@ class LanguageModel:
             best = total.argmax(1)
             score = 1 / np.exp(total - total[np.arange(z - a), best][:, None]).sum(1)
             ok = has & (k > 0)
+            if k:
+                mean = (total[np.arange(z - a), best] - self.prior[best]) / np.maximum(np.bincount(owner, minlength=z - a), 1)
+                gaps += np.where(ok, usual[best] - mean, np.inf).tolist()
+            else:
+                gaps += [np.inf] * (z - a)
             langs += [self.languages[b] if o else "und" for b, o in zip(best, ok, strict=True)]
             scores += np.where(ok, score, 0.0).tolist()
-        return langs, scores
+        return langs, scores, gaps
 
 
 def fit(docs: DataFrame, sample_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", smoothing: float = 0.5) -> LanguageModel:
@@ -145,8 +158,8 @@ def fit(docs: DataFrame, sample_rows: int = 20_000, id_col: str = "doc_id", text
     return LanguageModel(langs, matrix, np.log(prior / max(prior.sum(), 1)) if len(langs) else prior)
 
 
-def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per row of docs: id, the columns named in keep, lang_pred and score.
+def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), gap: bool = False) -> DataFrame:
+    """One row per row of docs: id, the columns named in keep, lang_pred and score; with gap, also that of judge().
 
     A text that is null or has no letter, or any text under a model without languages, is `und` with score 0. Whole
     texts are read, however long. Null ids and repeated rows stay as they are; other columns are dropped.
@@ -158,10 +171,12 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
 
     def run(batches):
         for b in batches:
-            langs, scores = seen.value.predict(b.column(at).cast(pa.string()).to_pylist())
-            yield pa.record_batch([*b.columns[:width], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*b.schema.names[:width], "lang_pred", "score"])
+            langs, *numbers = seen.value.judge(b.column(at).cast(pa.string()).to_pylist())
+            found = [pa.array(langs, pa.string()), *[pa.array(x, pa.float64()) for x in numbers]]
+            yield pa.record_batch([*b.columns[:width], *found[: len(names)]], names=[*b.schema.names[:width], *names])
 
-    return rows.mapInArrow(lean(run), StructType([*kept.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
+    names = ["lang_pred", "score", *["gap"] * gap]
+    return rows.mapInArrow(lean(run), StructType([*kept.schema.fields, *[StructField(x, DoubleType() if k else StringType()) for k, x in enumerate(names)]]))
 
 
 def held_out(id_col: str = "doc_id"):

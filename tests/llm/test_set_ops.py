@@ -300,6 +300,16 @@ def test_pipeline(spark, sf):
     assert corpus_pipeline.run(spark, sf).columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
+def test_pipeline_drops_what_is_no_learned_language(spark, sf):
+    r = random.Random(6)
+    junk = [" ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 9))) for _ in range(n)) for n in (10, 30, 100)]
+    junk += ["Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw", "Все люди рождаются свободными и равными в своем достоинстве и правах"]
+    docs = queries.table(spark, sf, "documents")
+    rows = spark.createDataFrame([(-1 - i, t, None, "junk", len(t)) for i, t in enumerate(junk)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {x.doc_id for x in corpus_pipeline.keep_languages(spark, docs.union(rows.select(docs.columns)), sf).select("doc_id").collect()}
+    assert kept == {x.doc_id for x in docs.select("doc_id").collect()}
+
+
 def test_pipeline_on_odd_rows(spark, sf):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     odd = spark.createDataFrame([(1, None, None, None, None), (2, "", "en", "s", 0), (3, "123", None, "s", 3), (None, "the cat and the dog of the house", "en", "s", 9), (5, "the cat and the dog of the house", "en", "s", 9), (6, "the cat and the dog of the house", "en", "s", 9)], schema)
