@@ -508,7 +508,7 @@ def listed_files(spark, sf_dir):
 
 @query("SELECT doc_id, CASE WHEN n_chars < 1024 THEN format('{} B', n_chars) ELSE printf('%.2f KiB', floor(n_chars * 100.0 / 1024 + 0.5) / 100) END AS size FROM documents WHERE n_chars < 1048576")
 def formatted_bytes(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where("n_chars < 1048576").select("doc_id", names.format_bytes("n_chars").alias("size"))
+    return table(spark, sf_dir, "documents").select("doc_id", names.format_bytes("n_chars").alias("size"))
 
 
 # --- resolution cascade -----------------------------------------------------------------------------------------------

@@ -5,6 +5,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sparrowdex.functions import bloom, flags, names, signatures
+from sparrowdex.plans import reference
 
 relaxed = settings(max_examples=25, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 
@@ -127,3 +128,10 @@ def test_signatures():
     assert s.method_signature("<X:La/E;>(TX;[[TT;)V^TX;") == ([{"name": "X", "bounds": ["La/E;"]}], ["TX;", "[[TT;"], "V", ["TX;"])
     assert s.erase("La/B<TT;>.In<TU;>;") == "La/B$In;" and s.erase("[TT;", {"T": "La/E<TT;>;"}) == "[La/E;" and s.erased_name("[I") is None
     assert s.method_descriptor(["TT;", "I"], "V", {"T": "La/E;"}) == "(La/E;I)V"
+
+
+def test_formatted_bytes_leaves_out_no_row(spark, tmp_path):
+    rows = [(1, 512), (2, 1536), (3, 3 * 1024**2), (4, 5 * 1024**3), (5, None)]
+    spark.createDataFrame(rows, "doc_id long, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.size for r in reference.formatted_bytes(spark, str(tmp_path)).collect()}
+    assert {k: got[k] for k in (1, 2, 3, 4)} == {1: "512 B", 2: "1.50 KiB", 3: "3.00 MiB", 4: "5.00 GiB"} and 5 in got
