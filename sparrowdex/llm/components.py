@@ -15,10 +15,14 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
     joined = edges.join(least.select(F.col("u").alias("w"), F.least("m", "u").alias("m")), F.col("u") == F.col("w"))
     if large:
-        out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    else:
-        out = joined.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v")
-    return out.distinct()
+        return joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return joined.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
+
+
+def _done(edges: DataFrame) -> bool:
+    """Whether each node that points at another points at one only, which points at none."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")), F.struct(F.col("v").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("into")))).alias("e")).select("e.*")
+    return ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("into").alias("into")).where("out > 1 or out > 0 and into > 0").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -28,14 +32,9 @@ def components(edges: DataFrame) -> DataFrame:
     shared folder. Both steps keep connectivity and end when every node points at its component's smallest.
     """
     now = stash(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    state = None
-    while True:
+    while not _done(now):
         then = stash(_star(_star(now, True), False), "edges")
         discard(now)
         now = then
-        found = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if found == state or not found[0]:
-            break
-        state = found
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)

@@ -1,44 +1,74 @@
 """Near-duplicate detection: chosen-path set similarity join over word shingles.
 
-Texts with equal sets form a class; only the smallest id of a class goes on. A sketch holds WIDTH minwise values of a
-set. In each of TREES independent trees the root branches on one sketch coordinate and each further node on two that its
-own key selects, some nodes a second time on two others, so that a pair at the threshold outlives the levels that a
-large group needs. Nodes of at most LEAF documents are compared exhaustively: sketches first, which drops only pairs
-LEAST_SIGMAS below the threshold, then the full sets. Only nodes above LEAF branch on, unless a node holds nearly all of
-its parent: then its sets agree in almost every coordinate, and it is solved exactly by what its sets do not share.
+Texts with equal sets form a class; only the smallest id of a class goes on. A sketch holds the low bytes of WIDTH minwise
+values of a set. In each of some independent trees the root branches on a whole minwise value, and each further node on
+sketch coordinates that its own key selects: as many on average as keep a pair at the threshold alive, and EXTRA more.
+Nodes of at most LEAF documents are compared exhaustively: sketches first, which drops only pairs LEAST_SIGMAS below the
+threshold, then the full sets. There are as many trees as make the expected recall of a pair at the threshold RECALL, even
+if its nodes fall below LEAF only at level LEVELS (`expected_recall`, `trees_for`). Only nodes above LEAF branch on,
+unless a node holds nearly all of its parent: then its sets agree in most coordinates, and it is solved exactly by what
+its sets do not share. So the levels end by themselves.
 
 Let T be the shingles that most of a node's sets have, and f(x) the difference of x and T. As |x ^ y| = |f(x) ^ f(y)|, x
 and y are linked without a look at T if their slacks (100 - per_cent) |x| - (100 + per_cent) |f(x)| add up to 0 or more,
-and otherwise only if f(x) and f(y) meet. So each document is linked with the one of the most slack where the slacks
-allow it, which connects all such pairs, and the others meet in the node's entries: the documents that have, or lack, a
-shingle against T. An entry holds at most half of its node; one above LEAF is solved as a node of its own.
+and otherwise only if f(x) and f(y) share as many shingles as the slacks fall short of 0, by 2 (100 + per_cent). So each
+document is linked with the one of the most slack where the slacks allow it, which connects all such pairs, and the
+others, far from that one, meet in the node's entries: the documents that have, or lack, a shingle against T. Only entries
+with a far document count, and only those of a document's rarest shingles that cannot all be missed by what it has to
+share. An entry holds at most half of its node; one above LEAF is solved as a node of its own.
 
 Nothing depends on one task holding a large node: nodes are counted by partial aggregation, joined as (node, document)
-pairs, and gathered only when they have at most LEAF documents.
+pairs, and gathered only when they have at most LEAF documents. Leaves of the trees overlap; documents that similar
+sketches connect, LEAF of them at most, are compared once, not once a leaf. A text that very many documents have is dealt
+over all tasks wherever its copies are joined (`workspace.spread`).
 """
 
 from __future__ import annotations
 
 import hashlib
 from functools import reduce
+from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
 from .shingles import shingle_sets
-from .workspace import lean, small_batches, stash
-
-WIDTH, TREES, LEAF, DEPTH = 128, 16, 256, 10
-#: Chance of a second branch of a node, and the share of its parent from which a node counts as coherent.
-SECOND, COHERENT = 0.2, 0.7
+from .workspace import discard, lean, small_batches, spread, stash
+
+WIDTH, LEAF = 128, 256
+#: Children of a node beyond the 1 / similarity that keep a pair alive, and the share of its parent from which a node is coherent.
+EXTRA, COHERENT = 0.2, 0.7
+RECALL, LEVELS = 0.995, 24
+#: The coordinates on which roots branch, a tree each.
+ROOTS = np.random.default_rng(4).permutation(WIDTH)
 LEAST_SIGMAS = 4.5
-#: Ids that go to every task at most when sets are computed again; with more, they are joined by a shuffle.
+#: Rows of (id, node) that go to every task at most where sets or sketches are looked up; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
 
+def survival(share: float, kids: float, level: int) -> float:
+    """The chance that two sketches of which a share agrees meet in a node at that level of one tree."""
+    gone, sure = 0.0, int(kids)
+    for _ in range(level - 1):
+        apart = 1 - share + share * gone
+        gone = apart**sure * (1 - (kids - sure) * (1 - apart))
+    return share * (1 - gone)
+
+
+def expected_recall(similarity: float, trees: int, level: int) -> float:
+    """The chance that two sets of this similarity meet in a node at that level of any tree."""
+    kids = 1 / similarity + EXTRA
+    agree = ((k, comb(WIDTH, k) * similarity**k * (1 - similarity) ** (WIDTH - k)) for k in range(WIDTH + 1))
+    return sum(p * (1 - (1 - survival(k / WIDTH, kids, level)) ** trees) for k, p in agree)
+
+
+def trees_for(similarity: float) -> int:
+    return next(t for t in range(1, WIDTH + 1) if expected_recall(similarity, t, LEVELS) >= RECALL)
+
+
 def _coefficients() -> tuple[np.ndarray, np.ndarray]:
     r = np.random.default_rng(20)
     return r.integers(0, 1 << 64, WIDTH, np.uint64) | np.uint64(1), r.integers(0, 1 << 64, WIDTH, np.uint64)
@@ -66,9 +96,10 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, digest of the set (null if empty), sketch (null if empty) of each row."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("sketch", pa.list_(pa.int32()))])
+def signatures(docs: DataFrame, trees: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, and, null for an empty set, its digest, the minwise values of the roots, and the sketch."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("roots", pa.list_(pa.int32())), ("sketch", pa.binary())])
+    chosen = ROOTS[:trees]
 
     def run(batches):
         for b in batches:
@@ -76,51 +107,46 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 part = b.slice(at, 1000)
                 sets = list(shingle_sets(part.column(1).cast(pa.binary()).to_pylist()))
                 full = [i for i, s in enumerate(sets) if len(s)]
-                rows = iter(sketches([sets[i] for i in full]).astype(np.int32)) if full else iter(())
-                sketch = [next(rows) if len(s) else None for s in sets]
-                digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-                yield pa.record_batch([part.column(0), pa.array(map(len, sets), pa.int64()), pa.array(digest, pa.binary()), pa.array(sketch, pa.list_(pa.int32()))], schema=schema)
-
-    return _texts(docs, id_col, text_col).mapInArrow(lean(run), "doc_id long, n_shingles long, digest binary, sketch array<int>")
-
+                rows = sketches([sets[i] for i in full]) if full else np.zeros((0, WIDTH), np.uint32)
+                roots: list = [None] * len(sets)
+                sketch, digest = roots.copy(), roots.copy()
+                for i, first, low in zip(full, rows[:, chosen].astype(np.int32), rows.astype(np.uint8), strict=True):
+                    roots[i], sketch[i], digest[i] = first, low.tobytes(), hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest()
+                yield pa.record_batch([part.column(0), pa.array(map(len, sets), pa.int64()), pa.array(digest, pa.binary()), pa.array(roots, pa.list_(pa.int32())), pa.array(sketch, pa.binary())], schema=schema)
 
-def _pick(*parts) -> F.Column:
-    """A coordinate that the parts select."""
-    return F.pmod(F.xxhash64(*parts), F.lit(WIDTH)).cast("int") + 1
+    return _texts(docs, id_col, text_col).mapInArrow(lean(run), "doc_id long, n_shingles long, digest binary, roots array<int>, sketch binary")
 
 
-def roots() -> F.Column:
-    """The first node of a sketch in each tree."""
-    chosen = np.random.default_rng(4).permutation(WIDTH)[:TREES]
-    return F.array(*[F.xxhash64(F.lit(t), F.element_at("sketch", int(c) + 1)) for t, c in enumerate(chosen)])
-
-
-def leaves(reps: DataFrame, first: F.Column, meetings: int = 1) -> tuple[DataFrame, DataFrame | None]:
+def leaves(reps: DataFrame, first: F.Column, kids: float) -> tuple[DataFrame, DataFrame | None, list[DataFrame]]:
     """(node, rep): members of leaf nodes with at least two documents; (node, size, lo, rep): members of large nodes
-    that do not branch on, lo the smallest, or None. reps: rep, sketch; first: its nodes at the root.
+    that do not branch on, lo the smallest, or None; the stashes that both read.
 
-    meetings: two documents that are alone in a node must be so in as many nodes."""
+    reps: rep, sketch; first: the nodes of a row at the roots; kids: children of a node on average."""
     rows = reps.select("rep", F.explode(first).alias("node"), F.lit(0).alias("parent"))
-    found, whole = [], []
-    for depth in range(1, DEPTH + 1):
+    found, whole, used = [], [], []
+    alike = (F.col("size") > COHERENT * F.col("parent")) & (F.col("parent") > 0)
+    while True:
         nodes = stash(rows.groupBy("node").agg(F.count("*").alias("size"), F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.max("parent").alias("parent")).where("size > 1"), "nodes")
-        pairs = nodes.where("size = 2").groupBy("lo", "hi").agg(F.count("*").alias("times")).where(F.col("times") >= meetings)
+        used.append(nodes)
+        pairs = nodes.where("size = 2").select("lo", "hi").distinct()
         found.append(pairs.select(F.xxhash64("lo", "hi").alias("node"), F.explode(F.array("lo", "hi")).alias("rep")))
         small = nodes.where((F.col("size") > 2) & (F.col("size") <= LEAF))
-        found.append(rows.join(small.select("node"), "node").select("node", "rep"))
+        found.append(rows.select("rep", "node").join(small.select("node"), "node").select("node", "rep"))
         large = nodes.where(F.col("size") > LEAF)
-        if large.isEmpty():
-            break
+        held = {r.alike: r.rows for r in large.groupBy(alike.alias("alike")).agg(F.sum("size").alias("rows")).collect()}
         inside = rows.select("rep", "node").join(large, "node")
-        alike = F.col("size") > COHERENT * F.col("parent") if depth < DEPTH else F.lit(True)
-        alike = alike & (F.col("parent") > 0)
-        whole.append(inside.where(alike).select("node", "size", "lo", "rep"))
-        if depth == DEPTH:
-            break
-        second = F.pmod(F.xxhash64("node", F.lit("second")), F.lit(1000)) < int(1000 * SECOND)
-        kids = F.transform(F.when(second, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))), lambda j: F.xxhash64("node", j, F.element_at("sketch", _pick(F.col("node"), F.lit("a"), j)), F.element_at("sketch", _pick(F.col("node"), F.lit("b"), j))))
-        rows = stash(inside.where(~alike).select("node", "rep", "size").join(reps.select("rep", "sketch"), "rep").select("rep", F.explode(kids).alias("node"), F.col("size").cast("int").alias("parent")), "paths")
-    return reduce(DataFrame.union, found), reduce(DataFrame.union, whole) if whole else None
+        if True in held:
+            whole.append(inside.where(alike).select("node", "size", "lo", "rep"))
+        if False not in held:
+            return reduce(DataFrame.union, found), reduce(DataFrame.union, whole) if whole else None, used
+        paths = inside.where(~alike).select("node", "rep", "size")
+        paths = F.broadcast(paths) if held[False] <= BROADCAST_IDS else paths
+        sure = int(kids)
+        more = F.pmod(F.xxhash64("node", F.lit("more")), F.lit(1000)) < int(1000 * (kids - sure))
+        value = lambda j: F.substring("sketch", F.pmod(F.xxhash64("node", F.lit("at"), j), F.lit(WIDTH)).cast("int") + 1, F.lit(1))  # noqa: E731, B023
+        child = F.transform(F.sequence(F.lit(1), F.when(more, sure + 1).otherwise(sure)), lambda j: F.xxhash64("node", j, value(j)))
+        rows = stash(paths.join(reps.select("rep", "sketch"), "rep").select("rep", F.explode(child).alias("node"), F.col("size").cast("int").alias("parent")), "paths")
+        used.append(rows)
 
 
 def dealt(whole: DataFrame) -> DataFrame:
@@ -147,21 +173,33 @@ def solved(groups: DataFrame, docs: DataFrame, per_cent: int) -> tuple[list[Data
             yield pa.record_batch([b.column(0), b.column(1), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.list_(pa.int64()))], names=["node", "rep", "slack", "diff"])
 
     while not groups.isEmpty():
-        full = shingles_of(groups.select(F.col("rep").alias("doc_id")).distinct(), docs)
-        rows = groups.join(full, "rep").select("node", "rep", "set")
+        rows = shingles_of(groups, docs)
         # the null entry of each set counts the node's sets
         often = rows.select("node", F.explode(F.concat("set", F.array(F.lit(None).cast("long")))).alias("e")).groupBy("node", "e").agg(F.count("*").alias("n")).where("n > 1")
         often = stash(often, "shared")
         size = often.where("e is null").select("node", F.col("n").alias("size"))
         common = often.where("e is not null").join(size, "node").where("2 * n > size").groupBy("node").agg(F.collect_list("e").alias("common"))
-        diffs = stash(rows.join(common, "node", "left").select("node", "rep", "set", "common").mapInArrow(lean(differences), "node long, rep long, slack long, diff array<long>"), "differences")
+        common = stash(size.select("node").join(common, "node", "left"), "common")
+        few = (common.agg(F.sum(F.greatest(F.lit(1), F.size("common")))).first()[0] or 0) <= BROADCAST_IDS
+        meet = lambda rows, found: rows.join(F.broadcast(found), "node") if few else spread(rows, found, "node", "rep", like=groups)  # noqa: E731, B023
+        diffs = stash(meet(rows, common).select("node", "rep", "set", "common").mapInArrow(lean(differences), "node long, rep long, slack long, diff array<long>"), "differences")
         best = stash(diffs.groupBy("node").agg(F.max(F.struct("slack", "rep")).alias("best")).select("node", F.col("best.rep").alias("star"), F.col("best.slack").alias("most")), "stars")
-        edges.append(diffs.join(best, "node").where("rep <> star and slack + most >= 0").select(F.col("star").alias("a"), F.col("rep").alias("b")).distinct())
-        entry = diffs.select("rep", "slack", "node", F.explode("diff").alias("e"))
-        met = entry.groupBy("node", "e").agg(F.count("*").alias("n"), F.min("slack").alias("low"), F.bit_xor(F.xxhash64("rep")).alias("who")).where("n > 1 and low < 0")
+        rated = meet(diffs, best)
+        edges.append(rated.where("rep <> star and slack + most >= 0").select(F.col("star").alias("a"), F.col("rep").alias("b")).distinct())
+        # those that are linked with the star need no link with each other: one of a pair is far from it, of less slack
+        far = F.col("slack") + F.col("most") < 0
+        # the shingles that a document has to share with another, at least
+        need = F.greatest(F.lit(1), F.ceil(-(F.col("slack") + F.when(far, F.col("most")).otherwise(-F.col("most") - 1)) / F.lit(2 * (100 + per_cent))))
+        entry = rated.select("rep", far.alias("far"), "node", need.alias("need"), F.explode("diff").alias("e"))
+        met = stash(entry.groupBy("node", "e").agg(F.count("*").alias("n"), F.max("far").alias("far")).where("n > 1 and far").select("node", "e", "n"), "entries")
+        # of a document's shingles, rare ones first, so many that one of them is among the shared ones
+        own = Window.partitionBy("node", "rep")
+        place = F.row_number().over(own.orderBy("n", "e")) <= F.count("*").over(own) - F.col("need") + 1
+        first = stash(entry.join(met, ["node", "e"]).withColumn("first", place).where("first").select("node", "e", "rep", "far"), "prefixes")
+        met = first.groupBy("node", "e").agg(F.count("*").alias("n"), F.max("far").alias("far"), F.bit_xor(F.xxhash64("rep")).alias("who")).where("n > 1 and far")
         # entries of the same documents: one of them is enough
         met = stash(met.groupBy("n", "who").agg(F.min(F.struct("node", "e")).alias("at")).select("n", "at.node", "at.e"), "entries")
-        held = lambda some: entry.join(some.select("node", "e"), ["node", "e"]).select(F.xxhash64("node", "e").alias("node"), "rep").distinct()  # noqa: E731, B023
+        held = lambda some: first.join(some.select("node", "e"), ["node", "e"]).select(F.xxhash64("node", "e").alias("node"), "rep").distinct()  # noqa: E731, B023
         leaf.append(held(met.where(F.col("n") <= LEAF)))
         groups = stash(held(met.where(F.col("n") > LEAF)), "groups")
     return leaf, edges
@@ -177,7 +215,7 @@ def clusters(members: DataFrame, reps: DataFrame, least: float, ratio: float) ->
             ends = col.offsets.to_numpy() - col.offsets[0].as_py()
             flat = col.flatten()
             reps_, n = flat.field("rep").to_numpy(zero_copy_only=False), flat.field("n").to_numpy(zero_copy_only=False)
-            sketch = flat.field("sketch").flatten().to_numpy(zero_copy_only=False).reshape(-1, WIDTH)
+            sketch = np.frombuffer(b"".join(flat.field("sketch").to_pylist()), np.uint8).reshape(-1, WIDTH)
             out = []
             for a, z in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
                 s, size = sketch[a:z], n[a:z]
@@ -215,45 +253,68 @@ def connected(near: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def shingles_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
-    """rep, set (array of shingles, never null): the different sets of each id. ids: doc_id; docs: doc_id, text."""
-    ids = stash(ids, "ids")
-    few = ids.count() <= BROADCAST_IDS
+def once(groups: DataFrame) -> DataFrame:
+    """(cluster, rep) of groups (members, sorted arrays of ids, LEAF at most): groups that overlap are one cluster, if
+    that has at most LEAF ids; the others stay as they are.
+
+    Overlapping groups mostly have the same smallest ids: a group goes by the least of the first ids of all groups that
+    its members are in."""
+    rows = groups.select("members", F.explode("members").alias("rep"))
+    low = rows.groupBy("rep").agg(F.min(F.col("members")[0]).alias("low"))
+    keyed = stash(rows.join(low, "rep").groupBy("members").agg(F.min("low").alias("key")), "keyed")
+    few = keyed.groupBy("key").agg(F.sum(F.size("members")).alias("rows"))
+    # most keys are of so few members that they need not be counted one by one
+    sure = few.where(F.col("rows") <= LEAF).select("key")
+    rest = keyed.join(few.where(F.col("rows") > LEAF).select("key"), "key")
+    sizes = rest.select("key", F.explode("members").alias("rep")).distinct().groupBy("key").count()
+    sure = sure.union(sizes.where(F.col("count") <= LEAF).select("key"))
+    one = keyed.join(sure.withColumn("sure", F.lit(True)), "key", "left")
+    cluster = F.when(F.col("sure"), F.col("key")).otherwise(F.xxhash64("members"))
+    return one.select(cluster.alias("cluster"), F.explode("members").alias("rep")).distinct()
+
+
+def shingles_of(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """node, rep, set (array of shingles, never null): the set of each id's text, for each node of the id.
+
+    rows: node, rep; docs: doc_id, text. An id with several texts has several sets, with repeated ones repeated sets."""
+    ids = stash(rows.groupBy("rep").agg(F.collect_set("node").alias("nodes")), "ids")
+    few = ids.agg(F.sum(F.size("nodes"))).first()[0] or 0
+    ids = F.broadcast(ids) if few <= BROADCAST_IDS else ids
 
     def sets(batches):
         for b in batches:
-            found = [s.view(np.int64) for s in shingle_sets(b.column(1).cast(pa.binary()).to_pylist())]
-            yield pa.record_batch([b.column(0), pa.array(found, pa.list_(pa.int64()))], names=["rep", "set"])
+            found = [s.view(np.int64) for s in shingle_sets(b.column(2).cast(pa.binary()).to_pylist())]
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(found, pa.list_(pa.int64()))], names=["nodes", "rep", "set"])
 
-    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").mapInArrow(lean(sets), "rep long, set array<long>").distinct()
+    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(ids, "rep").select("nodes", "rep", "text")
+    return texts.mapInArrow(lean(sets), "nodes array<long>, rep long, set array<long>").select(F.explode("nodes").alias("node"), "rep", "set")
 
 
 def links(groups: DataFrame, docs: DataFrame, per_cent: int) -> DataFrame:
-    """(a, b): links that connect what full sets link, among the documents of each group. docs: doc_id, text."""
-    rows = stash(groups.select(F.xxhash64("members").alias("cluster"), F.explode("members").alias("rep")).distinct(), "clusters")
-    full = shingles_of(rows.select(F.col("rep").alias("doc_id")).distinct(), docs)
+    """(a, b): what full sets link among the documents of each group, a the smallest of a component. docs: doc_id, text."""
 
     def run(batches):
         for b in batches:
             out: tuple[list, list] = ([], [])
             for row in b.column(0):
-                reps = row.values.field("rep").to_pylist()
-                group = [x.values.to_numpy().view(np.uint64) for x in row.values.field("set")]
-                for x, y in exact(group, per_cent):
-                    out[0].append(reps[x])
-                    out[1].append(reps[y])
+                reps = row.values.field("rep").to_numpy(zero_copy_only=False)
+                for part in exact([x.values.to_numpy().view(np.uint64) for x in row.values.field("set")], per_cent):
+                    ids = np.unique(reps[part]).tolist()
+                    out[0].extend(ids[:1] * (len(ids) - 1))
+                    out[1].extend(ids[1:])
             yield pa.record_batch([pa.array(c, pa.int64()) for c in out], names=["a", "b"])
 
-    gathered = rows.join(full, "rep").groupBy("cluster").agg(F.collect_list(F.struct("rep", "set")).alias("r"))
+    full = shingles_of(once(groups).select(F.col("cluster").alias("node"), "rep"), docs)
+    gathered = full.groupBy("node").agg(F.collect_set(F.struct("rep", "set")).alias("r"))  # a repeated set counts once
     return gathered.select("r").mapInArrow(lean(run), "a long, b long")
 
 
-def exact(sets: list[np.ndarray], per_cent: int) -> list[tuple[int, int]]:
-    """Pairs that span the components of the link graph: 100 * intersection >= per_cent * union."""
+def exact(sets: list[np.ndarray], per_cent: int) -> list[np.ndarray]:
+    """The components of more than one set under 100 * intersection >= per_cent * union, as indices."""
     sizes = np.array([len(s) for s in sets])
     known, at = np.unique(np.concatenate(sets), return_inverse=True)
     starts = np.cumsum(sizes) - sizes
-    label, out = np.arange(len(sets)), []
+    label = np.arange(len(sets))
     mark = np.zeros(len(known), np.int64)
     for i in range(len(sets) - 1):
         mine = at[starts[i] : starts[i] + sizes[i]]
@@ -262,10 +323,8 @@ def exact(sets: list[np.ndarray], per_cent: int) -> list[tuple[int, int]]:
         mark[mine] = 0
         linked = 100 * both >= per_cent * (sizes + sizes[i] - both)
         for j in np.flatnonzero(linked & (label != label[i])):
-            if label[j] != label[i]:
-                out.append((i, int(j)))
-                label[label == label[j]] = label[i]
-    return out
+            label[label == label[j]] = label[i]
+    return [np.flatnonzero(label == k) for k, n in zip(*np.unique(label, return_counts=True), strict=True) if n > 1]
 
 
 def near_duplicates(docs: DataFrame, per_cent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -277,24 +336,29 @@ def near_duplicates(docs: DataFrame, per_cent: int = 80, id_col: str = "doc_id",
     no part: its component is null and it is kept. Other columns are dropped, whatever their names.
     """
     texts = _texts(docs, id_col, text_col)
-    sig = stash(signatures(docs, id_col, text_col), "signatures")
-    known = sig.where("doc_id is not null and n_shingles > 0")
-    classes = stash(known.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
-    own = known.select("doc_id", "digest").join(classes, "digest").select("doc_id", "rep")
-    reps = known.join(classes, "digest").where("doc_id = rep").select("rep", F.col("n_shingles").alias("n"), "sketch").dropDuplicates(["rep"])
-    reps = stash(reps, "sketches")
     share = per_cent / 100
+    trees = trees_for(share)
+    sig = stash(signatures(docs, trees, id_col, text_col), "signatures")
+    known = sig.where("doc_id is not null and n_shingles > 0")
+    reps = stash(known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("roots").alias("roots"), F.first("sketch").alias("sketch")), "sketches")
     least = share - LEAST_SIGMAS * float(np.sqrt(share * (1 - share) / WIDTH))
-    leaf, whole = leaves(reps, roots())
+    first = F.array(*[F.xxhash64(F.lit(t), F.element_at("roots", t + 1)) for t in range(trees)])
+    leaf, whole, used = leaves(reps, first, 1 / share + EXTRA)
     edges = []
     if whole is not None:  # nodes of different trees with the same smallest document are mostly one group
         more, edges = solved(stash(whole.select(F.xxhash64("lo").alias("node"), "rep").distinct(), "groups"), texts, per_cent)
         leaf = reduce(DataFrame.union, more, leaf)
-    edges = reduce(DataFrame.union, edges, links(clusters(leaf, reps, least, share), texts, per_cent))
-    shared = own.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("a", "b")
+    groups = stash(clusters(leaf, reps, least, share), "clusters")
+    discard(*used)
+    edges = reduce(DataFrame.union, edges, links(groups, texts, per_cent))
+    # a row's id and the smallest of its class are one document's, where an id has several sets
+    several = known.groupBy("doc_id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x <> y").select("doc_id")
+    shared = known.select("doc_id", "digest").join(several, "doc_id").join(reps.select("digest", "rep"), "digest").select("doc_id", "rep").distinct()
     found = components(edges.union(shared))
-    rows = sig.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left")
-    rows = rows.join(found, F.col("rep") == F.col("node"), "left")
-    component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "rep")).otherwise(F.col("doc_id"))
-    out = rows.select("doc_id", "n_shingles", component.alias("component_id"))
+    of_class = reps.select("digest", "rep").join(found, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("component"))
+    rows = sig.select("doc_id", "n_shingles", "digest")
+    # a row without a set or an id has no class
+    none = F.col("digest").isNull() | F.col("doc_id").isNull()
+    out = spread(rows.where(~none), of_class, "digest", "doc_id").select("doc_id", "n_shingles", F.col("component").alias("component_id"))
+    out = out.union(rows.where(none).select("doc_id", "n_shingles", "doc_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))).withColumnRenamed("doc_id", id_col)

@@ -7,17 +7,24 @@ import tempfile
 import uuid
 
 import pyarrow as pa
-
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+_own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. Where that is unset, a temporary folder, which only a
+    session whose executors are threads of this process can share; on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="sparrowdex-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    if found:
+        return found.rstrip("/")
+    context = spark.sparkContext
+    if not (context.master == "local" or context.master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+    if context.applicationId not in _own:
+        _own[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="sparrowdex-")
+    return _own[context.applicationId]
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -28,17 +35,32 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder and read again."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
 
 
-def discard(df: DataFrame) -> None:
-    """Deletes a stash that nothing reads any more."""
-    spark = df.sparkSession
-    for file in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(file)
+def discard(*stashes: DataFrame) -> None:
+    """Deletes stashes that nothing reads any more."""
+    for df in stashes:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.scratch)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def spread(rows: DataFrame, found: DataFrame, key: str, by: str, like: DataFrame | None = None) -> DataFrame:
+    """rows joined with found, which has one row at most for each value of `key`; rows without a partner go.
+
+    A value that very many rows have is dealt, by a hash of the column `by`, over as many tasks as a shuffle has: found
+    meets the distinct (key, part) pairs, of which a key has no more than parts, and rows meet those. like: rows with the
+    same keys and `by`, where they are cheaper to read than rows themselves.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = F.pmod(F.xxhash64(by), F.lit(parts)).cast("int").alias("part_")
+    pairs = (rows if like is None else like).select(key, part).distinct()
+    return rows.select("*", part).join(pairs.join(found, key), [key, "part_"]).drop("part_")
+
+
 #: Bytes that go to a Python worker at once; Spark's own bound holds several copies of 64 MB in each task.
 BATCH_BYTES, BATCH_KEY, SPARK_DEFAULT = "8m", "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
