@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-MEMO_ROWS = 150_000
+MEMO_ROWS, MEMO_CHARS = 150_000, 64
 #: Text that is coded at once.
 BATCH_BYTES = 2 << 20
 _loaded: dict[str, object] = {}
@@ -70,7 +70,9 @@ class Coder:
             if v is None:
                 k = keys[i]
                 v = self.older.get(k)
-                found[i] = self.words[k] = code(k) if v is None else v
+                found[i] = v = code(k) if v is None else v
+                if len(k) <= MEMO_CHARS:
+                    self.words[k] = v
         if len(self.words) > MEMO_ROWS:  # words that are met again move on, the others go
             self.words, self.older = {}, self.words
         return found

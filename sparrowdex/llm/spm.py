@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pieces import batches_of
+from .pieces import MEMO_CHARS, batches_of
 from .workspace import lean, small_batches
 
 MARK = "▁"
@@ -154,7 +154,9 @@ class Model:
                     found[k] = self.units[u] = v
         new = sorted((u, k) for k, u in enumerate(units) if found[k] is None)
         for (u, k), pieces in zip(new, self.encode_sorted([u for u, _ in new]), strict=True):
-            found[k] = self.units[u] = self.to_ids(pieces)
+            found[k] = self.to_ids(pieces)
+            if len(u) <= MEMO_CHARS:
+                self.units[u] = found[k]
         return found
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
