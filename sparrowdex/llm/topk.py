@@ -1,9 +1,11 @@
 """Exact top-k by inner product: exhaustive term-at-a-time accumulation.
 
-Candidate rows become blocks of posting lists, query rows blocks of sparse rows. Each query block meets each candidate
-block once, by an equi-join on (query block, salt): the query blocks are copied once per salt and each candidate block
-once per query block, so neither side has to be small. A task adds, term by term, the query weights times the posting
-weights to a dense score array, partitions it for the k best of each query row, and a window merges the blocks' winners.
+Candidate rows become blocks of posting lists: for each term the rows that have it, and their weights; zeros are in no
+list. Query rows become blocks of QUERY_ROWS, dealt by a hash of their id. Every query block meets every candidate block:
+where all queries together have at most BROADCAST_BYTES, they go to every task and the candidates stay where they are;
+beyond, by an equi-join on (query block, salt), with the query blocks copied once per salt and each candidate block once
+per query block. A task goes through the terms, scatters the query weights times the posting weights into a dense score
+array of SCORE_ROWS queries, partitions it for the k best of each, and a window merges the blocks' winners.
 """
 
 from __future__ import annotations
@@ -14,7 +16,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-QUERY_ROWS, CANDIDATE_ROWS = 512, 2048
+QUERY_ROWS, CANDIDATE_ROWS, SCORE_ROWS = 8192, 2048, 512
+BROADCAST_BYTES = 64 << 20
+#: Candidate rows that a salt has at most, on average.
+SALT_ROWS = 1 << 20
 
 
 def quantised(vector: str, scale: int = 256):
@@ -56,27 +61,40 @@ def _query_blocks(rows: DataFrame, parts: int) -> DataFrame:
     return dealt.select("q_block", "r.id", "r.v").mapInArrow(run, "q_block int, q_ids binary, q_ends binary, q_flat binary")
 
 
-def _matrix(ends: bytes, flat: bytes) -> np.ndarray:
-    e, f = np.frombuffer(ends, "<i8"), np.frombuffer(flat, "<i8")
-    n, width = len(e) - 1, int(np.diff(e).max(initial=0))
-    m = np.zeros((n, width), np.int64)
-    row = np.repeat(np.arange(n), np.diff(e))
-    m[row, np.arange(len(f)) - e[row]] = f
-    return m
-
-
-def accumulate(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
-    """Integer inner products, one term after the other; terms that either side lacks count as 0."""
-    scores = np.zeros((len(queries), len(candidates)), np.int64)
-    for t in range(min(queries.shape[1], candidates.shape[1])):
-        q = np.flatnonzero(queries[:, t])
-        c = np.flatnonzero(candidates[:, t])
-        if not len(q) or not len(c):
-            continue
-        if 2 * len(q) * len(c) > scores.size:  # dense enough to add without scattering
-            scores += np.multiply.outer(queries[:, t], candidates[:, t])
+class Postings:
+    """Lists of (row, weight) by term, for rows first to last of a block of sparse vectors; no zeros."""
+
+    def __init__(self, ends: np.ndarray, flat: np.ndarray, first: int = 0, last: int | None = None):
+        last = len(ends) - 1 if last is None else last
+        part = flat[ends[first] : ends[last]]
+        sizes = np.diff(ends[first : last + 1])
+        row = np.repeat(np.arange(last - first), sizes)
+        term = np.arange(len(part)) - np.repeat(ends[first:last] - ends[first], sizes)
+        some = np.flatnonzero(part)
+        some = some[np.argsort(term[some], kind="stable")]
+        self.n, self.rows, self.weights = last - first, row[some], part[some]
+        self.terms, starts = np.unique(term[some], return_index=True)
+        self.at = np.append(starts, len(some))
+
+    def of(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        return self.rows[self.at[k] : self.at[k + 1]], self.weights[self.at[k] : self.at[k + 1]]
+
+
+def accumulate(queries: Postings, candidates: Postings) -> np.ndarray:
+    """Integer inner products, term after term; a term that either side lacks adds nothing."""
+    scores = np.zeros((queries.n, candidates.n), np.int64)
+    _, i, j = np.intersect1d(queries.terms, candidates.terms, assume_unique=True, return_indices=True)
+    for a, b in zip(i.tolist(), j.tolist(), strict=True):
+        rows, weights = queries.of(a)
+        posted, values = candidates.of(b)
+        added = np.multiply.outer(weights, values)
+        if len(posted) == candidates.n:  # every candidate has the term
+            if len(rows) == queries.n:
+                scores += added
+            else:
+                scores[rows] += added
         else:
-            scores[np.ix_(q, c)] += np.multiply.outer(queries[q, t], candidates[c, t])
+            scores[np.ix_(rows, posted)] += added
     return scores
 
 
@@ -102,25 +120,32 @@ def top_k(rows: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector_
     spark = rows.sparkSession
     usable = rows.select(F.col(id_col).cast("long").alias("id"), quantised(vector_col, scale).alias("v"), is_query.alias("q")).where("id is not null and v is not null")
     asked = usable.where("q").groupBy("id").agg(F.min("v").alias("v"))  # one answer per id
-    n = asked.count()
-    parts = max(1, -(-n // QUERY_ROWS))
-    salts = max(1, spark.sparkContext.defaultParallelism)
-    asks = _query_blocks(asked, parts).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    blocks = _candidate_blocks(usable.select("id", "v")).withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int"))
-    blocks = blocks.withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    size = asked.agg(F.count("*").alias("n"), F.sum(F.size("v") + 2).alias("words")).first()
+    parts = max(1, -(-size.n // QUERY_ROWS))
+    blocks = _candidate_blocks(usable.select("id", "v")).withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    asks = _query_blocks(asked, parts)
+    if 8 * (size.words or 0) <= BROADCAST_BYTES:
+        met = blocks.join(F.broadcast(asks), "q_block")
+    else:
+        salts = max(spark.sparkContext.defaultParallelism, -(-usable.count() // SALT_ROWS))
+        asks = asks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        met = blocks.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int")).join(asks, ["q_block", "salt"])
 
     def run(batches):
         for b in batches:
-            out: list[list] = [[], [], [], []]
-            for r in b.to_pylist():
-                ids, own = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["q_ids"], "<i8")
-                scores = accumulate(_matrix(r["q_ends"], r["q_flat"]), _matrix(r["ends"], r["flat"]))
-                for i, at in best(scores, ids, own, k):
-                    out[0] += [own[i]] * len(at)
-                    out[1] += ids[at].tolist()
-                    out[2] += scores[i, at].tolist()
-            yield pa.record_batch([pa.array(c, pa.int64()) for c in out[:3]], names=["query_id", "id", "score"])
-
-    found = blocks.join(asks, ["q_block", "salt"]).select("ids", "ends", "flat", "q_ids", "q_ends", "q_flat").mapInArrow(run, "query_id long, id long, score long")
+            for r in range(b.num_rows):
+                ids, ends, flat, q_ids, q_ends, q_flat = (np.frombuffer(b.column(c)[r].as_buffer(), "<i8") for c in range(6))
+                candidates = Postings(ends, flat)
+                for at in range(0, len(q_ids), SCORE_ROWS):
+                    own = q_ids[at : at + SCORE_ROWS]
+                    scores = accumulate(Postings(q_ends, q_flat, at, at + len(own)), candidates)
+                    out: list[list] = [[], [], []]
+                    for i, found in best(scores, ids, own, k):
+                        out[0] += [own[i]] * len(found)
+                        out[1] += ids[found].tolist()
+                        out[2] += scores[i, found].tolist()
+                    yield pa.record_batch([pa.array(c, pa.int64()) for c in out], names=["query_id", "id", "score"])
+
+    found = met.select("ids", "ends", "flat", "q_ids", "q_ends", "q_flat").mapInArrow(run, "query_id long, id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
