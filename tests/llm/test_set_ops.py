@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sparrowdex.llm import components, html_text, media, near_dup, queries, topk, warc
+from sparrowdex.llm import components, html_text, media, near_dup, queries, topk, warc, workspace
 from sparrowdex.llm.shingles import shingle_sets
 
 
@@ -89,12 +89,59 @@ def test_a_template_group_of_unlinked_documents(spark):
     assert got == {i: 4999 - i if i >= 4940 else i for i in range(5000)}
 
 
+@pytest.mark.parametrize("share", [0.8, 0.85])
+def test_recall_of_the_trees(share):
+    """The computed recall of a pair at the threshold, and a simulation of the branching, down to level 10."""
+    trees, kids = near_dup.trees_for(share), 1 / share + near_dup.EXTRA
+    assert near_dup.expected_recall(share, trees, 10) >= 0.995 and near_dup.expected_recall(share, trees, 24) >= 0.995
+    r = np.random.default_rng(0)
+    met = 0
+    for _ in range(500):
+        same = r.random(near_dup.WIDTH) < share
+        for _ in range(trees):
+            alive = int(same[r.integers(near_dup.WIDTH)])
+            for _ in range(9):
+                alive = int(same[r.integers(near_dup.WIDTH, size=alive + r.binomial(alive, kids - 1))].sum())
+            if alive:
+                met += 1
+                break
+    assert met >= 0.98 * 500
+
+
+@pytest.mark.parametrize("per_cent", [80, 85])
+def test_a_group_of_many_levels(spark, per_cent, monkeypatch):
+    """3,000 documents of which any two have half their shingles in common, so that nodes halve: with leaves of 32
+    documents, six levels and more. Pairs right at the threshold are among them."""
+    monkeypatch.setattr(near_dup, "LEAF", 32)
+    made = []
+    monkeypatch.setattr(near_dup, "stash", lambda df, name, f=near_dup.stash: made.append(name) or f(df, name))
+    template = [f"t{i}" for i in range(104)]  # 100 shingles
+    texts = [" ".join([*template, *(f"w{i}x{k}" for k in range(60))]) for i in range(3000)]  # 160 shingles
+    cut = {80: 17, 85: 12}[per_cent]  # 143 of 177: 0.81, 148 of 172: 0.86
+    for i in range(100):
+        texts[2999 - i] = " ".join([*texts[i].split()[:-cut], *(f"v{i}x{k}" for k in range(cut))])
+    rows = [(i, t) for i, t in enumerate(texts)]
+    got = {x.doc_id: x.component_id for x in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), per_cent).collect()}
+    assert made.count("nodes") >= 6
+    assert got == {i: 2999 - i if i >= 2900 else i for i in range(3000)}
+
+
 def test_repeated_ids_are_one_document(spark):
     a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
     rows = [(1, a), (5, a), (5, b), (9, b), (9, b)]
     got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len(got) == 5 and {r.component_id for r in got} == {1}
     assert near_dup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).isEmpty()
+    c = " ".join(f"c{i}" for i in range(30))
+    rows = [(1, a), (2, b), (3, c), (7, a), (7, b), (7, c)]  # an id with three sets
+    assert {r.component_id for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {1}
+
+
+def test_hot_keys_are_dealt_out(spark):
+    rows = spark.createDataFrame([("a", i) for i in range(50)] + [("b", 1), ("b", 1), ("c", 2), (None, 3)], "k string, i long")
+    found = spark.createDataFrame([("a", 1), ("b", 2), ("d", 3)], "k string, v long")
+    got = sorted((r.k, r.i, r.v) for r in workspace.spread(rows, found, "k", "i").collect())
+    assert got == sorted([("a", i, 1) for i in range(50)] + [("b", 1, 2)] * 2)
 
 
 def test_query_on_the_tables(spark, sf):
@@ -129,22 +176,55 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).isEmpty()
 
 
-def test_archives(spark, tmp_path):
-    big = "<p>" + "x\r\n\r\n" * 60 + "WARC/1.1\r\n</p>"
-    rows = [(3, "http://a/", big), (1, "http://b c/\r\nEvil: 1", big), (2, None, "small"), (4, "u", "small"), (5, "u", None), (6, "u", ""), (7, "u", "é" * 50), (8, "u", "é" * 50), (8, "u", "é" * 50), (None, "u", big), (9, "u", "y" * 300_000)]
-    df = spark.createDataFrame([(i, u, h, "t", 0) for i, u, h in rows], "page_id long, url string, html string, record_type string, payload_bytes int")
+ARCHIVED = "<p>" + "x\r\n\r\n" * 60 + "WARC/1.1\r\n</p>"
+RECORDS = [(3, "http://a/", ARCHIVED), (1, "http://b c/\r\nEvil: 1", ARCHIVED), (2, None, "small"), (4, "u", "small"), (5, "u", None), (6, "u", ""), (7, "u", "é" * 50), (8, "u", "é" * 50), (8, "u", "é" * 50), (None, "u", ARCHIVED), (9, "u", "y" * 300_000), (10, "u", "z" * 200), (10, "v", "z" * 200), (None, "u", "w" * 200), (None, "v", "w" * 200)]
+
+
+@pytest.mark.parametrize("broadcast", [200_000, -1])
+def test_archives(spark, tmp_path, monkeypatch, broadcast):
+    monkeypatch.setattr(warc, "BROADCAST_DIGESTS", broadcast)
+    df = spark.createDataFrame([(i, u, h, "t", 0, "k") for i, u, h in RECORDS], "page_id long, url string, html string, record_type string, payload_bytes int, first string")
     path = str(tmp_path / "warc")
     warc.write(warc.records(df), path)
     got = warc.resolve(warc.read(spark, path, with_payload=True)).collect()
     want = []
-    for i, _, h in rows:
+    for i, _, h in RECORDS:
         raw = (h or "").encode()
         want.append((i, len(raw), hashlib.sha256(raw).hexdigest(), h or ""))
     key = lambda x: (x[0] is None, x[0] or 0, x[2])
     assert sorted(((r.id, r.payload_bytes, r.payload_digest, r.payload) for r in got), key=key) == sorted(want, key=key)
-    kinds = sorted((r.id if r.id is not None else -1, r.record_type, r.refers_to) for r in got)
-    assert kinds == sorted([(3, "revisit", 1), (1, "response", None), (2, "response", None), (4, "response", None), (5, "response", None), (6, "response", None), (7, "response", None), (8, "revisit", 7), (8, "revisit", 7), (-1, "revisit", 1), (9, "response", None)], key=lambda x: (x[0], x[1], x[2] or 0)) or len(kinds) == 11
+    kinds = sorted((r.id or -1, r.record_type, r.refers_to or 0) for r in got)
+    assert kinds == sorted([(3, "revisit", 1), (1, "response", 0), (2, "response", 0), (4, "response", 0), (5, "response", 0), (6, "response", 0), (7, "response", 0), (8, "revisit", 7), (8, "revisit", 7), (-1, "revisit", 1), (9, "response", 0), (10, "response", 0), (10, "response", 0), (-1, "response", 0), (-1, "response", 0)])
     assert {r.uri for r in got if r.id == 1} == {"http://b%20c/%20%20Evil:%201"}
+    empty = str(tmp_path / "empty")
+    warc.write(warc.records(df.limit(0)), empty)
+    assert warc.resolve(warc.read(spark, empty)).isEmpty()
+
+
+def test_archives_are_a_member_a_record(spark, tmp_path):
+    import gzip
+    import zlib
+
+    df = spark.createDataFrame([(i, u, h) for i, u, h in RECORDS], "page_id long, url string, html string")
+    warc.write(warc.records(df.coalesce(2)), str(tmp_path / "warc"), records_per_file=4)
+    files = [f.read_bytes() for f in (tmp_path / "warc").glob("*.txt")]
+    assert len(files) >= 4
+    members = []
+    for raw in files:
+        whole = gzip.decompress(raw)
+        while raw:
+            d = zlib.decompressobj(31)
+            members.append(d.decompress(raw) + d.flush())
+            raw = d.unused_data
+        assert whole.endswith(b"\r\n\r\n")
+    assert sorted(len(list(warc.parse([m]))) for m in members) == [0] * len(RECORDS) + [1] * len(RECORDS)
+
+
+def test_revisits_without_a_response(spark):
+    rows = [(1, "u", "response", None, "d1", 5, "d1"), (2, "u", "revisit", 1, "d1", 0, "e"), (3, "u", "revisit", 9, "d9", 0, "e"), (4, "u", "revisit", 1, "other", 0, "e"), (5, "u", "revisit", None, None, 0, "e")]
+    df = spark.createDataFrame(rows, "id long, uri string, record_type string, refers_to long, said_digest string, own_bytes long, own_digest string")
+    got = sorted((r.id, r.refers_to, r.payload_bytes, r.payload_digest) for r in warc.resolve(df).collect())
+    assert got == [(1, None, 5, "d1"), (2, 1, 5, "d1"), (3, 9, None, "d9"), (4, 1, None, "other"), (5, None, None, None)]
 
 
 def test_archive_query_matches_sql(spark, sf, duck, multiset):
@@ -191,6 +271,44 @@ def test_main_text_without_an_article_element(html, texts):
     assert html_text.main_text(html).split("\n") == texts
 
 
+SHORT = "<p>One short paragraph of the text.</p><p>And another one, to end it.</p>"
+TEXT = "One short paragraph of the text.\nAnd another one, to end it."
+NAMED = [
+    f'<body class="single comments-open">{NAV}{SHORT}{FOOT}</body>',
+    f'<article class="post comments-open">{SHORT}</article>',
+    f'<body><form id="aspnetForm">{NAV}{SHORT}<input><button>Go</button>{FOOT}</form></body>',
+    f'<body>{NAV}<div id="share-price-analysis">{SHORT}</div>{FOOT}</body>',
+    f'<body>{NAV}<div class="cookie-recipe">{SHORT}</div>{FOOT}</body>',
+    f"<body><nav><a>Home</a> <a>News</a><div>{SHORT}</div></body>",
+    f"<body><div><a>Home</a> <a>News</a> <a>Sport</a></div>{SHORT}<div>(c) 2024 Site</div></body>",
+    f"<body><div><a>Home</a> <a>News</a> <a>Sport</a></div>{SHORT * 3}<div>(c) 2024 Site</div></body>",
+    f'<body>{SHORT}<div class="acme-sidebar"><p>{LONG}</p></div><section id="comments"><p>{LONG * 3}</p></section></body>',
+    f'<body><div class="cookie-notice"><p>{LONG}</p></div><main>{SHORT}<div class="newsletter-box">Mail me</div></main></body>',
+    '<body><p>One short <button>Share</button>paragraph of the text.</p><p>And another one, <span class="ad">buy</span>to end it.</p></body>',
+]
+
+
+def test_teasers_are_no_article():
+    cards = "".join(f"<article><h3>Card {i}</h3><p>More to read.</p></article>" for i in range(3))
+    assert html_text.main_text(f"<body>{NAV}<div id=story><h1>Title</h1><p>{LONG}</p><p>{LONG}</p></div>{cards}{FOOT}</body>").startswith("Title\n" + LONG.strip())
+
+
+@pytest.mark.parametrize("page", NAMED)
+def test_names_do_not_empty_a_page(page):
+    assert html_text.main_text(page) in (TEXT, "\n".join([TEXT] * 3))
+
+
+def test_nesting_is_linear():
+    import time
+
+    times = []
+    for depth in (10_000, 40_000):
+        began = time.process_time()
+        assert html_text.main_text("<div>" * depth + "<p>deep text</p>" + "</b>" * depth) == "deep text"
+        times.append(time.process_time() - began)
+    assert times[1] < 10 * times[0]
+
+
 def test_main_text_table(spark):
     rows = [(i, f"u{i}", h, "t", 7) for i, (h, _) in enumerate(PAGES)] + [(None, None, "<p>x</p>", "t", 1), (1, "u1", PAGES[1][0], "t", 1)]
     got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")).collect()
@@ -230,9 +348,24 @@ def test_top_k_query_matches_sql(spark, sf, duck, multiset):
 
 def test_sparse_and_dense_accumulation():
     r = np.random.default_rng(1)
-    q, c = r.integers(-9, 9, (6, 20)), r.integers(-9, 9, (30, 16))
-    q[r.random(q.shape) < 0.8] = 0
-    assert (topk.accumulate(q, c) == q[:, :16] @ c.T).all()
+    for share in (0.0, 0.5, 0.9, 1.0):
+        q, c = r.integers(-9, 9, (6, 20)), r.integers(-9, 9, (30, 16))
+        q[r.random(q.shape) < share] = 0
+        c[r.random(c.shape) < share] = 0
+        post = lambda m, a=0, z=None: topk.Postings(np.arange(len(m) + 1) * m.shape[1], m.ravel(), a, z)
+        assert (topk.accumulate(post(q), post(c)) == q[:, :16] @ c.T).all()
+        assert (topk.accumulate(post(q, 2, 5), post(c)) == q[2:5, :16] @ c.T).all()
+        lists = post(c)
+        assert sum(len(lists.of(k)[0]) for k in range(len(lists.terms))) == np.count_nonzero(c)
+
+
+def test_top_k_by_either_join(spark, sf, duck, multiset, monkeypatch):
+    monkeypatch.setattr(topk, "QUERY_ROWS", 2)
+    monkeypatch.setattr(topk, "SCORE_ROWS", 1)
+    want = multiset(duck.sql(queries.OP6_SQL).df())
+    for limit in (1 << 26, -1):
+        monkeypatch.setattr(topk, "BROADCAST_BYTES", limit)
+        assert multiset(queries.op6_top_k(spark, sf).toPandas()) == want
 
 
 def picture(seed, h=90, w=70):
@@ -254,6 +387,124 @@ def test_copied_images(spark):
     assert media.copies(df.limit(0), "image_id", "image").isEmpty()
 
 
+def box(a, times):
+    for _ in range(times):
+        a = sum(np.roll(a, (y, x), (0, 1)) for y in (-1, 0, 1) for x in (-1, 0, 1)) / 9
+    return a
+
+
+def photo(seed, h=160, w=200):
+    """Soft ground at three scales, and shapes with edges and shades of their own."""
+    r = np.random.default_rng(seed)
+    out = np.full((h, w), 128.0)
+    for times, contrast in ((1, 15), (3, 30), (12, 60)):
+        ground = box(r.normal(size=(h, w)), times)
+        out += contrast * ground / ground.std()
+    for _ in range(14):
+        y, x, high, wide = r.integers(0, h - 20), r.integers(0, w - 20), r.integers(8, 40), r.integers(8, 40)
+        out[y : y + high, x : x + wide] = out[y : y + high, x : x + wide] * 0.4 + r.integers(20, 200)
+    return np.clip(out, 0, 255).astype(np.uint8)
+
+
+def turned(im, degrees):
+    h, w = im.shape
+    c, s = np.cos(np.deg2rad(degrees)), np.sin(np.deg2rad(degrees))
+    y, x = np.mgrid[0 : int(h * c + w * s), 0 : int(w * c + h * s)]
+    x, y = x - x.shape[1] / 2, y - x.shape[0] / 2
+    u, v = x * c + y * s + w / 2, y * c - x * s + h / 2
+    i, j = np.clip(v.astype(int), 0, h - 2), np.clip(u.astype(int), 0, w - 2)
+    fy, fx, im = np.clip(v - i, 0, 1), np.clip(u - j, 0, 1), im.astype(float)
+    mixed = (im[i, j] * (1 - fx) + im[i, j + 1] * fx) * (1 - fy) + (im[i + 1, j] * (1 - fx) + im[i + 1, j + 1] * fx) * fy
+    return np.where((u < 0) | (v < 0) | (u > w - 1) | (v > h - 1), 0, mixed).astype(np.uint8)
+
+
+def noisy(im, sd, r):
+    return np.clip(im + r.normal(0, sd, im.shape), 0, 255).astype(np.uint8)
+
+
+def covered(im):
+    out = im.copy()
+    out[40:80, 30:150] = 255
+    return out
+
+
+def part(im, size, r):
+    y, x = r.integers(0, im.shape[0] - size), r.integers(0, im.shape[1] - size)
+    return im[y : y + size, x : x + size]
+
+
+EDITS = {
+    "crop of 50": lambda im, r: part(im, 50, r),
+    "crop of 100": lambda im, r: part(im, 100, r),
+    "noise": lambda im, r: noisy(im, 10, r),
+    "crop with noise": lambda im, r: noisy(part(im, 100, r), 3, r),
+    "overlay": lambda im, r: covered(im),
+    "darker": lambda im, r: (255 * (im / 255) ** 1.6).astype(np.uint8),
+    "lighter": lambda im, r: (255 * (im / 255) ** 0.6).astype(np.uint8),
+    "quarter turn": lambda im, r: np.rot90(im),
+    "half turn": lambda im, r: np.rot90(im, 2),
+    "turn": lambda im, r: turned(im, 30),
+    "half size": lambda im, r: box(im.astype(float), 1)[::2, ::2].astype(np.uint8),
+}
+
+
+def test_edited_images_are_found(spark):
+    """Of 20 pictures and one copy with each edit, nine in ten copies at least are found, and no other pair."""
+    images, ids = [], {}
+    for seed in range(20):
+        im, r = photo(seed), np.random.default_rng(seed)
+        ids[seed, None] = len(images)
+        images.append(im)
+        for name, edit in EDITS.items():
+            ids[seed, name] = len(images)
+            images.append(edit(im, r))
+    df = spark.createDataFrame([(i, media.encode_pgm(p)) for i, p in enumerate(images)], "id long, image binary").repartition(8)
+    got = {r.id: r.component_id for r in media.copies(df, "id", "image").collect()}
+    for name in EDITS:
+        assert sum(got[ids[s, name]] == ids[s, None] for s in range(20)) >= 18, name
+    assert all(got[ids[s, None]] == ids[s, None] for s in range(20))
+
+
+def test_a_small_crop_of_a_large_image(spark):
+    """Crops of one to three hundredths of the area meet their original among others."""
+    images = {s: photo(s, 500, 600) for s in range(4)}
+    for s in range(4):
+        for k, size in enumerate((55, 70, 95)):
+            images[10 + 3 * s + k] = part(images[s], size, np.random.default_rng(s + 50 * k))
+    df = spark.createDataFrame([(i, media.encode_pgm(p)) for i, p in images.items()], "id long, image binary")
+    got = {r.id: r.component_id for r in media.copies(df, "id", "image").collect()}
+    assert sum(got[10 + 3 * s + k] == s for s in range(4) for k in range(3)) >= 11 and all(got[s] == s for s in range(4))
+
+
+def test_entries_of_many_images(spark, monkeypatch):
+    """Entries of more images than a leaf holds branch on the corners around, or are dealt around two of their images."""
+    monkeypatch.setattr(media, "LEAF", 8)
+    stamp = photo(1, 60, 60)  # all pictures show it, but it is no fifth of any
+    images = {}
+    for s in range(40):
+        im = photo(100 + s)
+        im[40:70, 50:80] = stamp[:30, :30]
+        images[s] = im
+    for s in range(20):
+        images[100 + s] = part(images[s], 110, np.random.default_rng(s))
+    for s in range(40):  # and one that has forty copies
+        images[200 + s] = noisy(photo(2), 2 + s % 3, np.random.default_rng(s))
+    df = spark.createDataFrame([(i, media.encode_pgm(p)) for i, p in images.items()], "id long, image binary").repartition(8)
+    got = {r.id: r.component_id for r in media.copies(df, "id", "image").collect()}
+    assert all(got[200 + s] == 200 for s in range(40)) and all(got[s] == s for s in range(40))
+    assert sum(got[100 + s] == s for s in range(20)) >= 18
+
+
+def test_comparison_in_blocks(monkeypatch):
+    im = photo(3)
+    a, b = media.features([im])[0], media.features([np.ascontiguousarray(np.rot90(im))])[0]
+    whole = media.votes(a, b)
+    monkeypatch.setattr(media, "AT_ONCE", 1000)
+    assert media.votes(a, b) == whole >= 0.9 * len(a)
+    small = [photo(s, 60, 80) for s in range(5)]
+    assert all((x == media.features([p])[0]).all() for x, p in zip(media.features(small), small, strict=True))
+
+
 def test_images_against_all_pairs(spark, sf):
     """Each pair of pages that the full comparison calls a copy is in one component, and no other."""
     pages = queries.table(spark, sf, "pages").select("page_id", "html").collect()

@@ -37,31 +37,43 @@ def test_counts_are_the_library_s(spark, library):
     for r in got:
         text = "no id" if r.doc_id is None else ODD[r.doc_id]
         assert r.n_tokens == len(library(text)) and r.n_bytes == len((text or "").encode()) and r.over_limit == (r.n_tokens > 10)
-        assert (r.prefix_tokens or [0])[-1] == r.n_tokens
+        assert len(r.prefix_tokens) == len(text or "") + 1 and r.prefix_tokens[-1] == r.n_tokens
     assert token_counts.token_counts(frame(spark, ODD).limit(0), PATH).isEmpty()
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.text(alphabet=st.sampled_from("abé 'stE.\n,1漢<|>endoftx-_"), max_size=60))
-def test_prefixes(text):
+def test_counts_of_the_tables(spark, sf, library):
+    """The query against the library, text by text."""
+    texts = {r.doc_id: r.text for r in queries.table(spark, sf, "documents").select("doc_id", "text").collect()}
+    got = queries.op8_token_counts(spark, sf).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        n = len(library(texts[r.doc_id]))
+        assert (r.n_bytes, r.n_tokens, r.over_limit) == (len((texts[r.doc_id] or "").encode()), n, n > 2048)
+
+
+def by_prefix(text, library):
+    return [len(library(text[:k])) for k in range(len(text) + 1)]
+
+
+def test_every_prefix_of_odd_texts(library):
+    for text in [*ODD, "they'RE we'll'd ''s 'v 'l ...'re 'r", "ÅÅ Ǆemal ﬁ ½¾ ①② e̊a", "ab<|endoftext|>cd<|endoftext <|startoftext|>", "สวัสดีครับ नमस्ते 한국어 각 각", " x y​z", "=≠ ≮"]:
+        text = (text or "")[:150]
+        assert token_counts.prefix_table(text, PATH).tolist() == by_prefix(text, library)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.one_of(st.text(alphabet=st.sampled_from("abcéİΣσ 'strevldmS.\n,12漢<|>-_́ "), max_size=40), st.text(max_size=25), st.lists(st.sampled_from(["the", "ing", "<|endoftext|>", "'re", "un", "Wonder", "...", " "])).map("".join)))
+def test_every_prefix(text):
     from tokenizers import Tokenizer
 
-    count = lambda x: len(Tokenizer.from_file(PATH).encode(x, add_special_tokens=False).ids)
-    table = token_counts.prefix_table(text, PATH)
-    cuts = {0, len(text), len(text) // 2, len(text) // 3}
-    assert all(token_counts.count_at(text, c, PATH, table) == count(text[:c]) for c in cuts)
-    total = count(text)
-    for budget in (0, 1, total // 2, total):
-        n = token_counts.truncate_at(text, budget, PATH, table)
-        assert count(text[:n]) <= budget or n == 0
-
-
-def test_truncation_is_the_longest(library):
-    text = "Hello wonderful, world of extraordinary things. It ends here!"
-    for budget in range(0, 16):
-        n = token_counts.truncate_at(text, budget, PATH)
-        fits = [k for k in range(len(text) + 1) if len(library(text[:k])) <= budget]
-        assert n == max(fits)
+    loaded = Tokenizer.from_file(PATH)
+    library = lambda x: loaded.encode(x, add_special_tokens=False).ids
+    table, want = token_counts.prefix_table(text, PATH), by_prefix(text, library)
+    assert table.tolist() == want
+    for k in range(len(text) + 2):
+        assert token_counts.count_at(table, k) == want[min(k, len(text))]
+    for budget in range(max(want) + 2):
+        assert token_counts.truncate_at(table, budget) == max(k for k, n in enumerate(want) if n <= budget)
 
 
 @settings(max_examples=80, deadline=None)
