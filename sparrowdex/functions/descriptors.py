@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Type arguments are taken off from the inside out; deeper nesting than this is left as it is.
-NESTING = 6
 OBJECT = "Ljava/lang/Object;"
 
 
@@ -14,12 +12,23 @@ def _col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def unnested(sig: Column | str) -> Column:
+    """A signature without type arguments, however deep they are nested: one pass over its brackets."""
+    s = _col(sig)
+    parts = F.regexp_extract_all(s, F.lit("[<>]|[^<>]+"), F.lit(0))
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("out"))
+
+    def step(at: Column, part: Column) -> Column:
+        depth = at["depth"] + F.when(part == "<", 1).when(part == ">", -1).otherwise(0)
+        return F.struct(depth.alias("depth"), F.when((at["depth"] == 0) & (part != "<"), F.concat(at["out"], part)).otherwise(at["out"]).alias("out"))
+
+    return F.when(F.contains(s, F.lit("<")), F.aggregate(parts, start, step)["out"]).otherwise(s)
+
+
 def erase(sig: Column | str) -> Column:
     """The descriptor of a signature: arguments gone, variables and wildcards as Object, unresolved names as classes."""
-    s = _col(sig)
-    for _ in range(NESTING):
-        s = F.regexp_replace(s, "<[^<>]*>", "")
-    s = F.regexp_replace(s, r"^(\[*)(?:T[^;]*;|\*|[-+].*)$", f"$1{OBJECT}")
+    s = F.regexp_replace(unnested(sig), r"^(\[*)[-+].*$", f"$1{OBJECT}")
+    s = F.regexp_replace(s, r"^(\[*)(?:T[^;]*;|\*)$", f"$1{OBJECT}")
     return F.translate(F.regexp_replace(s, r"^(\[*)U", "$1L"), ".", "$")
 
 

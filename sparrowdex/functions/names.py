@@ -131,12 +131,14 @@ def effective_path(path: Column | str, jvm: Column | str, origin: Column | str)
     return F.coalesce(_col(path), default_path(jvm, origin))
 
 
-def decode_uri(uri: Column | str, rounds: int = 4) -> Column:
-    """Percent-decoding until nothing changes, `rounds` times at most; what cannot be decoded stays."""
-    out = _col(uri)
-    for _ in range(rounds):
-        out = F.coalesce(F.try_url_decode(out), out)
-    return out
+def decode_uri(uri: Column | str) -> Column:
+    """Percent-decoding until nothing changes; what cannot be decoded stays."""
+    once = lambda x: F.coalesce(F.try_url_decode(x), x)
+    u = _col(uri)
+    first = once(u)
+    # a round that changes something makes the text shorter by two characters at least
+    rest = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.floor(F.length(first) / 2).cast("int"))), first, lambda x, _: F.when(F.contains(x, F.lit("%")) | F.contains(x, F.lit("+")), once(x)).otherwise(x))
+    return F.when(~F.contains(u, F.lit("%")) & ~F.contains(u, F.lit("+")), u).when(F.contains(first, F.lit("%")) | F.contains(first, F.lit("+")), rest).otherwise(first)
 
 
 def attached_source(resource: Column | str, archive: Column | str) -> Column:

@@ -1,8 +1,8 @@
 """Ranked resolution along an ordered search path.
 
 A path is a small table (rank, prefix): `MAX_RULES` rows at most. A URI has the rank of the first prefix that it starts
-with. Ranks are found for distinct URIs only, against the rules as one literal expression, so no join on a prefix is
-planned; rows then meet their URI's rank by an equi-join or, where the URIs are few, directly.
+with. The rules are one literal expression, so no join on a prefix is planned. A path of up to `DIRECT_RULES` is tried on
+each row, up to the first hit; with a longer one, ranks are found for distinct URIs, which rows meet by an equi-join.
 """
 
 from __future__ import annotations
@@ -10,8 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .rounds import keep, release
+
 #: A longer path is refused: it would no longer be an expression that every row can be tested by.
 MAX_RULES = 10_000
+DIRECT_RULES = 32
 
 
 def _col(x: Column | str) -> Column:
@@ -35,6 +38,11 @@ def rank(uri: Column | str, path: list[str] | None, separator_aware: bool = Fals
         raise ValueError(f"a search path has {MAX_RULES} entries at most")
     if not path:
         return F.lit(-1)
+    if len(path) <= DIRECT_RULES:
+        out = F
+        for k, p in enumerate(path):
+            out = out.when(claims(p, u, separator_aware), k)
+        return F.coalesce(out.otherwise(-1), F.lit(-1))
     # one pass over an array of literals, whatever its length
     rules = F.array(*[F.lit(p) for p in path])
     if separator_aware:
@@ -44,9 +52,17 @@ def rank(uri: Column | str, path: list[str] | None, separator_aware: bool = Fals
     return (F.array_position(hits, F.lit(True)) - 1).cast("int")
 
 
+def ranked(rows: DataFrame, uri: str, path: list[str] | None) -> DataFrame:
+    """rows with `__rank`, that of their URI."""
+    if path is None or len(path) <= DIRECT_RULES:
+        return rows.withColumn("__rank", rank(uri, path))
+    of_uri = rows.select(F.col(uri).alias("__uri")).distinct().withColumn("__rank", rank("__uri", path))
+    return rows.join(of_uri, F.col(uri).eqNullSafe(F.col("__uri"))).drop("__uri")
+
+
 def visible(rows: DataFrame, uri: str, path: list[str] | None) -> DataFrame:
     """Rows whose URI some entry claims."""
-    return rows.where(rank(uri, path) >= 0)
+    return ranked(rows, uri, path).where("__rank >= 0").drop("__rank")
 
 
 def pick(rows: DataFrame, key: str | list[str], uri: str, path: list[str] | None, ties: list[str]) -> DataFrame:
@@ -57,8 +73,8 @@ def pick(rows: DataFrame, key: str | list[str], uri: str, path: list[str] | None
     """
     keys = [key] if isinstance(key, str) else key
     order = Window.partitionBy(*keys).orderBy("__rank", *ties)
-    ranked = rows.withColumn("__rank", rank(uri, path)).where("__rank >= 0")
-    return ranked.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n", "__rank")
+    claimed = ranked(rows, uri, path).where("__rank >= 0")
+    return claimed.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n", "__rank")
 
 
 def winners(names: DataFrame, rows: DataFrame, key: str, uri: str, path: list[str] | None, ties: list[str]) -> DataFrame:
@@ -111,9 +127,14 @@ def build_path(namespace: DataFrame, targets: DataFrame, modules: DataFrame, tra
     first = own.select("namespace", F.lit(0).alias("bucket"), F.lit(0).alias("outer"), F.posexplode("sources").alias("inner", "prefix"))
     deps = own.select("namespace", F.posexplode("depends_on").alias("outer", "dependency"))
     if transitive:
-        for _ in range(8):
+        deps, used, known = keep(deps), [], 0
+        used.append(deps)
+        while (n := deps.count()) > known:
+            known = n
             deeper = deps.alias("d").join(targets.alias("t"), F.col("d.dependency") == F.col("t.namespace")).select(F.col("d.namespace"), F.col("d.outer"), F.explode("t.depends_on").alias("dependency"))
-            deps = deps.unionByName(deeper).groupBy("namespace", "dependency").agg(F.min("outer").alias("outer"))
+            deps = keep(deps.unionByName(deeper).groupBy("namespace", "dependency").agg(F.min("outer").alias("outer")))
+            used.append(deps)
+        deps = release(used, deps)
     second = deps.join(targets.select(F.col("namespace").alias("dependency"), F.col("sources").alias("theirs")), "dependency").select("namespace", F.lit(1).alias("bucket"), "outer", F.posexplode("theirs").alias("inner", "prefix"))
     third = own.select("namespace", F.posexplode("dependency_modules").alias("outer", "id")).join(modules, "id").select("namespace", F.lit(2).alias("bucket"), "outer", F.lit(0).alias("inner"), F.col("jar").alias("prefix"))
     last = own.where("image is not null").select("namespace", F.lit(3).alias("bucket"), F.lit(0).alias("outer"), F.lit(0).alias("inner"), F.col("image").alias("prefix"))
@@ -131,13 +152,13 @@ def module_owns(package: Column | str, packages: Column | str, exports: Column |
 
 def pick_module(modules: DataFrame, name: str, uri: str, path: list[str] | None, ties: list[str]) -> DataFrame:
     """The pick of each module name; rows without a URI pass last, and where nothing is visible the first row wins."""
-    order = F.when(F.col(uri).isNull(), F.lit(MAX_RULES)).otherwise(F.when(rank(uri, path) >= 0, rank(uri, path)).otherwise(MAX_RULES + 1))
-    ranked = modules.withColumn("__rank", order)
-    return ranked.withColumn("__n", F.row_number().over(Window.partitionBy(name).orderBy("__rank", *ties))).where("__n = 1").drop("__n", "__rank")
+    order = F.when(F.col(uri).isNull(), F.lit(MAX_RULES)).otherwise(F.when(F.col("__rank") >= 0, F.col("__rank")).otherwise(MAX_RULES + 1))
+    rows = ranked(modules, uri, path).withColumn("__rank", order)
+    return rows.withColumn("__n", F.row_number().over(Window.partitionBy(name).orderBy("__rank", *ties))).where("__n = 1").drop("__n", "__rank")
 
 
 def visible_modules(modules: DataFrame, name: str, uri: str, path: list[str] | None) -> DataFrame:
-    return modules.where(F.col(uri).isNull() | (rank(uri, path) >= 0)).select(name).distinct()
+    return ranked(modules, uri, path).where(F.col(uri).isNull() | (F.col("__rank") >= 0)).select(name).distinct()
 
 
 def with_fallback(first: DataFrame, second: DataFrame, group: list[str]) -> DataFrame:

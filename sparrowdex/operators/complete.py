@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import names
 from ..functions.flags import PRIVATE, STATIC, has
 from .classpath import visible
-from .store import search_prefix
+from .store import by_prefix, search_prefix
 
 
 def prefix_at(text: Column | str, offset: Column | str) -> Column:
@@ -54,7 +54,7 @@ def unimported_types(types: DataFrame, prefix: str, path: list[str] | None, pack
     if compat:
         found = visible(search_prefix(types, prefix, limit, ties=ties), "source_uri", path)
     else:
-        found = visible(search_prefix(types, prefix, 1 << 30, ties=ties), "source_uri", path)
+        found = visible(by_prefix(types, prefix), "source_uri", path)
     each = found.groupBy("jvm_name").agg(F.min(F.struct(*ties)).alias("at")).select("jvm_name", "at.*")
     p = names.package_of("jvm_name")
     known = (p == package) | (p == "java/lang") | F.col("jvm_name").isin(imported) | p.isin(on_demand)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names
+from ..functions.descriptors import unnested
 from .classpath import rank
+from .rounds import keep, release
 
 #: What a declaration extends when it names nothing.
 IMPLICIT = {"ENUM": "java/lang/Enum", "RECORD": "java/lang/Record"}
@@ -21,9 +23,7 @@ def implicit_super(kind: Column | str, modifiers: Column | str) -> Column:
 
 def erased(sig: Column | str) -> Column:
     """The binary name in a class signature: without L, type arguments and the semicolon; a plain name stays."""
-    s = F.col(sig) if isinstance(sig, str) else sig
-    for _ in range(4):  # innermost arguments first
-        s = F.regexp_replace(s, "<[^<>]*>", "")
+    s = unnested(sig)
     return F.translate(F.regexp_replace(F.regexp_replace(s, "^[LU](.*);$", "$1"), ";$", ""), ".", "$")
 
 
@@ -55,24 +55,34 @@ def direct_subtypes(edges: DataFrame, name: str, permits: DataFrame | None = Non
     return out if winners is None else out.join(winners.select(F.col("jvm_name").alias("sub_jvm")), "sub_jvm", "left_semi")
 
 
-def closure(edges: DataFrame, starts: DataFrame, sub: str = "sub_jvm", sup: str = "super_jvm", most: int = 100) -> DataFrame:
+def closure(edges: DataFrame, starts: DataFrame, sub: str = "sub_jvm", sup: str = "super_jvm", at_once: int = 4) -> DataFrame:
     """(start, reached, depth): all supertypes of the starts (column `start`) with the least depth; cycles end.
 
-    Semi-naive: each round joins only what the last round reached first. A hierarchy is as deep as its longest chain,
-    so the rounds are few, and each is one join and one aggregation. A round's result is kept: checkpointed where the
-    session names a folder for that, else cached, and computed again if an executor with it is lost.
+    Semi-naive: each step joins only what the step before reached first, until nothing is new. A hierarchy is as deep as its
+    longest chain; `at_once` steps make a round, whose result is kept.
     """
-    keep = (lambda df: df.checkpoint()) if edges.sparkSession.conf.get("spark.checkpoint.dir", None) else (lambda df: df.persist())
-    pairs = edges.select(F.col(sub).alias("__sub"), F.col(sup).alias("__sup")).distinct()
-    reached = frontier = starts.select("start").distinct().join(pairs, F.col("start") == F.col("__sub")).select("start", F.col("__sup").alias("reached"), F.lit(1).alias("depth"))
-    reached = frontier = keep(frontier)
-    for depth in range(2, most + 1):
-        step = frontier.join(pairs, F.col("reached") == F.col("__sub")).select("start", F.col("__sup").alias("reached")).distinct()
-        frontier = keep(step.join(reached.select("start", "reached"), ["start", "reached"], "left_anti").withColumn("depth", F.lit(depth)))
-        if frontier.isEmpty():
-            break
-        reached = reached.unionByName(frontier)
-    return reached
+    pairs = keep(edges.select(F.col(sub).alias("__sub"), F.col(sup).alias("__sup")).distinct())
+    first = starts.select("start").distinct().join(pairs, F.col("start") == F.col("__sub")).select("start", F.col("__sup").alias("reached"), F.lit(1).alias("depth"))
+    reached, last, depth, used = keep(first), 1, 1, [pairs]
+    used.append(reached)
+    while True:
+        frontier, more = reached.where(F.col("depth") == last), []
+        for _ in range(at_once):
+            depth += 1
+            step = frontier.join(pairs, F.col("reached") == F.col("__sub")).select("start", F.col("__sup").alias("reached")).distinct()
+            for known in (reached, *more):
+                step = step.join(known.select("start", "reached"), ["start", "reached"], "left_anti")
+            frontier = step.withColumn("depth", F.lit(depth))
+            more.append(frontier)
+        found = more[0]
+        for m in more[1:]:
+            found = found.unionByName(m)
+        found = keep(found)
+        used.append(found)
+        reached = reached.unionByName(found)
+        last = depth
+        if found.where(F.col("depth") == last).isEmpty():
+            return release(used, reached)
 
 
 CLOSURE_SQL = """
@@ -89,8 +99,8 @@ SELECT start, reached, min(depth) AS depth FROM walk GROUP BY start, reached
 def entry_for(types: DataFrame, name: str, origin: str | None, path: list[str] | None, uri: str = "source_uri") -> DataFrame:
     """The declaration of an item: that of its own resource if it is visible, else the pick."""
     found = types.where(F.col("jvm_name") == name).withColumn("__rank", rank(uri, path)).where("__rank >= 0")
-    order = Window.orderBy(F.coalesce(F.col("resource_uri") == F.lit(origin), F.lit(False)).desc(), "__rank", uri, "resource_path")
-    return found.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n", "__rank")
+    own = F.coalesce(F.col("resource_uri") == F.lit(origin), F.lit(False))
+    return found.orderBy(own.desc(), "__rank", uri, "resource_path").limit(1).drop("__rank")
 
 
 def item_key(origin: Column | str, name: Column | str) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names
+from .rounds import keep, release
 
 #: Steps of the cascades, in their order: a step in CHECKED must name an available type, others hold as they are.
 HIERARCHY = (["sibling", "single", "package", "on_demand", "java_lang"], {"sibling", "single", "package", "on_demand", "java_lang"}, "package")
@@ -76,21 +77,23 @@ def scopes(types: DataFrame, key: str = "jvm_name") -> DataFrame:
     return types.select(key, F.posexplode(levels).alias("depth", "scope")).distinct().withColumnRenamed(key, "type")
 
 
-def member_in_scope(refs: DataFrame, types: DataFrame, edges: DataFrame, most: int = 16) -> DataFrame:
+def member_in_scope(refs: DataFrame, types: DataFrame, edges: DataFrame) -> DataFrame:
     """refs (type, simple) with `resolved`: the member type of that name in the type, its supertypes, or outwards.
 
-    A walk over supertypes from each enclosing type, breadth first and at most `most` steps; the nearest scope wins,
-    then the shortest walk, then the smallest name. types: (jvm_name); edges: (sub, super). Cycles end by the path.
+    A walk over supertypes from each enclosing type, breadth first to the end; the nearest scope wins, then the shortest
+    walk, then the smallest name. types: (jvm_name); edges: (sub, super). What a walk has reached it does not enter again.
     """
-    asked = refs.select("type", "simple").distinct()
-    level = scopes(asked, "type").select("type", "depth", F.col("scope").alias("at"), F.lit(0).alias("steps"), F.array("scope").alias("path"))
+    asked = keep(refs.select("type", "simple").distinct())
+    frontier = keep(scopes(asked, "type").select("type", "depth", F.col("scope").alias("at"), F.lit(0).alias("steps")))
+    seen, used, steps = frontier, [asked, frontier], 0
+    pairs = edges.select(F.col("sub").alias("__sub"), F.col("super").alias("__super")).distinct()
+    while not frontier.isEmpty():
+        steps += 1
+        step = frontier.join(pairs, F.col("at") == F.col("__sub")).select("type", "depth", F.col("__super").alias("at")).distinct()
+        frontier = keep(step.join(seen.select("type", "depth", "at"), ["type", "depth", "at"], "left_anti").withColumn("steps", F.lit(steps)))
+        used.append(frontier)
+        seen = seen.unionByName(frontier)
     known = types.select(F.col("jvm_name").alias("__member")).distinct()
-    frontier, hits = level, None
-    for _ in range(most):
-        found = frontier.join(asked, "type").join(known, F.concat("at", F.lit("$"), "simple") == F.col("__member")).select("type", "simple", "depth", "steps", "__member")
-        hits = found if hits is None else hits.union(found)
-        frontier = frontier.join(edges, F.col("at") == F.col("sub")).where(~F.array_contains("path", F.col("super"))).select("type", "depth", F.col("super").alias("at"), (F.col("steps") + 1).alias("steps"), F.array_append("path", F.col("super")).alias("path"))
-        if frontier.isEmpty():
-            break
-    best = hits.groupBy("type", "simple").agg(F.min_by("__member", F.struct("depth", "steps", "__member")).alias("resolved"))
+    hits = seen.join(asked, "type").join(known, F.concat("at", F.lit("$"), "simple") == F.col("__member"))
+    best = release(used, hits.groupBy("type", "simple").agg(F.min_by("__member", F.struct("depth", "steps", "__member")).alias("resolved")))
     return refs.join(best, ["type", "simple"], "left")

@@ -41,10 +41,14 @@ def list_package(types: DataFrame, package: str | None, recursive: bool = False,
     return types.where((at == p) | F.startswith(at, F.lit(p + "/"))) if p else types.where(at.isNotNull())
 
 
+def by_prefix(types: DataFrame, prefix: str, key: str = "jvm_name") -> DataFrame:
+    """Top-level types whose simple name begins with the prefix."""
+    return types.where(~F.contains(F.col(key), F.lit("$")) & F.startswith(names.last_segment(key), F.lit(prefix)))
+
+
 def search_prefix(types: DataFrame, prefix: str, limit: int, key: str = "jvm_name", ties: tuple[str, ...] = ()) -> DataFrame:
-    """Top-level types whose simple name begins with the prefix, the first `limit` in order; none for limit <= 0."""
-    found = types.where(~F.contains(F.col(key), F.lit("$")) & F.startswith(names.last_segment(key), F.lit(prefix)))
-    return found.orderBy(key, *ties).limit(max(limit, 0))
+    """The first `limit` of them in order; none for limit <= 0."""
+    return by_prefix(types, prefix, key).orderBy(key, *ties).limit(max(limit, 0))
 
 
 def counts(types: DataFrame, key: str = "jvm_name") -> DataFrame:
