@@ -1,7 +1,8 @@
 """Token counts by prefix dynamic programming.
 
-N(k), the token count of a text's first k characters, is stored for every k; a text's count, a truncation or a budget
-question is read from that table, and nothing is encoded again.
+N(k), the token count of a text's first k characters, is stored for every k; a truncation or budget question is read from
+that table, and nothing is encoded again. A text's count is its last entry; where only that is asked, the states along a
+word are the same, and the entries in between are not kept.
 
 The last token of an encoding follows from earlier states: a token t ends the encoding of prefix + t exactly if the merges
 of (last token of the prefix) + t leave the border between the two. So along a word, last(i) and N(i) follow from last(i - n)
@@ -56,8 +57,8 @@ class Counter:
         self.whole = tokenizer(path).encode
         self.spines: tuple[dict, dict] = ({}, {})
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.words: dict[str, np.ndarray] = {}
-        self.older: dict[str, np.ndarray] = {}
+        #: the words met last, and those before them: their counts, and the tables of their prefixes
+        self.words: tuple[list[dict], list[dict]] = ([{}, {}], [{}, {}])
 
     def lengths(self, closed: bool) -> dict[str, list[int]]:
         """The last two letters, or three -> the lengths of the tokens that end with them, longest first; without the
@@ -122,8 +123,9 @@ class Counter:
         found = self.pairs[pair] = self.border(*pair)
         return found
 
-    def along(self, words: list[str]):
-        """For each of some sorted words, in letters that stand for bytes: the counts of its prefixes as whole words."""
+    def along(self, words: list[str], every: bool):
+        """For each of some sorted words, in letters that stand for bytes: the counts of all its prefixes as whole words, or
+        that of the word."""
         last, count, whole = [""], [0], [0]
         known, end, pairs, closed, going, before = self.vocabulary, self.end, self.pairs, self.closed, self.open, ""
         one = (1,)
@@ -134,48 +136,52 @@ class Counter:
                     break
                 same += 1
             del last[same + 1 :], count[same + 1 :], whole[same + 1 :]
-            for i in range(same + 1, len(word) + 1):
-                tail, two = word[max(0, i - 3) : i], word[max(0, i - 2) : i]
-                for n in closed.get(tail) or closed.get(two, one):
-                    if n <= i and (t := word[i - n : i] + end) in known:
+            size = len(word)
+            for i in range(len(last), size):  # within the word
+                for n in going.get(word[i - 3 : i] if i > 2 else word[:i]) or going.get(word[i - 2 : i], one):
+                    if n <= i and (t := word[i - n : i]) in known:
                         ok = pairs.get(pair := (last[i - n], t))
                         if ok or ok is None and self.kept(pair):
                             break
                 else:
                     raise ValueError(f"the vocabulary has no token that ends {word[:i]!r}")
-                whole.append(count[i - n] + 1)
-                for n in going.get(tail) or going.get(two, one):
-                    if n <= i and (t := word[i - n : i]) in known:
+                last.append(t)
+                count.append(count[i - n] + 1)
+            for i in range(len(whole) if every else size, size + 1):  # at the end of a word
+                for n in closed.get(word[i - 3 : i] if i > 2 else word[:i]) or closed.get(word[i - 2 : i] if i > 1 else word[:i], one):
+                    if n <= i and (t := word[i - n : i] + end) in known:
                         ok = pairs.get(pair := (last[i - n], t))
                         if ok or ok is None and self.kept(pair):
                             break
                 else:
                     raise ValueError(f"the vocabulary has no token that ends {word[:i]!r}")
-                last.append(t)
-                count.append(count[i - n] + 1)
+                if every:
+                    whole.append(count[i - n] + 1)
             before = word
-            yield np.array(whole, np.int32)
-
-    def of_words(self, words: list[str]) -> list[np.ndarray]:
-        """The counts of the prefixes of 0, 1, ... characters of each of some normalised words."""
-        if len(self.words) > MEMO_ROWS:  # words that are met again move on, the others go
-            self.words, self.older = {}, self.words
-        found = list(map(self.words.get, words))
+            yield np.array(whole, np.int32) if every else count[i - n] + 1
+
+    def of_words(self, words: list[str], every: bool = True) -> list:
+        """The counts of the prefixes of 0, 1, ... characters of each of some normalised words, or of the words."""
+        memo = self.words[every]
+        if len(memo[0]) > MEMO_ROWS:  # words that are met again move on, the others go
+            memo[:] = {}, memo[0]
+        now, older = memo
+        found = list(map(now.get, words))
         new = {}
         for k, f in enumerate(found):
             if f is None:
                 w = words[k]
-                found[k] = f = self.older.get(w)
+                found[k] = f = older.get(w)
                 if f is None:
                     new[w] = None
                 else:
-                    self.words[w] = f
+                    now[w] = f
         if new:
             letters = sorted((w.encode().decode("latin-1").translate(BYTE_LETTERS), w) for w in new)
-            for (_, w), counts in zip(letters, self.along([x for x, _ in letters]), strict=True):
-                new[w] = counts if w.isascii() else counts[np.cumsum([0, *(len(c.encode()) for c in w)])]
+            for (_, w), made in zip(letters, self.along([x for x, _ in letters], every), strict=True):
+                new[w] = made if not every or w.isascii() else made[np.cumsum([0, *(len(c.encode()) for c in w)])]
                 if len(w) <= MEMO_CHARS:
-                    self.words[w] = new[w]
+                    now[w] = new[w]
             found = [new[w] if f is None else f for w, f in zip(words, found, strict=True)]
         return found
 
@@ -199,29 +205,42 @@ class Counter:
             step[a + 1 : z + 1] = np.diff(inner)
         return np.cumsum(step, dtype=np.int32)[ends]
 
-    def of_pieces(self, pieces: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
-        """The tables of some distinct pieces, and whether a mark follows that is a token of its own. A word of plain
-        letters, or one and a final mark, needs no splitting."""
+    def end_of_piece(self, piece: str) -> int:
+        """The last entry of a piece's table."""
+        at, token = min(((k, t) for t in self.special if (k := piece.find(t)) >= 0), key=lambda x: (x[0], -len(x[1])), default=(-1, ""))
+        if at >= 0:
+            return self.end_of_piece(piece[:at]) + 1 + self.end_of_piece(piece[at + len(token) :])
+        if SIGMA in piece or not unicodedata.is_normalized("NFC", piece):
+            return len(self.whole(piece, add_special_tokens=False).ids)
+        return sum(self.of_words([m[0] for m in WORDS.finditer("".join(c.lower() for c in piece))], False))
+
+    def of_pieces(self, pieces: pa.Array, every: bool) -> list:
+        """The tables of some distinct pieces, or their last entries. A word of plain letters, or one and a final mark, which
+        is a token of its own, needs no splitting."""
         word = pc.utf8_rtrim(pieces, MARKS)
         tail = pc.subtract(pc.binary_length(pieces), pc.binary_length(word)).to_numpy(zero_copy_only=False)
         plain = pc.match_substring_regex(word, PLAIN).to_numpy(zero_copy_only=False) & (tail < 2)
         coded = pc.utf8_lower(word.filter(pa.array(plain))).dictionary_encode()
-        inner = self.of_words(coded.dictionary.to_pylist())
+        inner = self.of_words(coded.dictionary.to_pylist(), every)
         own = iter(coded.indices.to_numpy(zero_copy_only=False).tolist())
         rest = iter(pieces.filter(pa.array(~plain)).to_pylist())
-        return [inner[next(own)] if p else self.of_piece(next(rest)) for p in plain.tolist()], np.where(plain, tail, 0)
+        if not every:
+            return [inner[next(own)] + n if p else self.end_of_piece(next(rest)) for p, n in zip(plain.tolist(), tail.tolist(), strict=True)]
+        tables = [(inner[next(own)], n) if p else (self.of_piece(next(rest)), 0) for p, n in zip(plain.tolist(), tail.tolist(), strict=True)]
+        return [np.append(t, t[-1] + 1) if n else t for t, n in tables]
 
 
 class Tables:
-    """The prefix counts of some texts: the tables of their distinct pieces, and where the pieces are."""
+    """The prefix counts of some texts: those of their distinct pieces, and where the pieces are. every: whether all entries
+    are wanted, or the last one of each text."""
 
-    def __init__(self, texts: pa.Array, counter: Counter):
+    def __init__(self, texts: pa.Array, counter: Counter, every: bool = True):
         self.texts = texts.cast(pa.large_string()).fill_null("")
         parts = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(self.texts))
         coded = parts.flatten().dictionary_encode()
-        self.tables, self.marked = counter.of_pieces(coded.dictionary)
+        self.tables = counter.of_pieces(coded.dictionary, every)
         self.which = coded.indices.to_numpy(zero_copy_only=False)
-        total = np.array([t[-1] for t in self.tables], np.int64) + self.marked
+        total = np.array([t[-1] for t in self.tables] if every else self.tables, np.int64)
         self.first = np.concatenate([[0], np.cumsum(parts.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
         self.before = np.concatenate([[0], np.cumsum(total[self.which])])
 
@@ -235,7 +254,7 @@ class Tables:
         space = np.frombuffer(raw.encode("utf-32-le"), "<u4")
         space = (space == 0x20) | (space >= 9) & (space <= 13)
         step = np.zeros(len(raw) + 1, np.int64)
-        inner = [np.append(np.diff(self.tables[w]), [1] * self.marked[w]) for w in self.which[self.first[d] : self.first[d + 1]]]
+        inner = [np.diff(self.tables[w]) for w in self.which[self.first[d] : self.first[d + 1]]]
         step[1:][~space] = np.concatenate(inner) if inner else 0
         return np.cumsum(step)
 
@@ -276,9 +295,9 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "d
     def run(batches):
         own = counter(path)
         for b in batches:
-            for a, z in batches_of(b.column(1)):
+            for a, z in batches_of(b.column(1), 8 << 20):
                 ids, texts = b.column(0).slice(a, z - a), b.column(1).slice(a, z - a)
-                found = Tables(texts, own)
+                found = Tables(texts, own, with_table)
                 sizes = pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())
                 tables = [pa.array([found.of(d) for d in range(z - a)], pa.list_(pa.int64()))] if with_table else []
                 yield pa.record_batch([ids, sizes, pa.array(found.totals()), *tables], schema=schema)
