@@ -131,19 +131,24 @@ def parse(chunks):
         yield fields, payload
 
 
-def unzipped(raw: bytes, part: int = 1 << 20):
+def unzipped(raw: bytes, step: int = 1 << 14, part: int = 1 << 20):
     """The bytes of a file, inflated by parts if it is gzipped (any number of members)."""
     if raw[:2] != b"\x1f\x8b":
         yield raw
         return
-    while raw:
-        d = zlib.decompressobj(31)
-        todo = raw
-        while todo and not d.eof:
-            yield d.decompress(todo, part)
-            todo = d.unconsumed_tail
+    view, at, held, d = memoryview(raw), 0, b"", None
+    while held or at < len(view):
+        if not held:  # what a member leaves of a step is all that is copied
+            held, at = view[at : at + step], at + step
+        d = d or zlib.decompressobj(31)
+        out = d.decompress(held, part)
+        held = d.unused_data if d.eof else d.unconsumed_tail
+        if d.eof:
+            d = None
+        if out:
+            yield out
+    if d is not None:
         yield d.flush()
-        raw = d.unused_data
 
 
 def read(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
