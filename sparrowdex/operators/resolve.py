@@ -72,9 +72,10 @@ def qualify(refs: DataFrame, available: DataFrame, name: str = "name", cascade:
 
 def scopes(types: DataFrame, key: str = "jvm_name") -> DataFrame:
     """(type, scope, depth): a type and the types around it, from the inside out."""
-    parts = F.split(F.col(key), r"\$")
+    parts = F.split(F.col("__type"), r"\$")
     levels = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda d: F.array_join(F.slice(parts, 1, F.size(parts) - d), "$"))
-    return types.select(key, F.posexplode(levels).alias("depth", "scope")).distinct().withColumnRenamed(key, "type")
+    rows = types.select(F.col(key).alias("__type")).distinct()
+    return rows.select("__type", F.posexplode(levels).alias("depth", "scope")).withColumnRenamed("__type", "type")
 
 
 def member_in_scope(refs: DataFrame, types: DataFrame, edges: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 
 
@@ -22,3 +24,20 @@ def release(frames: list[DataFrame], result: DataFrame) -> DataFrame:
     for f in frames:
         f.unpersist()
     return out
+
+
+_own: dict[str, str] = {}
+
+
+def scratch(spark) -> str:
+    """A folder that all executors share: spark.checkpoint.dir or, where all of them are threads of this process, a
+    temporary one."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if found:
+        return f"{found.rstrip('/')}/sparrowdex"
+    context = spark.sparkContext
+    if not (context.master == "local" or context.master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+    if context.applicationId not in _own:
+        _own[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="sparrowdex-")
+    return _own[context.applicationId]

@@ -7,7 +7,9 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import stats
+from ..functions import names
+from ..functions.descriptors import erase
+from . import hierarchy, resolve, stats
 
 IDENTIFIER = "[A-Za-z_$][A-Za-z0-9_$]*"
 
@@ -40,9 +42,10 @@ def capped(hits: DataFrame, pinned: DataFrame, key: str, cap: int) -> DataFrame:
     return always.unionByName(rest)
 
 
-def verified(candidates_: DataFrame, occurrences: DataFrame, key: str, symbol: str | Column, include_declarations: bool) -> DataFrame:
+def verified(candidates_: DataFrame, occurrences: DataFrame, key: str | list[str], symbol: str | Column, include_declarations: bool) -> DataFrame:
     """Occurrences of a symbol in candidate resources, each place once."""
-    found = occurrences.join(candidates_.select(key).distinct(), key, "left_semi").where(F.col("symbol_key") == symbol)
+    keys = [key] if isinstance(key, str) else key
+    found = occurrences.join(candidates_.select(*keys).distinct(), keys, "left_semi").where(F.col("symbol_key") == symbol)
     return (found if include_declarations else found.where(~F.col("is_declaration"))).distinct()
 
 
@@ -78,15 +81,40 @@ def token_positions(texts: DataFrame, keys: list[str], text: str = "text", patte
 
 
 def name_positions(texts: DataFrame, keys: list[str], name: str, text: str = "text", letters: str = "A-Za-z_$") -> DataFrame:
-    """The rows of token_positions of one ASCII name: texts without it are passed over, the others are cut at it alone.
+    """The rows of token_positions of one ASCII name: texts without it are passed over, the others are cut at it alone,
+    and its offsets are summed up within the row.
 
-    A name does not stand inside a longer one; digits before it belong to it only after a letter (40 of them at most). letters: what
-    a name can begin with, as a regular expression's range.
+    A name does not stand inside a longer one; digits right before it are no part of it. letters: what a name can begin
+    with, as a regular expression's range.
     """
-    pattern = f"(?<![{letters}][0-9]{{0,40}}){re.escape(name)}(?![{letters}0-9])"
-    cut = texts.where(F.contains(F.col(text), F.lit(name))).select(*keys, F.split(F.col(text), pattern).alias("__g"))
-    pieces = cut.where(F.size("__g") > 1).select(*keys, F.posexplode(F.slice("__g", F.lit(1), F.size("__g") - 1)).alias("i", "gap"))
-    return _places(pieces.withColumn("name", F.lit(name)), keys)
+    pattern = f"(?<![{letters}0-9])[0-9]*{re.escape(name)}(?![{letters}0-9])"
+    held = texts.where(F.contains(F.col(text), F.lit(name)))
+    cut = held.select(*keys, F.split(F.col(text), pattern).alias("__g"), F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0)).alias("__m")).where(F.size("__m") > 0)
+    zipped = F.arrays_zip(F.slice("__g", F.lit(1), F.size("__m")).alias("g"), F.col("__m").alias("m"))
+    place = "struct<line:int,col:int,start_off:int,end_off:int>"
+    start = F.struct(F.lit(0).alias("off"), F.lit(0).alias("line"), F.lit(0).alias("begin"), F.array().cast(f"array<{place}>").alias("out"))
+
+    def step(at: Column, x: Column) -> Column:
+        begin = at["off"] + F.length(x["g"])
+        line = at["line"] + F.length(x["g"]) - F.length(F.replace(x["g"], F.lit("\n"), F.lit("")))
+        first = F.when(F.contains(x["g"], F.lit("\n")), begin - F.length(F.substring_index(x["g"], "\n", -1))).otherwise(at["begin"])
+        end = begin + F.length(x["m"])
+        own = F.struct(line.alias("line"), (end - len(name) - first).alias("col"), (end - len(name)).alias("start_off"), end.alias("end_off"))
+        return F.struct(end.alias("off"), line.alias("line"), first.alias("begin"), F.concat(at["out"], F.array(own.cast(place))).alias("out"))
+
+    return cut.select(*keys, F.explode(F.aggregate(zipped, start, step)["out"]).alias("p")).select(*keys, F.lit(name).alias("name"), "p.*")
+
+
+def token_at(text: Column | str, offset: Column | str, letters: str = "A-Za-z_$") -> Column:
+    """(name, start_off, end_off) of the identifier around an offset, null for none: the text is cut there, and only the run
+    of letters and digits around is looked at."""
+    t, at = _col(text), _col(offset)
+    left = F.regexp_extract(F.substr(t, F.lit(1), at), f"[{letters}0-9]*$", 0)
+    run = F.concat(left, F.regexp_extract(F.substr(t, at + 1), f"^[{letters}0-9]*", 0))
+    digits = F.length(F.regexp_extract(run, "^[0-9]*", 0))
+    start = at - F.length(left) + digits
+    end = at - F.length(left) + F.length(run)
+    return F.when((start <= at) & (at < end), F.struct(F.substr(run, digits + 1).alias("name"), start.cast("int").alias("start_off"), end.cast("int").alias("end_off")))
 
 
 def line_starts(texts: DataFrame, keys: list[str], text: str = "text", count_cr: bool = True) -> DataFrame:
@@ -116,14 +144,21 @@ def offset_at(text: Column | str, line: Column | str, col: Column | str) -> Colu
     return before + F.least(_col(col), here)
 
 
+#: Characters of a text that an occurrence is looked up by.
+BUCKET = 256
+
+
 def occurrence_at(queries: DataFrame, occurrences: DataFrame, key: str, inclusive_end: bool = False) -> DataFrame:
     """Queries (key, offset) with the smallest occurrence around the offset, then the first.
 
-    An equi-join on the resource with the interval as a condition; a resource's occurrences are as many as its text has.
+    An equi-join on the resource and the bucket of BUCKET characters, with the interval as a condition, so a long text's
+    occurrences do not all meet all offsets asked in it.
     """
-    o, q = occurrences.alias("o"), queries.alias("q")
+    first, last = F.floor(F.col("start_off") / BUCKET), F.floor(F.col("end_off") / BUCKET)
+    o = occurrences.withColumn("__b", F.explode(F.sequence(first, last))).alias("o")
+    q = queries.withColumn("__b", F.floor(F.col("offset") / BUCKET)).alias("q")
     inside = (F.col("o.start_off") <= F.col("q.offset")) & ((F.col("q.offset") <= F.col("o.end_off")) if inclusive_end else (F.col("q.offset") < F.col("o.end_off")))
-    found = q.join(o, (F.col(f"q.{key}") == F.col(f"o.{key}")) & inside)
+    found = q.join(o, (F.col(f"q.{key}") == F.col(f"o.{key}")) & (F.col("q.__b") == F.col("o.__b")) & inside)
     return found.groupBy(f"q.{key}", "q.offset").agg(F.min_by(F.struct("o.name", "o.start_off", "o.end_off"), F.struct(F.col("o.end_off") - F.col("o.start_off"), F.col("o.start_off"), F.col("o.name"))).alias("hit")).select(key, "offset", "hit.name", "hit.start_off", "hit.end_off")
 
 
@@ -141,6 +176,94 @@ def search_name(kind: Column | str, owner: Column | str, name: Column | str) ->
     return F.when((_col(kind) == "type") | (_col(name) == "<init>"), simple).otherwise(_col(name))
 
 
+def members_of(types: DataFrame) -> DataFrame:
+    """(owner, role, name, params, arity, varargs, source_uri) of the fields and methods of a type table, as symbols: the
+    parameters are erased."""
+    fields = types.select(F.col("jvm_name").alias("owner"), "source_uri", F.explode("fields").alias("x"))
+    methods = types.select(F.col("jvm_name").alias("owner"), "source_uri", F.explode("methods").alias("x"))
+    none = F.lit(None).cast("array<string>")
+    params = F.transform("x.params", lambda q: erase(q["sig"]))
+    return fields.select("owner", F.lit("field").alias("role"), "x.name", none.alias("params"), F.lit(None).cast("int").alias("arity"), F.lit(False).alias("varargs"), "source_uri").unionByName(
+        methods.select("owner", F.lit("method").alias("role"), "x.name", params.alias("params"), F.size("x.params").alias("arity"), "x.varargs", "source_uri")
+    )
+
+
+def named_edges(types: DataFrame) -> DataFrame:
+    """super_edges of a type table with sources in it: names that a file leaves open go through the cascade of that file."""
+    edges = hierarchy.super_edges(types)
+    sigs = F.concat(F.array("super_sig"), F.coalesce("interface_sigs", F.array().cast("array<string>")))
+    each = types.select(F.col("jvm_name").alias("sub_jvm"), "hints.*", F.explode(sigs).alias("sig")).where(F.startswith("sig", F.lit("U")))
+    refs = each.withColumn("super_jvm", hierarchy.erased("sig"))
+    told = resolve.qualify(refs, types.select("jvm_name"), "super_jvm", resolve.HIERARCHY).select("sub_jvm", "super_jvm", "resolved").distinct()
+    return edges.join(told, ["sub_jvm", "super_jvm"], "left").withColumn("super_jvm", F.coalesce("resolved", "super_jvm")).drop("resolved")
+
+
+def bound(occurrences: DataFrame, types: DataFrame) -> DataFrame:
+    """Occurrences (of `files.occurrences`) with `symbol_owner`, `symbol_params` and `symbol_key`, null where the sources do
+    not tell what a name means. types: the declarations that are visible, one a name.
+
+    A type's name goes through the cascade of its file. A member is looked for in the type of its receiver or, without
+    one, in the types around it from the inside out, each with its supertypes, nearest first; a method by its number of
+    arguments, of several with as many the first by its parameters. Locals have no key.
+    """
+    rows = occurrences.withColumn("__id", F.xxhash64("source_uri", "resource_path", "start_off", "end_off"))
+    known = types.select("jvm_name")
+    simple = F.when(F.col("role") == "type", F.col("name")).when(~F.col("receiver").isin("this", "super", "?"), F.col("receiver"))
+    named = rows.withColumn("__asked", F.when(~F.col("is_declaration"), simple))
+    # types around a name are named without their owner
+    around = resolve.scopes(rows.where("scope is not null").select("scope").distinct(), "scope").where("depth >= 0").groupBy("type").agg(F.sort_array(F.collect_list(F.struct("depth", F.col("scope").alias("at")))).alias("__s")).withColumnRenamed("type", "scope")
+    held = named.join(around, "scope", "left").withColumn("__members", F.transform("__s", lambda s: F.concat(s["at"], F.lit("$"), F.col("__asked"))))
+    inner = held.where("__asked is not null").select("__id", F.posexplode("__members").alias("__d", "jvm_name")).join(known, "jvm_name").groupBy("__id").agg(F.min_by("jvm_name", "__d").alias("__inner"))
+    told = resolve.resolve(held.where("__asked is not null and owner is null"), known, resolve.COMPILER, simple="__asked").select("__id", "resolved").join(inner, "__id", "left").select("__id", F.coalesce("__inner", "resolved").alias("__type"))
+    named = named.join(told, "__id", "left").withColumn("__type", F.when((F.col("role") == "type") & F.col("owner").isNotNull(), F.col("owner")).otherwise(F.col("__type")))
+    edges = named_edges(types)
+    # where a member is looked for: (type, distance)
+    asked = named.where("role in ('method', 'field') and not is_declaration and owner is null")
+    out_of = F.when(F.col("receiver").isNull() | (F.col("receiver") == "this") | (F.col("receiver") == "super"), F.col("scope")).otherwise(F.col("__type"))
+    asked = asked.withColumn("__start", out_of).where("__start is not null")
+    levels = resolve.scopes(asked.select("__start").distinct(), "__start").select(F.col("type").alias("__start"), F.col("scope").alias("start"), F.col("depth").alias("outward"))
+    up = hierarchy.closure(edges, levels.select("start"))
+    places = levels.select("__start", "outward", F.lit(0).alias("up"), F.col("start").alias("at")).unionByName(levels.join(up, "start").select("__start", "outward", F.col("depth").alias("up"), F.col("reached").alias("at")))
+    found = asked.select("__id", "__start", "role", "name", F.col("arity").alias("given"), "receiver").join(places, "__start")
+    found = found.where((F.col("outward") == 0) | F.col("receiver").isNull()).where((F.col("up") > 0) | ~F.coalesce(F.col("receiver") == "super", F.lit(False)))
+    m = members_of(types)
+    met = found.alias("f").join(m.alias("m"), (F.col("f.at") == F.col("m.owner")) & (F.col("f.role") == F.col("m.role")) & (F.col("f.name") == F.col("m.name")))
+    fits = F.col("f.given").isNull() | (F.col("m.arity") == F.col("f.given")) | F.col("m.varargs") & (F.col("m.arity") <= F.col("f.given") + 1)
+    best = met.where(fits).groupBy("__id").agg(F.min_by(F.struct("m.owner", "m.params"), F.struct("outward", "up", F.coalesce(F.col("m.arity") != F.col("f.given"), F.lit(False)), "m.params", "m.owner")).alias("__m"))
+    erased = F.transform("params", lambda x: erase(x))
+    out = named.join(best, "__id", "left")
+    owner = F.when(F.col("role") == "type", F.col("__type")).when(F.col("role").isin("method", "field"), F.col("__m.owner"))
+    out = out.withColumn("symbol_owner", F.when(F.col("is_declaration"), F.col("owner")).otherwise(owner)).withColumn("symbol_params", F.when(F.col("is_declaration"), erased).otherwise(F.col("__m.params")))
+    origin = types.select(F.col("jvm_name").alias("symbol_owner"), F.col("source_uri").alias("symbol_origin"))
+    out = out.join(origin, "symbol_owner", "left")
+    # a constructor is named like its type
+    symbol = F.when((F.col("role") == "method") & F.col("is_declaration") & (F.col("name") == names.simple_name("symbol_owner")), F.lit("<init>")).otherwise(F.col("name"))
+    key = F.when(F.col("symbol_owner").isNotNull(), symbol_key("role", "symbol_origin", "symbol_owner", symbol, F.coalesce("symbol_params", F.array().cast("array<string>"))))
+    return out.withColumn("symbol_key", key).drop("__id", "__asked", "__type", "__m", "symbol_origin")
+
+
+def references(resources: DataFrame, types: DataFrame, resource_identifier: DataFrame, key: str, name: str, read, include_declaration: bool = False) -> DataFrame:
+    """Places of a symbol in all sources that mention its name: only those are read again and bound.
+
+    read: `files.occurrences`; name: `search_name` of the symbol."""
+    mentioned = candidates(resource_identifier, name)
+    found = bound(read(resources.join(mentioned, ["source_uri", "resource_path"], "left_semi")), types)
+    found = found.select("source_uri", "resource_path", "line", "col", "start_off", "end_off", "is_declaration", "symbol_key")
+    return verified(mentioned.select("source_uri", "resource_path"), found, ["source_uri", "resource_path"], key, include_declaration).select("source_uri", "resource_path", "line", "col", "start_off", "end_off")
+
+
+def definitions(occurrence: DataFrame, declared: DataFrame) -> DataFrame:
+    """Bound occurrences with the places of the declarations of their symbols. declared: bound occurrences of the resources
+    that declare them."""
+    place = declared.where("is_declaration").select("symbol_key", F.col("source_uri").alias("to_source"), F.col("resource_path").alias("to_path"), F.col("line").alias("to_line"), F.col("col").alias("to_col"), F.col("start_off").alias("to_start"))
+    return occurrence.join(place.where("symbol_key is not null"), "symbol_key")
+
+
+def prepare_hierarchy(occurrence: DataFrame, types: DataFrame) -> DataFrame:
+    """(name, detail, key) of the type that a bound occurrence means: the type itself, or the owner of a member's name."""
+    return hierarchy.items(types.join(occurrence.select(F.col("symbol_owner").alias("jvm_name")).distinct(), "jvm_name", "left_semi")).select("jvm_name", "name", "detail", "key")
+
+
 def definition(members: DataFrame, owner: str, name: str, params: list[str]) -> DataFrame:
     """The member of that owner and name with as many parameters whose simple types are the wanted ones, else the first.
 

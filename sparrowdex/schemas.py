@@ -25,5 +25,7 @@ MODULE_STRUCT = "struct<" + ",".join(f"{n}:{t}" for n, t in MODULE_COLUMNS) + ">
 #: What a parser makes of one file: types, modules, identifiers, and an error instead of them.
 PARSED = f"source_uri string, resource_path string, origin string, size long, types array<{TYPE_STRUCT}>, modules array<{MODULE_STRUCT}>, names array<string>, error string"
 RESOURCE = "source_uri string, resource_path string, content binary, error string"
+OCCURRENCE = "struct<name:string,start_off:int,end_off:int,line:int,col:int,is_declaration:boolean,role:string,scope:string,owner:string,receiver:string,params:array<string>,arity:int>"
+OCCURRENCES = f"source_uri string, resource_path string, source_package string, siblings array<string>, single_imports map<string,string>, on_demand array<string>, found array<{OCCURRENCE}>"
 MANIFEST_TARGET = "struct<compilerOptions:array<string>,javaHome:string,sources:array<string>,classes:array<string>,dependencyModules:array<string>,dependsOn:array<string>>"
 MANIFEST = f"namespaces map<string,{MANIFEST_TARGET}>, dependencyModules array<struct<id:string,jar:string,sources:string>>"

@@ -103,11 +103,11 @@ def parse(resources: DataFrame, surface_names: bool = False, record_components:
         origin = "classfile" if (path or "").endswith(".class") else "source"
         if error is None:
             try:
-                types, modules, mentioned = classfile.parse(data, surface) if origin == "classfile" else javasource.parse(data.decode("utf-8", "replace"))
+                types, modules, mentioned, *skipped = classfile.parse(data, surface) if origin == "classfile" else javasource.parse(data.decode("utf-8", "replace"))
                 if not record_components and origin == "source":
                     for t in types:
                         t["record_components"] = []
-                return uri, path, origin, len(data), types, modules, mentioned, None
+                return uri, path, origin, len(data), types, modules, mentioned, f"members that do not parse: {skipped[0]}" if skipped and skipped[0] else None
             except Exception as e:  # noqa: BLE001  one file's failure is a row of its own
                 error = f"{type(e).__name__}: {e}"
         return uri, path, origin, len(data or b""), [], [], [], error
@@ -121,6 +121,27 @@ def parse(resources: DataFrame, surface_names: bool = False, record_components:
     return resources.select("source_uri", "resource_path", "content", "error").mapInArrow(run, spark_schema)
 
 
+def occurrences(resources: DataFrame) -> DataFrame:
+    """(source_uri, resource_path, source_package, siblings, single_imports, on_demand, and the columns of an occurrence) of
+    each name in each source: what a file alone tells. Files are read apart, so only those that may mention a name need be
+    given (`xref.candidates`)."""
+    spark_schema = _parse_datatype_string(schemas.OCCURRENCES)
+    schema = to_arrow_schema(spark_schema)
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, ROWS):
+                rows = []
+                for uri, path, data in zip(*[c.to_pylist() for c in b.slice(at, ROWS).columns], strict=True):
+                    text = (data or b"").decode("utf-8", "replace")
+                    rows.append((uri, path, *javasource.context(text), javasource.occurrences(text)))
+                yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    sources = resources.where(F.endswith("resource_path", F.lit(".java"))).select("source_uri", "resource_path", "content")
+    found = sources.mapInArrow(run, spark_schema)
+    return found.select("source_uri", "resource_path", "source_package", "siblings", "single_imports", "on_demand", F.explode("found").alias("o")).select("source_uri", "resource_path", "source_package", "siblings", "single_imports", "on_demand", "o.*")
+
+
 def type_entries(parsed: DataFrame) -> DataFrame:
     """The type table of parsed resources."""
     t = parsed.select("source_uri", "resource_path", "origin", F.explode("types").alias("t")).select("source_uri", "resource_path", "origin", "t.*")

@@ -1,4 +1,4 @@
-"""Declarations of a Java source file: a lexer that drops comments and literals' contents, then a declaration parser.
+"""Declarations and name occurrences of a Java source file: a lexer that drops comments, then a declaration parser.
 
 Bodies are skipped by matching braces. Types are signature strings; a simple name that cannot be told is Usimple; until
 it is resolved. A dotted selection is cut at its first segment in upper case, as files are parsed apart from each other.
@@ -12,26 +12,40 @@ import re
 from ..functions.signatures import OBJECT, PRIMITIVES
 
 TOKEN = re.compile(
-    r'(?P<skip>\s+|//[^\n]*|/\*.*?\*/)|(?P<text>"""(?:\\.|(?!""").)*?""")|(?P<string>"(?:\\.|[^"\\\n])*")|(?P<char>\'(?:\\.|[^\'\\\n])+\')|(?P<number>(?:0[xX][\da-fA-F_]+(?:\.[\da-fA-F_]*)?(?:[pP][+-]?\d+)?|0[bB][01_]+|\.?\d[\d_]*(?:\.[\d_]*)?(?:[eE][+-]?\d+)?)[lLfFdD]?)|(?P<name>[A-Za-z_$\u0080-￿][\w$\u0080-￿]*)|(?P<op>\.\.\.|::|->|@(?=\s*interface\b)|.)',
+    r'(?P<skip>\s+|//[^\n]*|/\*.*?\*/)|(?P<text>"""(?:\\.|(?!""").)*?""")|(?P<string>"(?:\\.|[^"\\\n])*")|(?P<char>\'(?:\\.|[^\'\\\n])+\')|(?P<number>(?:0[xX][\da-fA-F_]+(?:\.[\da-fA-F_]*)?(?:[pP][+-]?\d+)?|0[bB][01_]+|\.?\d[\d_]*(?:\.[\d_]*)?(?:[eE][+-]?\d+)?)[lLfFdD]?)|(?P<name>[A-Za-z_$\u0080-\U0010ffff][\w$\u0080-\U0010ffff]*)|(?P<op>\.\.\.|::|->|@(?=\s*interface\b)|.)',
     re.S,
 )
 #: Explicit modifiers and their access flags; declaration words and their kinds.
 MODIFIERS = {"public": 0x1, "private": 0x2, "protected": 0x4, "static": 0x8, "final": 0x10, "synchronized": 0x20, "volatile": 0x40, "transient": 0x80, "native": 0x100, "abstract": 0x400, "strictfp": 0x800}
 KINDS = {"class": "CLASS", "interface": "INTERFACE", "enum": "ENUM", "record": "RECORD"}
 ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "b": "\b", "f": "\f", "0": "\0", "s": " "}
+#: Words that are no identifiers.
+RESERVED = frozenset(
+    "abstract assert boolean break byte case catch char class const continue default do double else enum extends false final finally float for goto if implements import instanceof int interface long native new null package private protected public return short static strictfp super switch synchronized this throw throws transient true try void volatile while _".split()
+)
 PRIVATE = 0x2
 
 
-def tokens(text: str) -> list[tuple[str, str]]:
-    return [(m.lastgroup, m.group()) for m in TOKEN.finditer(text) if m.lastgroup != "skip"]
+def tokens(text: str) -> list[tuple[str, str, int]]:
+    """(kind, text, offset) of each token."""
+    return [(m.lastgroup, m.group(), m.start()) for m in TOKEN.finditer(text) if m.lastgroup != "skip"]
 
 
 def identifiers(text: str) -> list[str]:
-    """The distinct identifiers of a file, comments and literals apart."""
-    return sorted({v for k, v in tokens(text) if k == "name"})
+    """The distinct identifiers of a file, comments, literals and reserved words apart."""
+    return sorted({v for k, v, _ in tokens(text) if k == "name" and v not in RESERVED})
+
+
+def stripped(body: str) -> str:
+    """The content of a text block: without the indentation that its lines share and without spaces at their ends."""
+    lines = body.split("\n")
+    counted = [x for x in lines[:-1] if x.strip()] + lines[-1:]
+    shared = min((len(x) - len(x.lstrip(" \t")) for x in counted), default=0)
+    return "\n".join(x[shared:].rstrip(" \t") if x.strip() else "" for x in lines)
 
 
 def unescape(body: str) -> str:
+    body = re.sub(r"\\\n", "", body)  # a line that goes on
     return re.sub(r"\\(u+[0-9a-fA-F]{4}|.)", lambda m: chr(int(m[1].lstrip("u"), 16)) if len(m[1]) > 1 else ESCAPES.get(m[1], m[1]), body, flags=re.S)
 
 
@@ -44,6 +58,12 @@ class Parser:
         self.on_demand: list[str] = []
         self.types: list[dict] = []
         self.siblings: list[str] = []
+        self.skipped: list[int] = []  # tokens at which members begin that do not parse
+        self.declared: dict[int, dict] = {}  # by the token of the name
+        self.bodies: list[tuple[int, int, str]] = []  # first token, last token, type
+        self.code: list[tuple[int, int]] = []  # of methods, with their parameters
+        self.imported: list[tuple[int, list[str], bool]] = []  # token of the last name, names, whether static
+        self.head = 0  # tokens of the package and the imports
 
     # --- tokens ---
 
@@ -69,7 +89,7 @@ class Parser:
         """Past a block whose opening is next."""
         depth = 0
         while self.at < len(self.t):
-            kind, v = self.t[self.at]
+            kind, v, _ = self.t[self.at]
             self.at += 1
             depth += (kind == "op") * ((v == opening) - (v == closing))
             if depth == 0:
@@ -79,7 +99,7 @@ class Parser:
         """To the next of `ends` outside of brackets; it stays."""
         depth = 0
         while self.at < len(self.t):
-            kind, v = self.t[self.at]
+            kind, v, _ = self.t[self.at]
             if kind == "op":
                 if depth == 0 and v in ends:
                     return
@@ -103,13 +123,17 @@ class Parser:
         while self.accept("import"):
             static = self.accept("static")
             parts = self.dotted()
+            last = self.at - 1
             star = self.accept(".") and self.accept("*")
+            if not star:
+                self.imported.append((last, parts, static))
             self.accept(";")
             if not static:
                 if star:
                     self.on_demand.append(self.jvm(parts))
                 else:
                     self.single[parts[-1]] = self.jvm(parts)
+        self.head = self.at
         while self.at < len(self.t):
             if self.accept(";"):
                 continue
@@ -191,7 +215,7 @@ class Parser:
                 return {"enum": self.class_sig(parts[:-1], [], {}) if len(parts) > 1 else None, "const": parts[-1]}
         self.at = start
         self.skip_to(",", ")", "}", ";")
-        return {"unsupported": "".join(v for _, v in self.t[start : self.at])}
+        return {"unsupported": "".join(v for _, v, _ in self.t[start : self.at])}
 
     def literal(self) -> tuple[str, object] | None:
         """(tag, value) of a literal with an optional sign."""
@@ -204,7 +228,7 @@ class Parser:
             return number(v, sign)
         if kind in ("string", "text"):
             self.at += 1
-            body = v[1:-1] if kind == "string" else v[3:-3].lstrip(" \t").removeprefix("\n")
+            body = v[1:-1] if kind == "string" else stripped(v[3:-3].lstrip(" \t").removeprefix("\r").removeprefix("\n"))
             return "String", unescape(body)
         if kind == "char":
             self.at += 1
@@ -315,7 +339,9 @@ class Parser:
         else:
             return False
         name = self.next()
+        named = self.at - 1
         jvm = f"{outer['jvm_name']}${name}" if outer else f"{self.package}/{name}" if self.package else name
+        self.declared[named] = {"role": "type", "owner": jvm, "params": None}
         visible = not (modifiers & PRIVATE and outer) and all(shown)
         scope = {} if modifiers & 0x8 or kind != "CLASS" else (variables or {})
         type_params, scope = self.type_parameters(scope)
@@ -341,7 +367,9 @@ class Parser:
                 row["permitted"] = [s[1:-1] for s in self.type_list(scope)]
             else:
                 self.at += 1
+        first = self.at
         self.body(row, kind, scope, [*shown, visible])
+        self.bodies.append((first, self.at, jvm))
         return True
 
     def body(self, row: dict, kind: str, scope: dict, shown: list):
@@ -357,6 +385,7 @@ class Parser:
             try:
                 self.one(row, kind, scope, shown)
             except ValueError:
+                self.skipped.append(start)
                 self.at = start
                 self.skip_to(";", "{", "}")
                 if self.peek() == "{":
@@ -371,6 +400,7 @@ class Parser:
                 self.at += 1
                 continue
             name = self.next()
+            self.declared[self.at - 1] = {"role": "field", "owner": row["jvm_name"], "params": None}
             row["fields"].append({"modifiers": 0x1 | 0x8 | 0x10 | 0x4000, "name": name, "sig": f"L{row['jvm_name']};", "const": None, "annotations": annotations})
             if self.peek() == "(":
                 self.skip_block("(", ")")
@@ -392,17 +422,20 @@ class Parser:
         simple = row["jvm_name"].rpartition("/")[2].rpartition("$")[2]
         if self.peek() == simple and self.peek(1) in ("(", "{"):
             self.at += 1
+            named = self.at - 1
             params = self.parameters(inner) if self.peek() == "(" else ([{"name": c["name"], "modifiers": 0, "sig": c["sig"], "annotations": []} for c in row["record_components"]], False)
-            self.method(row, "<init>", "V", modifiers, annotations, type_params, params, inner)
+            self.method(row, "<init>", "V", modifiers, annotations, type_params, params, inner, named)
             return
         result = self.type(inner)
         name = self.next()
+        named = self.at - 1
         if self.peek() == "(":
             params = self.parameters(inner)
-            self.method(row, name, self.dims(result), modifiers, annotations, type_params, params, inner)
+            self.method(row, name, self.dims(result), modifiers, annotations, type_params, params, inner, named)
             return
         while True:
             sig = self.dims(result)
+            self.declared[named] = {"role": "field", "owner": row["jvm_name"], "params": None}
             const = None
             if self.accept("="):
                 const = self.folded(modifiers, kind, sig)
@@ -412,6 +445,7 @@ class Parser:
             if not self.accept(","):
                 break
             name = self.next()
+            named = self.at - 1
         self.accept(";")
 
     def folded(self, modifiers: int, kind: str, sig: str) -> dict | None:
@@ -452,7 +486,8 @@ class Parser:
             self.accept(",")
         return out, varargs
 
-    def method(self, row: dict, name: str, result: str, modifiers: int, annotations: list, type_params: list, params: tuple, scope: dict):
+    def method(self, row: dict, name: str, result: str, modifiers: int, annotations: list, type_params: list, params: tuple, scope: dict, named: int):
+        self.declared[named] = {"role": "method", "owner": row["jvm_name"], "params": [p["sig"] for p in params[0]]}
         thrown = self.type_list(scope) if self.accept("throws") else []
         default = None
         if self.accept("default"):
@@ -462,6 +497,7 @@ class Parser:
             self.skip_block()
         else:
             self.accept(";")
+        self.code.append((named, self.at))
         if not modifiers & PRIVATE or name == "<init>":
             row["methods"].append({"modifiers": modifiers | (0x80 if params[1] else 0), "name": name, "return_sig": result, "params": params[0], "throws": thrown, "type_params": type_params, "varargs": params[1], "has_body": has_body, "annotation_default": default, "annotations": annotations})
 
@@ -484,6 +520,128 @@ def number(text: str, sign: int) -> tuple[str, object]:
     return tag, (value + (1 << bits - 1)) % (1 << bits) - (1 << bits - 1)
 
 
-def parse(text: str) -> tuple[list[dict], list[dict], list[str]]:
-    """(types, modules, names) of a source file; a module declaration gives no row."""
-    return Parser(text).unit(), [], identifiers(text)
+def parse(text: str) -> tuple[list[dict], list[dict], list[str], int]:
+    """(types, modules, names, members that do not parse) of a source file; a module declaration gives no row."""
+    p = Parser(text)
+    return p.unit(), [], identifiers(text), len(p.skipped)
+
+
+def context(text: str) -> tuple[str, list[str], dict[str, str], list[str]]:
+    """(package, top-level types, single imports, on-demand imports) of a file."""
+    p = Parser(text)
+    p.unit()
+    return p.package, p.siblings, p.single, p.on_demand
+
+
+# --- occurrences ------------------------------------------------------------------------------------------------------
+
+
+def occurrences(text: str) -> list[dict]:
+    """Every name of a file with its place and what the file alone tells of it.
+
+    name, start_off, end_off (of the text), line, col (from 0), is_declaration; role: type, method, field or local; scope:
+    the type around it; owner: the type that declares it, for a declaration, or the type that an import names; receiver:
+    the simple name of the type whose member it is, where a name, a local or a field of the file before the dot tells it,
+    `this` or `super`; null without a dot; params: signatures of a declared method's parameters; arity: of a call.
+    """
+    p = Parser(text)
+    p.unit()
+    t, out = p.t, []
+    breaks = [m.start() + 1 for m in re.finditer("\n", text)]
+    scopes = sorted(p.bodies)
+    code = sorted(p.code)
+    imports = {k: (parts, static) for k, parts, static in p.imported}
+    fields: dict[str, str] = {}  # field -> simple name of its class
+    methods = set()
+    for k, d in p.declared.items():
+        if d["role"] == "field":
+            fields[t[k][1]] = _class_before(t, k)
+        elif d["role"] == "method":
+            methods.add(t[k][1])
+    locals_: dict[str, str] = {}
+    until = line = 0
+    inner: list[tuple[int, int, str]] = []
+    opened = 0
+    for i, (kind, name, start) in enumerate(t):
+        while opened < len(scopes) and scopes[opened][0] <= i:
+            inner.append(scopes[opened])
+            opened += 1
+        while inner and inner[-1][1] <= i:
+            inner.pop()
+        while code and code[0][0] <= i:
+            until = code.pop(0)[1]
+            locals_ = {}
+        if i >= until:
+            locals_ = {}
+        if kind != "name" or name in RESERVED:
+            continue
+        while line < len(breaks) and breaks[line] <= start:
+            line += 1
+        row = {"name": name, "start_off": start, "end_off": start + len(name), "line": line, "col": start - (breaks[line - 1] if line else 0), "is_declaration": i in p.declared, "role": None, "scope": inner[-1][2] if inner else None, "owner": None, "receiver": None, "params": None, "arity": None}
+        before, after = t[i - 1][1] if i else "", t[i + 1][1] if i + 1 < len(t) else ""
+        if row["is_declaration"]:
+            row |= p.declared[i]
+            row["arity"] = None if row["params"] is None else len(row["params"])
+        elif i < p.head:
+            if i not in imports:
+                continue  # a package, or a type on the way to a member
+            parts, static = imports[i]
+            row |= {"role": "field" if static else "type", "owner": Parser.jvm(parts[:-1] if static else parts)}
+        elif before in (".", "::") and i > 1:
+            owner = t[i - 2][1] if t[i - 2][0] == "name" else None
+            row["role"] = "method" if after == "(" or before == "::" else "type" if name[:1].isupper() and owner and owner[:1].isupper() and after not in (")", ";", ",") else "field"
+            if owner in ("this", "super"):
+                row["receiver"] = owner
+            elif owner and (i < 4 or t[i - 3][1] != "."):
+                row["receiver"] = locals_.get(owner) or (fields.get(owner) if owner not in locals_ else None) or (owner if owner[:1].isupper() and owner not in fields else None)
+            row["receiver"] = row["receiver"] or "?"
+        elif until > i and t[i - 1][0] in ("name", "op") and _declares(t, i):
+            locals_[name] = _class_before(t, i)
+            row["role"] = "local"
+        elif name in locals_:
+            row["role"] = "local"
+        elif after == "(" and before not in ("new", "@"):
+            row["role"] = "method"
+        elif name in fields or not name[:1].isupper():
+            row["role"] = "field"
+        else:
+            row["role"] = "type"
+        if row["role"] == "method" and after == "(" and row["arity"] is None:
+            row["arity"] = _arguments(t, i + 1)
+        out.append(row)
+    return out
+
+
+def _declares(t: list, i: int) -> bool:
+    """Whether the name at i is that of a parameter or a local variable: a type stands before it."""
+    after = t[i + 1][1] if i + 1 < len(t) else ""
+    kind, before, _ = t[i - 1]
+    typed = kind == "name" and (before not in RESERVED or before in PRIMITIVES) or before in (">", "]", "...")
+    return typed and after in ("=", ";", ":", ",", ")", "[") or before in ("(", ",") and after == "->"
+
+
+def _class_before(t: list, i: int) -> str | None:
+    """The simple name of the class before the name at i, its arguments and brackets apart."""
+    k, depth = i - 1, 0
+    while k >= 0:
+        v = t[k][1]
+        depth += (v in (">", "]")) - (v in ("<", "["))
+        if depth == 0 and v not in ("<", "[", "..."):
+            return v if t[k][0] == "name" and v not in RESERVED and v != "var" else None
+        k -= 1
+    return None
+
+
+def _arguments(t: list, at: int) -> int:
+    """The number of arguments of the call whose bracket is at `at`."""
+    depth = n = 0
+    for k in range(at, len(t)):
+        v = t[k][1]
+        if t[k][0] == "op":
+            if v in ")]}":
+                depth -= 1
+                if depth == 0:
+                    return n + (k > at + 1)
+            depth += v in ("(", "[", "{")
+            n += v == "," and depth == 1
+    return n + 1

@@ -2,7 +2,7 @@
 
 import pytest
 
-from sparrowdex.plans import reference
+from sparrowdex.plans import reference, sources  # noqa: F401  registers its queries
 
 
 @pytest.mark.parametrize("name", sorted(reference.QUERIES))
