@@ -134,12 +134,11 @@ def leaves(reps: DataFrame, first: F.Column, kids: float) -> tuple[DataFrame, Da
         found.append(rows.select("rep", "node").join(small.select("node"), "node").select("node", "rep"))
         large = nodes.where(F.col("size") > LEAF)
         held = {r.alike: r.rows for r in large.groupBy(alike.alias("alike")).agg(F.sum("size").alias("rows")).collect()}
-        inside = rows.select("rep", "node").join(large, "node")
         if True in held:
-            whole.append(inside.where(alike).select("node", "size", "lo", "rep"))
+            whole.append(rows.select("rep", "node").join(large.where(alike), "node").select("node", "size", "lo", "rep"))
         if False not in held:
             return reduce(DataFrame.union, found), reduce(DataFrame.union, whole) if whole else None, used
-        paths = inside.where(~alike).select("node", "rep", "size")
+        paths = rows.select("rep", "node").join(large.where(~alike), "node").select("node", "rep", "size")
         paths = F.broadcast(paths) if held[False] <= BROADCAST_IDS else paths
         sure = int(kids)
         more = F.pmod(F.xxhash64("node", F.lit("more")), F.lit(1000)) < int(1000 * (kids - sure))
@@ -184,7 +183,7 @@ def solved(groups: DataFrame, docs: DataFrame, per_cent: int) -> tuple[list[Data
         meet = lambda rows, found: rows.join(F.broadcast(found), "node") if few else spread(rows, found, "node", "rep", like=groups)  # noqa: E731, B023
         diffs = stash(meet(rows, common).select("node", "rep", "set", "common").mapInArrow(lean(differences), "node long, rep long, slack long, diff array<long>"), "differences")
         best = stash(diffs.groupBy("node").agg(F.max(F.struct("slack", "rep")).alias("best")).select("node", F.col("best.rep").alias("star"), F.col("best.slack").alias("most")), "stars")
-        rated = meet(diffs, best)
+        rated = stash(meet(diffs, best), "rated")
         edges.append(rated.where("rep <> star and slack + most >= 0").select(F.col("star").alias("a"), F.col("rep").alias("b")).distinct())
         # those that are linked with the star need no link with each other: one of a pair is far from it, of less slack
         far = F.col("slack") + F.col("most") < 0
