@@ -28,22 +28,25 @@ def _times(h: Column, k: int) -> Column:
     return (h * F.lit(k & 0xFFFF) + high).bitwiseAND(F.lit(MASK))
 
 
-def _code(name: Column, i: Column | int) -> Column:
-    return F.ascii(F.substr(name, F.lit(i) if isinstance(i, int) else i, F.lit(1))).cast("long")
+def units(name: Column | str) -> Column:
+    """The UTF-16 units of a name: a character beyond the first plane is two."""
+    n = _col(name)
+    codes = F.transform(F.when(F.length(n) > 0, F.sequence(F.lit(1), F.length(n))).otherwise(F.array().cast("array<int>")), lambda i: F.ascii(F.substr(n, i, F.lit(1))).cast("long"))
+    high = lambda c: F.lit(0xD800).cast("long") + F.shiftright(c - 0x10000, 10)
+    low = lambda c: F.lit(0xDC00).cast("long") + (c - 0x10000).bitwiseAND(F.lit(0x3FF).cast("long"))
+    return F.when(F.octet_length(n) == F.length(n), codes).otherwise(F.flatten(F.transform(codes, lambda c: F.when(c > 0xFFFF, F.array(high(c), low(c))).otherwise(F.array(c)))))
 
 
 def hash_one(name: Column | str) -> Column:
-    """FNV-1a in 32 bits over the characters, as an unsigned number."""
-    n = _col(name)
-    codes = F.transform(F.when(F.length(n) > 0, F.sequence(F.lit(1), F.length(n))).otherwise(F.array().cast("array<int>")), lambda i: _code(n, i))
-    return F.aggregate(codes, F.lit(FNV_START).cast("long"), lambda h, c: (h.bitwiseXOR(c) * F.lit(FNV_PRIME).cast("long")).bitwiseAND(F.lit(MASK)))
+    """FNV-1a in 32 bits over the UTF-16 units, as an unsigned number."""
+    return F.aggregate(units(name), F.lit(FNV_START).cast("long"), lambda h, c: (h.bitwiseXOR(c) * F.lit(FNV_PRIME).cast("long")).bitwiseAND(F.lit(MASK)))
 
 
 def hash_two(name: Column | str) -> Column:
-    """A mixture of length, first and last character, made odd, as an unsigned 32-bit number."""
-    n = _col(name)
-    size = F.length(n).cast("long")
-    start = F.when(size > 0, ((size * 31 + _code(n, 1)) * 31 + _code(n, size.cast("int")))).otherwise(F.lit(0).cast("long")).bitwiseAND(F.lit(MASK))
+    """A mixture of length, first and last unit, made odd, as an unsigned 32-bit number."""
+    u = units(name)
+    size = F.size(u).cast("long")
+    start = F.when(size > 0, ((size * 31 + F.element_at(u, 1)) * 31 + F.element_at(u, -1))).otherwise(F.lit(0).cast("long")).bitwiseAND(F.lit(MASK))
     shifted = lambda h, by: h.bitwiseXOR(F.shiftrightunsigned(h, by))
     h = _times(shifted(start, 16), MIX_FIRST)
     h = _times(shifted(h, 13), MIX_SECOND)

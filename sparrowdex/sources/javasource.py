@@ -64,6 +64,7 @@ class Parser:
         self.code: list[tuple[int, int]] = []  # of methods, with their parameters
         self.imported: list[tuple[int, list[str], bool]] = []  # token of the last name, names, whether static
         self.head = 0  # tokens of the package and the imports
+        self.around: list[str] = []  # the types that the parser is in
 
     # --- tokens ---
 
@@ -244,7 +245,13 @@ class Parser:
         inner = f"<{''.join(args)}>" if args else ""
         if len(parts) == 1:
             return f"T{parts[0]};" if parts[0] in variables else f"U{parts[0]}{inner};"
-        return f"L{self.jvm(parts)}{inner};"
+        return f"L{self.selected(parts)}{inner};"
+
+    def selected(self, parts: list[str]) -> str:
+        """The type that a selection names: below a type around it or an import, if its first name is one's."""
+        own = {j.rpartition("/")[2].rpartition("$")[2]: j for j in self.around}
+        root = own.get(parts[0]) or self.single.get(parts[0])
+        return "$".join([root, *parts[1:]]) if root else self.jvm(parts)
 
     def type(self, variables: dict) -> str:
         self.annotations()
@@ -368,7 +375,9 @@ class Parser:
             else:
                 self.at += 1
         first = self.at
+        self.around.append(jvm)
         self.body(row, kind, scope, [*shown, visible])
+        self.around.pop()
         self.bodies.append((first, self.at, jvm))
         return True
 

@@ -5,6 +5,7 @@ Event time, watermarks and exactly-once sinks are extensions: the reference appl
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -39,7 +40,7 @@ def apply_events(types: DataFrame, events: DataFrame, order: list[str], parse: C
 
 
 def throttled(events: DataFrame, ts: str, seconds: int = 1, keys: tuple[str, ...] = ()) -> DataFrame:
-    """One refresh per window of `seconds`: the events of a pending window are absorbed. Micros of the window's end."""
+    """Refreshes by whole windows of `seconds`: the events of a window are absorbed by one. Micros of the window's start."""
     width = seconds * 1_000_000
     start = F.expr(f"unix_micros(cast({ts} as timestamp)) div {width}") * width
     return events.groupBy(*keys, start.alias("window_start")).agg(F.count("*").alias("events"))
@@ -66,8 +67,8 @@ def event_stream(events: DataFrame, apply: Callable[[DataFrame], None], checkpoi
         for tell in listeners:
             try:
                 tell(number)
-            except Exception:  # noqa: BLE001, S112
-                continue
+            except Exception:
+                logging.getLogger(__name__).exception("a listener failed on batch %d", number)
 
     writer = events.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 second")).start()
@@ -81,18 +82,20 @@ def windowed_refreshes(events: DataFrame, ts: str = "ts", late: str = "10 second
 def document_store(changes: DataFrame, uri: str = "uri", version: str = "version", text: str = "text", kind: str = "kind") -> DataFrame:
     """The documents after each micro-batch, with state: open and change keep the last full text, close drops it.
 
-    A change without a version counts one up; of a batch's changes the last in order of `seq` wins.
+    A change without a version counts one up; of a batch's changes the last in order of `seq` wins, in whatever order they
+    come. Of the texts only the last is held.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         now = state.get if state.exists else (None, None)
+        steps, last = [], None
         for rows in batches:
-            for r in rows.sort_values("seq").itertuples():
-                if getattr(r, kind) == "close":
-                    now = (None, None)
-                else:
-                    known = getattr(r, version)
-                    now = (int(known) if pd.notna(known) else (now[0] or 0) + 1, getattr(r, text))
+            for r in rows.itertuples():
+                steps.append((r.seq, getattr(r, kind), getattr(r, version)))
+                if last is None or r.seq >= last[0]:
+                    last = (r.seq, getattr(r, text))
+        for _, what, known in sorted(steps, key=lambda s: s[0]):
+            now = (None, None) if what == "close" else (int(known) if pd.notna(known) else (now[0] or 0) + 1, last[1])
         if now[0] is None:
             state.remove()
             yield pd.DataFrame({"uri": [key[0]], "version": [None], "text": [None]})

@@ -2,7 +2,7 @@
 
 import pytest
 
-from sparrowdex.plans import reference, sources  # noqa: F401  registers its queries
+from sparrowdex.plans import reference, rest, sources  # noqa: F401  they register their queries
 
 
 @pytest.mark.parametrize("name", sorted(reference.QUERIES))
