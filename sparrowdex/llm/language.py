@@ -36,9 +36,9 @@ def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     Texts are lower-cased, everything but letters becomes one boundary mark, and n-grams of the ORDERS are taken within
     words with their boundary marks.
     """
-    joined = "\n".join(t.lower() if t else "" for t in texts) + "\n"
-    code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-    lengths = np.fromiter((len(t.lower()) + 1 if t else 1 for t in texts), np.int64, len(texts))
+    lowered = [f"\n{t.lower()}\n" if t else "" for t in texts]
+    code = np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32)
+    lengths = np.fromiter(map(len, lowered), np.int64, len(texts))
     owner = np.repeat(np.arange(len(texts), dtype=np.int32), lengths)
     letter = letter_table()[np.minimum(code, 0x10FFFF)]
     has = np.zeros(len(texts), bool)
@@ -58,7 +58,7 @@ def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if k > 2:
             inner = inner & letter[k - 2 : n - 1]
         if k in ORDERS:
-            good = inner & (letter[: n - k + 1] | letter[k - 1 :]) & (owner[: n - k + 1] == owner[k - 1 :])
+            good = inner & (letter[: n - k + 1] | letter[k - 1 :] | (k > 2)) & (owner[: n - k + 1] == owner[k - 1 :])
             x = h[good]
             x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
             buckets.append((x >> np.uint64(65 - BUCKETS.bit_length())).astype(np.int32))

@@ -30,12 +30,53 @@ UNITS_KEPT, PAIRS_KEPT = 300_000, 600_000
 _loaded: dict[str, Model] = {}
 
 
+#: Fixed values of the .model format: the field of the trainer's settings, that of the model's type in it, the types.
+TRAINER, TYPE, TYPES = 2, 3, {1: "unigram", 2: "bpe", 3: "word", 4: "char"}
+
+
+def _fields(raw: bytes):
+    """(number, value) of the fields of a protocol buffer."""
+    at = 0
+
+    def varint() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            b = raw[at]
+            at += 1
+            value |= (b & 127) << shift
+            shift += 7
+            if b < 128:
+                return value
+
+    while at < len(raw):
+        key = varint()
+        if key & 7 == 0:
+            yield key >> 3, varint()
+            continue
+        size = varint() if key & 7 == 2 else 8 if key & 7 == 1 else 4
+        yield key >> 3, raw[at : at + size]
+        at += size
+
+
+def kind_of(path: str) -> str:
+    """The type that a .model file states; unigram where it states none."""
+    with open(path, "rb") as f:
+        raw = f.read()
+    trainer = next((v for n, v in _fields(raw) if n == TRAINER), b"")
+    return TYPES.get(next((v for n, v in _fields(trainer) if n == TYPE), 1), "other")
+
+
 class Model:
-    """A .model file's pieces with forward coding over sorted units. kind: bpe or unigram."""
+    """A .model file's pieces with forward coding over sorted units, for BPE and unigram models."""
 
-    def __init__(self, path: str, kind: str = "bpe"):
+    def __init__(self, path: str):
         from sentencepiece import SentencePieceProcessor
 
+        kind = kind_of(path)
+        if kind not in ("bpe", "unigram"):
+            raise ValueError(f"no BPE or unigram model: {kind}")
+
         sp = SentencePieceProcessor(model_file=path)
         n = sp.get_piece_size()
         self.bpe, self.unknown = kind == "bpe", sp.unk_id()
@@ -208,14 +249,13 @@ def piece_lengths(pieces) -> dict[str, list[int]]:
     return {e: sorted(n, reverse=True) for e, n in ends.items()}
 
 
-def model(path: str, kind: str = "bpe") -> Model:
-    key = f"{kind} {path}"
-    if key not in _loaded:
-        _loaded[key] = Model(path, kind)
-    return _loaded[key]
+def model(path: str) -> Model:
+    if path not in _loaded:
+        _loaded[path] = Model(path)
+    return _loaded[path]
 
 
-def encode(docs: DataFrame, path: str, kind: str = "bpe", id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """id, n_tokens, ids_crc32 (of the ids as little-endian unsigned 32-bit numbers), round_trip and, if asked, the ids.
 
     round_trip: the decoded ids are the text's bytes again; false only where the text holds the mark itself. A null or
@@ -224,7 +264,7 @@ def encode(docs: DataFrame, path: str, kind: str = "bpe", id_col: str = "doc_id"
     schema = pa.schema([("id", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("round_trip", pa.bool_())] + [("ids", pa.list_(pa.int32()))] * with_ids)
 
     def run(batches):
-        coder = model(path, kind)
+        coder = model(path)
         for b in batches:
             for a, z in batches_of(b.column(1), 4 << 20):
                 texts = b.column(1).slice(a, z - a)
@@ -239,12 +279,12 @@ def encode(docs: DataFrame, path: str, kind: str = "bpe", id_col: str = "doc_id"
     return out.withColumnRenamed("id", id_col)
 
 
-def decode(coded: DataFrame, path: str, kind: str = "bpe", id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+def decode(coded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """id and the text of each row's ids; null ids of a row give a null text."""
     schema = pa.schema([("id", pa.int64()), ("text", pa.string())])
 
     def run(batches):
-        coder = model(path, kind)
+        coder = model(path)
         for b in batches:
             texts = [None if v is None else coder.decode(np.array(v, np.int64)).removeprefix(b" ").decode(errors="replace") for v in b.column(1).to_pylist()]
             yield pa.record_batch([b.column(0), pa.array(texts, pa.string())], schema=schema)

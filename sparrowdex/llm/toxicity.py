@@ -86,13 +86,14 @@ def logit(p: np.ndarray) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, categories: list[str], sample_rows: int = 12_000, id_col: str = "doc_id", text_col: str = "text") -> Chain:
-    """A chain over `categories`, columns of labels with 0 or 1 (anything but a positive number counts as 0).
+    """A chain over `categories`, columns of labels with 0 or 1 (a number that is not positive counts as 0). The last one
+    is what is decided; those before it need be no toxicity categories.
 
     sample_rows bounds the expected number of labelled rows that are learned from: with more, those with the smallest
-    hash of the id are taken. Labels of null ids or without a document say nothing; of repeated labels of one id the
-    largest counts. Without labelled rows every probability is 0.5.
+    hash of the id are taken. Labels of null ids, without a document, or with a null category say nothing; of repeated
+    labels of one id the largest counts. Without labelled rows every probability is 0.5.
     """
-    marked = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(*[F.max((F.coalesce(F.col(c), F.lit(0)) > 0).cast("int")).alias(f"y{j}") for j, c in enumerate(categories)])
+    marked = labels.dropna(subset=[id_col, *categories]).groupBy(F.col(id_col).cast("long").alias("id")).agg(*[F.max((F.col(c) > 0).cast("int")).alias(f"y{j}") for j, c in enumerate(categories)])
     n = marked.count()
     if n > sample_rows:
         marked = marked.where(F.xxhash64("id") < int(-(2**63) + 2**64 * (sample_rows / n)))

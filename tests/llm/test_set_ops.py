@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sparrowdex.llm import components, html_text, media, near_dup, queries, topk, warc, workspace
+from sparrowdex.llm import components, html_text, language, media, near_dup, queries, topk, warc, workspace
 from sparrowdex.llm.shingles import shingle_sets
 
 
@@ -551,6 +551,19 @@ def test_pipeline(spark, sf):
     assert corpus_pipeline.run(spark, sf).columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
+def test_stages_document_by_document(spark, sf):
+    """What the first two stages keep, against their models asked for one text at a time."""
+    docs = queries.table(spark, sf, "documents")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    chain = queries.toxicity_chain(docs, queries.table(spark, sf, "labels"))
+    kept = {r.doc_id for r in corpus_pipeline.drop_toxic(spark, docs, sf).collect()}
+    assert kept == {d for d, t in texts.items() if chain.predict([t])[0, -1] < queries.TOXIC_FROM}
+    model = language.fit(docs)
+    kept = {r.doc_id for r in corpus_pipeline.keep_languages(spark, docs, sf).collect()}
+    judged = {d: [x[0] for x in model.judge([t])] for d, t in texts.items()}
+    assert kept == {d for d, (x, score, gap) in judged.items() if x != "und" and score >= corpus_pipeline.CERTAIN_FROM and gap <= corpus_pipeline.USUAL_TO}
+
+
 def test_pipeline_drops_what_is_no_learned_language(spark, sf):
     r = random.Random(6)
     junk = [" ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 9))) for _ in range(n)) for n in (10, 30, 100)]
