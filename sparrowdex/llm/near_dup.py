@@ -126,16 +126,18 @@ def leaves(reps: DataFrame, first: F.Column, kids: float) -> tuple[DataFrame, Da
     found, whole, used = [], [], []
     alike = (F.col("size") > COHERENT * F.col("parent")) & (F.col("parent") > 0)
     while True:
-        nodes = stash(rows.groupBy("node").agg(F.count("*").alias("size"), F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.max("parent").alias("parent")).where("size > 1"), "nodes")
+        nodes = stash(rows.groupBy("node").agg(F.count("*").alias("size"), F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.max("parent").alias("parent"), F.bit_xor(F.xxhash64("rep")).alias("who")).where("size > 1"), "nodes")
         used.append(nodes)
+        # nodes of the same documents, of other trees mostly: one of them is enough where they end
+        once_each = lambda some: some.groupBy("size", "who").agg(F.min("node").alias("node"), F.min("lo").alias("lo")).select("node", "size", "lo")
         pairs = nodes.where("size = 2").select("lo", "hi").distinct()
         found.append(pairs.select(F.xxhash64("lo", "hi").alias("node"), F.explode(F.array("lo", "hi")).alias("rep")))
-        small = nodes.where((F.col("size") > 2) & (F.col("size") <= LEAF))
+        small = once_each(nodes.where((F.col("size") > 2) & (F.col("size") <= LEAF)))
         found.append(rows.select("rep", "node").join(small.select("node"), "node").select("node", "rep"))
         large = nodes.where(F.col("size") > LEAF)
         held = {r.alike: r.rows for r in large.groupBy(alike.alias("alike")).agg(F.sum("size").alias("rows")).collect()}
         if True in held:
-            whole.append(rows.select("rep", "node").join(large.where(alike), "node").select("node", "size", "lo", "rep"))
+            whole.append(rows.select("rep", "node").join(once_each(large.where(alike)), "node").select("node", "size", "lo", "rep"))
         if False not in held:
             return reduce(DataFrame.union, found), reduce(DataFrame.union, whole) if whole else None, used
         paths = rows.select("rep", "node").join(large.where(~alike), "node").select("node", "rep", "size")
