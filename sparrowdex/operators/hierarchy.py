@@ -66,17 +66,15 @@ def closure(edges: DataFrame, starts: DataFrame, sub: str = "sub_jvm", sup: str
     reached, last, depth, used = keep(first), 1, 1, [pairs]
     used.append(reached)
     while True:
-        frontier, more = reached.where(F.col("depth") == last), []
-        for _ in range(at_once):
+        step, more = reached.where(F.col("depth") == last).select("start", "reached"), []
+        for _ in range(at_once):  # within a round, what was reached before may be reached again
             depth += 1
-            step = frontier.join(pairs, F.col("reached") == F.col("__sub")).select("start", F.col("__sup").alias("reached")).distinct()
-            for known in (reached, *more):
-                step = step.join(known.select("start", "reached"), ["start", "reached"], "left_anti")
-            frontier = step.withColumn("depth", F.lit(depth))
-            more.append(frontier)
+            step = step.join(pairs, F.col("reached") == F.col("__sub")).select("start", F.col("__sup").alias("reached")).distinct()
+            more.append(step.withColumn("depth", F.lit(depth)))
         found = more[0]
         for m in more[1:]:
             found = found.unionByName(m)
+        found = found.groupBy("start", "reached").agg(F.min("depth").alias("depth")).join(reached.select("start", "reached"), ["start", "reached"], "left_anti")
         found = keep(found)
         used.append(found)
         reached = reached.unionByName(found)

@@ -30,6 +30,12 @@ def candidates(resource_identifier: DataFrame, name: str, suffix: str | None = "
     return found.drop("name").distinct()
 
 
+def mentioning(texts: DataFrame, keys: list[str], name: str, text: str = "text", pattern: str = IDENTIFIER) -> DataFrame:
+    """(keys) of the texts that have a name among their identifiers; those without its letters are not cut up."""
+    named = F.array_contains(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0)), F.lit(name))
+    return texts.where(F.contains(F.col(text), F.lit(name)) & named).select(*keys).distinct()
+
+
 def capped(hits: DataFrame, pinned: DataFrame, key: str, cap: int) -> DataFrame:
     """(key, is_pinned): the pinned ones, then hits in their order until there are `cap`; cap <= 0: all.
 

@@ -185,7 +185,7 @@ SELECT doc_id, true AS is_pinned FROM pinned UNION ALL
 SELECT doc_id, false FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS n FROM hits WHERE doc_id NOT IN (SELECT doc_id FROM pinned)) WHERE n <= 200 - (SELECT count(*) FROM pinned)""")
 def reference_candidates_capped(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    hits = xref.candidates(xref.identifiers(docs, ["doc_id"], pattern=ASCII_NAME), WORD, suffix=None)
+    hits = xref.mentioning(docs, ["doc_id"], WORD, pattern=ASCII_NAME)
     return xref.capped(hits, docs.where("source = 'src3'"), "doc_id", 200)
 
 
@@ -193,7 +193,7 @@ def reference_candidates_capped(spark, sf_dir):
 SELECT DISTINCT doc_id FROM documents WHERE list_contains(regexp_extract_all(text, '{ASCII_NAME}'), '{WORD}') OR source = 'src3'""")
 def reference_candidates(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    hits = xref.candidates(xref.identifiers(docs, ["doc_id"], pattern=ASCII_NAME), WORD, suffix=None)
+    hits = xref.mentioning(docs, ["doc_id"], WORD, pattern=ASCII_NAME)
     return store.distinct_union(hits, docs.where("source = 'src3'").select("doc_id"))
 
 
@@ -218,19 +218,38 @@ def find_references_with_decl(spark, sf_dir):
     return xref.finalize(found, declared, ["doc_id", "start_off"], include=True)
 
 
-@query(POSITIONS + """, asked AS (SELECT doc_id, CAST(doc_id % 97 AS INTEGER) AS "offset" FROM documents)
-SELECT p.doc_id, "offset", arg_min(name, {'w': end_off - start_off, 's': start_off}) AS name, arg_min(start_off, {'w': end_off - start_off, 's': start_off}) AS start_off, arg_min(end_off, {'w': end_off - start_off, 's': start_off}) AS end_off
+#: An offset somewhere in each text.
+OFFSET = "CAST((doc_id * 7919) % (length(text) + 1) AS INTEGER)"
+
+
+def _offset() -> Column:
+    return F.expr("cast((doc_id * 7919) % (length(text) + 1) as int)")
+
+
+@query(POSITIONS + f""", asked AS (SELECT doc_id, {OFFSET} AS "offset" FROM documents)
+SELECT p.doc_id, "offset", arg_min(name, {{'w': end_off - start_off, 's': start_off}}) AS name, arg_min(start_off, {{'w': end_off - start_off, 's': start_off}}) AS start_off, arg_min(end_off, {{'w': end_off - start_off, 's': start_off}}) AS end_off
 FROM asked a JOIN places p ON a.doc_id = p.doc_id AND start_off <= "offset" AND "offset" < end_off GROUP BY p.doc_id, "offset" """)
 def occurrence_at_offset(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    asked = docs.select("doc_id", (F.col("doc_id") % 97).cast("int").alias("offset"))
-    return xref.occurrence_at(asked, xref.token_positions(docs, ["doc_id"], pattern=ASCII_NAME), "doc_id")
+    docs = table(spark, sf_dir, "documents").withColumn("offset", _offset())
+    return docs.select("doc_id", "offset", xref.token_at("text", "offset", letters="A-Za-z_").alias("t")).where("t is not null").select("doc_id", "offset", "t.*")
 
 
 @query("""
-SELECT doc_id, CAST(length(h) - length(replace(h, chr(10), '')) AS INTEGER) AS line, CAST(length(list_last(string_split(h, chr(10)))) AS INTEGER) AS col FROM (SELECT doc_id, substr(text, 1, CAST(doc_id % 1009 AS INTEGER)) AS h FROM documents)""")
+SELECT o_orderkey, "offset", arg_min(n, {'w': e - s, 's': s, 'n': n}) AS name, arg_min(s, {'w': e - s, 's': s, 'n': n}) AS start_off, arg_min(e, {'w': e - s, 's': s, 'n': n}) AS end_off FROM (
+  SELECT o_orderkey, CAST(o_custkey % 500 AS INTEGER) AS "offset", CAST(l_linenumber * 60 AS INTEGER) AS s, CAST(l_linenumber * 60 + l_quantity * 8 AS INTEGER) AS e, l_returnflag AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey
+) WHERE s <= "offset" AND "offset" < e GROUP BY 1, 2""")
+def narrowest_occurrence(spark, sf_dir):
+    """X2 over a table of occurrences that overlap."""
+    asked = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 500).cast("int").alias("offset"))
+    start = F.col("l_linenumber") * 60
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_returnflag").alias("name"), start.cast("int").alias("start_off"), (start + F.col("l_quantity") * 8).cast("int").alias("end_off"))
+    return xref.occurrence_at(asked, rows, "o_orderkey")
+
+
+@query(f"""
+SELECT doc_id, CAST(length(h) - length(replace(h, chr(10), '')) AS INTEGER) AS line, CAST(length(list_last(string_split(h, chr(10)))) AS INTEGER) AS col FROM (SELECT doc_id, substr(text, 1, {OFFSET}) AS h FROM documents)""")
 def position_at_offset(spark, sf_dir):
-    at = xref.position_at("text", (F.col("doc_id") % 1009).cast("int"))
+    at = xref.position_at("text", _offset())
     return table(spark, sf_dir, "documents").select("doc_id", at["line"].cast("int").alias("line"), at["col"].cast("int").alias("col"))
 
 
@@ -506,9 +525,15 @@ def listed_files(spark, sf_dir):
     return stats.listed_files(table(spark, sf_dir, "pages"), "url", ["fr", "de"])
 
 
-@query("SELECT doc_id, CASE WHEN n_chars < 1024 THEN format('{} B', n_chars) ELSE printf('%.2f KiB', floor(n_chars * 100.0 / 1024 + 0.5) / 100) END AS size FROM documents WHERE n_chars < 1048576")
+def _size_sql(n: str) -> str:
+    unit = lambda power, name: f"printf('%.2f {name}', floor({n} * 100.0 / {1024**power} + 0.5) / 100)"
+    return f"CASE WHEN {n} < 1024 THEN printf('%d B', {n}) WHEN {n} < {1024**2} THEN {unit(1, 'KiB')} WHEN {n} < {1024**3} THEN {unit(2, 'MiB')} ELSE {unit(3, 'GiB')} END"
+
+
+@query(f"SELECT doc_id, {_size_sql('n_chars')} AS size, {_size_sql('(n_chars * 1024)')} AS larger, {_size_sql('(n_chars * 1048576)')} AS largest FROM documents")
 def formatted_bytes(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", names.format_bytes("n_chars").alias("size"))
+    size = lambda k: names.format_bytes(F.col("n_chars") * k)
+    return table(spark, sf_dir, "documents").select("doc_id", size(1).alias("size"), size(1024).alias("larger"), size(1048576).alias("largest"))
 
 
 # --- resolution cascade -----------------------------------------------------------------------------------------------
@@ -546,11 +571,10 @@ def bloom_hash(spark, sf_dir):
 @query(f"""
 SELECT doc_id, list_contains(regexp_extract_all(text, '{ASCII_NAME}'), '{WORD}') AS contained, true AS no_false_negative FROM documents WHERE len(regexp_extract_all(text, '{ASCII_NAME}')) > 0""")
 def bloom_probe(spark, sf_dir):
-    index = xref.identifiers(table(spark, sf_dir, "documents"), ["doc_id"], pattern=ASCII_NAME)
-    hits = bloom.build(index, ["doc_id"]).select("doc_id", bloom.might_contain(F.lit(WORD)).alias("hit"))
-    has = index.where(F.col("name") == WORD).select("doc_id", F.lit(True).alias("has"))
-    contained = F.coalesce("has", F.lit(False))
-    return hits.join(has, "doc_id", "left").select("doc_id", contained.alias("contained"), (F.col("hit") | ~contained).alias("no_false_negative"))
+    found = F.array_distinct(F.regexp_extract_all("text", F.lit(ASCII_NAME), F.lit(0)))
+    rows = table(spark, sf_dir, "documents").select("doc_id", found.alias("names")).where(F.size("names") > 0)
+    hits = bloom.build_in_rows(rows.withColumn("contained", F.array_contains("names", F.lit(WORD))), ["doc_id", "contained"])
+    return hits.select("doc_id", "contained", (bloom.might_contain(F.lit(WORD)) | ~F.col("contained")).alias("no_false_negative"))
 
 
 @query(f"""
@@ -597,9 +621,9 @@ def completion_members(spark, sf_dir):
 
 
 @query(r"""
-SELECT doc_id, p AS prefix, ends_with(rtrim(substr(h, 1, length(h) - length(p))), '.') AS qualified FROM (SELECT *, regexp_extract(h, '([A-Za-z_$][\w$]*)$', 1) AS p FROM (SELECT doc_id, substr(text, 1, CAST(doc_id % 211 AS INTEGER)) AS h FROM documents))""")
+SELECT doc_id, p AS prefix, ends_with(rtrim(substr(h, 1, length(h) - length(p))), '.') AS qualified FROM (SELECT *, regexp_extract(h, '([A-Za-z_$][\w$]*)$', 1) AS p FROM (SELECT doc_id, substr(text, 1, """ + OFFSET + """) AS h FROM documents))""")
 def completion_prefix(spark, sf_dir):
-    at = complete.prefix_at("text", (F.col("doc_id") % 211).cast("int"))
+    at = complete.prefix_at("text", _offset())
     return table(spark, sf_dir, "documents").select("doc_id", at["prefix"].alias("prefix"), at["qualified"].alias("qualified"))
 
 

@@ -103,7 +103,7 @@ def parse(resources: DataFrame, surface_names: bool = False, record_components:
         origin = "classfile" if (path or "").endswith(".class") else "source"
         if error is None:
             try:
-                types, modules, mentioned, *skipped = classfile.parse(data, surface) if origin == "classfile" else javasource.parse(data.decode("utf-8", "replace"))
+                types, modules, mentioned, *skipped = classfile.parse(data, surface) if origin == "classfile" else javasource.parse_counted(data.decode("utf-8", "replace"))
                 if not record_components and origin == "source":
                     for t in types:
                         t["record_components"] = []

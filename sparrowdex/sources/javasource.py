@@ -529,8 +529,13 @@ def number(text: str, sign: int) -> tuple[str, object]:
     return tag, (value + (1 << bits - 1)) % (1 << bits) - (1 << bits - 1)
 
 
-def parse(text: str) -> tuple[list[dict], list[dict], list[str], int]:
-    """(types, modules, names, members that do not parse) of a source file; a module declaration gives no row."""
+def parse(text: str) -> tuple[list[dict], list[dict], list[str]]:
+    """(types, modules, names) of a source file; a module declaration gives no row."""
+    return parse_counted(text)[:3]
+
+
+def parse_counted(text: str) -> tuple[list[dict], list[dict], list[str], int]:
+    """What parse() finds, and the number of members that do not parse."""
     p = Parser(text)
     return p.unit(), [], identifiers(text), len(p.skipped)
 

@@ -211,3 +211,55 @@ def test_symbols(spark):
     got = {r.offset: r.name for r in xref.occurrence_at(asked, spans, "uri").collect()}
     assert got == {3: "inner", 5: "outer"}
     assert {r.offset: r.name for r in xref.occurrence_at(asked, spans, "uri", inclusive_end=True).collect()} == {3: "inner", 5: "inner", 10: "outer"}
+
+
+def test_nothing_is_cut_off(spark):
+    """Chains, nestings and encodings of any depth."""
+    from pyspark.sql import functions as F
+
+    from sparrowdex.functions import names
+    from sparrowdex.operators import classpath, hierarchy, resolve
+
+    chain = spark.createDataFrame([(f"t{i}", f"t{i + 1}") for i in range(109)] + [("t109", "t0")], "sub_jvm string, super_jvm string").coalesce(1)
+    got = {r.reached: r.depth for r in hierarchy.closure(chain, spark.createDataFrame([("t0",)], "start string"), at_once=6).collect()}
+    assert got == {f"t{i}": i for i in range(1, 110)} | {"t0": 110}
+    deep = "a/B"
+    for k in range(6):
+        deep = f"a/C{k}<L{deep};>" if k else "a/C0<La/B;>"
+    sigs = spark.createDataFrame([(f"L{deep};", f"L{deep}.In<TT;>;", "Ux;", "[La/B<*>;")], "a string, b string, c string, d string")
+    assert sigs.select(*[hierarchy.erased(c) for c in "abc"]).first() == ("a/C5", "a/C5$In", "x")
+    edges = spark.createDataFrame([(f"p/T{i}", f"p/T{i + 1}") for i in range(20)], "sub string, super string").coalesce(1)
+    refs = spark.createDataFrame([("p/T0", "M"), ("p/T0", "N")], "type string, simple string")
+    found = {r.simple: r.resolved for r in resolve.member_in_scope(refs, spark.createDataFrame([("p/T20$M",)], "jvm_name string"), edges).collect()}
+    assert found == {"M": "p/T20$M", "N": None}
+    targets = spark.createDataFrame([(f"n{i}", [f"src{i}"], [f"n{i + 1}"] if i < 12 else [], [], None) for i in range(13)], "namespace string, sources array<string>, depends_on array<string>, dependency_modules array<string>, image string")
+    path = classpath.build_path(targets.where("namespace = 'n0'").select("namespace"), targets, spark.createDataFrame([], "id string, jar string"), transitive=True)
+    assert {r.prefix for r in path.collect()} == {f"src{i}" for i in range(13)}
+    text = "a b/c"
+    for _ in range(7):
+        text = __import__("urllib.parse").parse.quote(text, safe="")
+    assert spark.createDataFrame([(text, "100%", "x%zz%20")], "a string, b string, c string").select(names.decode_uri("a"), names.decode_uri("b"), names.decode_uri("c")).first() == ("a b/c", "100%", "x%zz%20")
+    uris = [f"file:///{i:03d}/" for i in range(60)]
+    rows = spark.createDataFrame([(u + "x", k % 3) for k, u in enumerate(uris)] + [(None, 1), ("other", 2)], "uri string, k int")
+    assert {(r.k, r.uri) for r in classpath.pick(rows, "k", "uri", uris[::-1], ["uri"]).collect()} == {(0, uris[57] + "x"), (1, uris[58] + "x"), (2, uris[59] + "x")}
+
+
+def test_filters_made_in_rows_are_the_same(spark):
+    from pyspark.sql import functions as F
+
+    from sparrowdex.functions import bloom
+
+    names = {1: ["a", "bc", "Ünï", "𝒳y", "x" * 300], 2: [], 3: [f"n{i}" for i in range(400)], 4: ["only"]}
+    rows = spark.createDataFrame([(k, v) for k, v in names.items()] + [(5, None)], "id int, names array<string>")
+    a = {r.id: (r.bit_count, r.hash_count, r.bits) for r in bloom.build_in_rows(rows, ["id"]).collect()}
+    b = {r.id: (r.bit_count, r.hash_count, r.bits) for r in bloom.build(rows.select("id", F.explode_outer("names").alias("name")), ["id"]).collect()}
+    assert a == b
+
+    def fnv(name):
+        h, raw = 0x811C9DC5, name.encode("utf-16-le")
+        for i in range(0, len(raw), 2):
+            h = (h ^ int.from_bytes(raw[i : i + 2], "little")) * 0x01000193 & 0xFFFFFFFF
+        return h
+
+    flat = spark.createDataFrame([(x,) for v in names.values() for x in v], "n string")
+    assert all(r[1] == fnv(r[0]) for r in flat.select("n", bloom.hash_one("n")).collect())

@@ -139,3 +139,28 @@ def test_java_image(spark):
     assert row.jvm_name == "java/util/ArrayList" and row.super_sig == "Ljava/util/AbstractList<TE;>;" and row.resource_uri == f"jrt://{home}!/modules/java.base/java/util/ArrayList.class"
     module = files.module_entries(parsed).first()
     assert module.name == "java.base" and "java/util" in [e["package"] for e in module.exports] and "java/util" in module.packages
+
+
+def test_identifiers_and_text_blocks():
+    from sparrowdex.sources import javasource
+
+    text = 'package p; class A { static final String S = """\n      one\n        two  \n\n      three""";\n int \U0001d4b3y; // no\n String t = "new"; B.C c; A.In d; }'
+    assert javasource.identifiers(text) == ["A", "B", "C", "In", "S", "String", "c", "d", "p", "t", "\U0001d4b3y"]
+    types = javasource.parse(text)[0]
+    assert types[0]["fields"][0]["const"]["s"] == "one\n  two\n\nthree"
+    assert [f["sig"] for f in types[0]["fields"] if f["name"] in ("c", "d")] == ["LB$C;", "Lp/A$In;"]
+
+
+def test_occurrences_of_a_file():
+    from sparrowdex.sources import javasource
+
+    text = "package p;\nimport q.Other;\nimport static q.Util.max;\nclass A<T> extends Other {\n  private Other o;\n  A(int n) { super(n); this.o = null; }\n  int f(java.util.List<String> xs) {\n    for (String x : xs) o.run(x, max(1, 2));\n    return new In(xs).size;\n  }\n  class In { int size; In(Object a) {} }\n}\n"
+    got = {(o["line"], o["name"], o["col"]): o for o in javasource.occurrences(text)}
+    at = lambda line, name: next(o for (k, n, _), o in sorted(got.items()) if (k, n) == (line, name))
+    assert all(text[o["start_off"] : o["end_off"]] == o["name"] for o in got.values())
+    assert at(1, "Other")["owner"] == "q/Other" and at(2, "max")["owner"] == "q/Util"
+    assert at(5, "A")["is_declaration"] and at(5, "A")["params"] == ["I"] and at(5, "o")["receiver"] == "this"
+    run = at(7, "run")
+    assert (run["role"], run["receiver"], run["arity"], run["scope"]) == ("method", "Other", 2, "p/A")
+    assert at(7, "max")["role"] == "method" and at(7, "x")["role"] == "local" and at(8, "In")["role"] == "type"
+    assert at(10, "size")["owner"] == "p/A$In" and at(10, "size")["scope"] == "p/A$In"
