@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import html_text, language, media, near_dup, packing, spm, token_counts, topk, toxicity, warc
-from .workspace import new_path
+from .workspace import new_path, stash
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -42,7 +42,7 @@ def op2_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     warc.write(warc.records(table(spark, sf_dir, "pages")), path)
-    back = warc.resolve(warc.read(spark, path))
+    back = warc.resolve(stash(warc.read(spark, path), "warc-read"))  # resolving reads the headers more than once
     return back.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
