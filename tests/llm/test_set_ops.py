@@ -551,6 +551,15 @@ def test_pipeline(spark, sf):
     assert corpus_pipeline.run(spark, sf).columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
+def test_stages_on_other_columns(spark, sf):
+    """Columns that an operator makes itself are dropped, missing ones are null, empty tables stay empty."""
+    docs = queries.table(spark, sf, "documents").limit(60).drop("source", "n_chars").withColumns({"p_toxic": F.lit("x"), "score": F.lit(1), "kept": F.lit(False), "gap": F.lit("g"), "rep": F.lit(3)})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"] and out.where("source is not null or n_chars is not null").isEmpty()
+        assert out.count() > 0 and stage(spark, docs.limit(0), sf).isEmpty()
+
+
 def test_stages_document_by_document(spark, sf):
     """What the first two stages keep, against their models asked for one text at a time."""
     docs = queries.table(spark, sf, "documents")
