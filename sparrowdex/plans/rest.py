@@ -288,8 +288,12 @@ def applicable_events(spark, sf_dir):
 
 
 def _stream(spark, sf_dir, name: str) -> DataFrame:
-    schema = table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").option("recursiveFileLookup", False).parquet(sf_dir)
+    """A table as a stream; one that is a single file is picked out of its folder, as a stream reads folders only."""
+    stream = spark.readStream.schema(table(spark, sf_dir, name).schema)
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+        return stream.parquet(f"{sf_dir}/{name}.parquet")
+    return stream.option("pathGlobFilter", f"{name}.parquet").option("recursiveFileLookup", False).parquet(sf_dir)
 
 
 @query("""

@@ -11,6 +11,15 @@ def test_same_rows(name, spark, sf, duck, multiset):
     assert multiset(got) == multiset(duck.sql(reference.SQL[name]).df())
 
 
+@pytest.mark.parametrize("name", ["streamed_documents", "streamed_events"])
+def test_streams_of_folders(name, spark, sf, duck, multiset, tmp_path):
+    """A table may be a folder of several files as well as a single one."""
+    for t in ("conversations", "events"):
+        spark.read.parquet(f"{sf}/{t}.parquet").repartition(3).write.parquet(str(tmp_path / f"{t}.parquet"))
+    got = reference.QUERIES[name](spark, str(tmp_path)).toPandas()
+    assert multiset(got) == multiset(duck.sql(reference.SQL[name]).df())
+
+
 def test_entry(spark, sf):
     import __spark_entry__
 
