@@ -14,9 +14,10 @@ from .store import by_prefix, search_prefix
 def prefix_at(text: Column | str, offset: Column | str) -> Column:
     """(prefix, qualified): the name that ends at the cursor, and whether a dot stands before it."""
     head = F.substr(F.col(text) if isinstance(text, str) else text, F.lit(1), F.col(offset) if isinstance(offset, str) else offset)
-    prefix = F.regexp_extract(head, r"([A-Za-z_$][\w$]*)$", 1)
-    before = F.rtrim(F.substr(head, F.lit(1), F.length(head) - F.length(prefix)))
-    return F.struct(prefix.alias("prefix"), F.endswith(before, F.lit(".")).alias("qualified"))
+    # \z, as $ also holds before a line's end; no run is begun in its middle
+    prefix = F.regexp_extract(head, r"(?<![\w$])[0-9]*+([A-Za-z_$][\w$]*+)\z", 1)
+    before = F.substr(head, F.lit(1), F.length(head) - F.length(prefix))
+    return F.struct(prefix.alias("prefix"), F.rlike(before, F.lit(r"\.\p{Zs}*+\z")).alias("qualified"))
 
 
 def qualified_members(members: DataFrame, owner: str, prefix: str, static: bool) -> DataFrame:

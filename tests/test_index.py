@@ -194,6 +194,14 @@ def test_completion(spark):
     assert [r.jvm_name for r in late.collect()] == ["p/Foo"]
 
 
+def test_completion_after_a_line_end(spark):
+    """What stands before a line end is no prefix; any space may stand between a dot and the prefix."""
+    at = lambda text: tuple(spark.range(1).select(complete.prefix_at(F.lit(text), F.lit(len(text))).alias("p")).first().p)
+    for end in ("\n", "\r\n", "\r", "\x85", "\u2028"):
+        assert at("x.foo" + end) == ("", False) and at("x." + end) == ("", False)
+    assert at("a\nb") == ("b", False) and at("x 12ab$3") == ("ab$3", False) and at("x 12") == ("", False) and at("x.\u00a0 \u3000ab") == ("ab", True)
+
+
 def test_synthesis(spark):
     comps = "array<struct<name:string,sig:string>>"
     t = spark.createDataFrame([("E", "ENUM", 1, None), ("C", "CLASS", 1, None), ("I", "INTERFACE", 1, None), ("R", "RECORD", 1, [("x", "I")]), ("F", None, 0x201, None)], f"jvm_name string, decl_kind string, modifiers int, record_components {comps}")
