@@ -115,7 +115,8 @@ def token_at(text: Column | str, offset: Column | str, letters: str = "A-Za-z_$"
     """(name, start_off, end_off) of the identifier around an offset, null for none: the text is cut there, and only the run
     of letters and digits around is looked at."""
     t, at = _col(text), _col(offset)
-    left = F.regexp_extract(F.substr(t, F.lit(1), at), f"[{letters}0-9]*$", 0)
+    # \z, as $ also holds before a line's end; no run is begun in its middle
+    left = F.regexp_extract(F.substr(t, F.lit(1), at), rf"(?<![{letters}0-9])[{letters}0-9]*+\z", 0)
     run = F.concat(left, F.regexp_extract(F.substr(t, at + 1), f"^[{letters}0-9]*", 0))
     digits = F.length(F.regexp_extract(run, "^[0-9]*", 0))
     start = at - F.length(left) + digits

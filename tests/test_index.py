@@ -202,6 +202,15 @@ def test_completion_after_a_line_end(spark):
     assert at("a\nb") == ("b", False) and at("x 12ab$3") == ("ab$3", False) and at("x 12") == ("", False) and at("x.\u00a0 \u3000ab") == ("ab", True)
 
 
+def test_token_after_a_line_end(spark):
+    """A name does not begin before the line end that the offset follows."""
+    at = lambda text, k: spark.range(1).select(xref.token_at(F.lit(text), F.lit(k)).alias("t")).first().t
+    for end in ("\n", "\r\n", "\r", "\x85", "\u2028"):
+        k = len("foo" + end)
+        assert tuple(at(f"foo{end}bar", k)) == ("bar", k, k + 3) and at(f"foo{end}", k) is None and at(f"foo{end} ", k) is None
+    assert tuple(at("x 12ab", 5)) == ("ab", 4, 6) and at("x 12ab", 3) is None and tuple(at("foo", 0)) == ("foo", 0, 3)
+
+
 def test_synthesis(spark):
     comps = "array<struct<name:string,sig:string>>"
     t = spark.createDataFrame([("E", "ENUM", 1, None), ("C", "CLASS", 1, None), ("I", "INTERFACE", 1, None), ("R", "RECORD", 1, [("x", "I")]), ("F", None, 0x201, None)], f"jvm_name string, decl_kind string, modifiers int, record_components {comps}")
