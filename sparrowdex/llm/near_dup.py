@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .shingles import shingle_sets
-from .workspace import discard, lean, small_batches, spread, stash
+from .workspace import discard, give_back, lean, small_batches, spread, stash
 
 WIDTH, LEAF = 128, 256
 #: Children of a node beyond the 1 / similarity that keep a pair alive, and the share of its parent from which a node is coherent.
@@ -336,6 +336,8 @@ def near_duplicates(docs: DataFrame, per_cent: int = 80, id_col: str = "doc_id",
     an empty set and is linked with nothing. Rows that share a doc_id are one document. A row with a null doc_id takes
     no part: its component is null and it is kept. Other columns are dropped, whatever their names.
     """
+    spark = docs.sparkSession
+    give_back(spark)
     texts = _texts(docs, id_col, text_col)
     share = per_cent / 100
     trees = trees_for(share)
@@ -351,6 +353,7 @@ def near_duplicates(docs: DataFrame, per_cent: int = 80, id_col: str = "doc_id",
         leaf = reduce(DataFrame.union, more, leaf)
     groups = stash(clusters(leaf, reps, least, share), "clusters")
     discard(*used)
+    give_back(spark)
     edges = reduce(DataFrame.union, edges, links(groups, texts, per_cent))
     # a row's id and the smallest of its class are one document's, where an id has several sets
     several = known.groupBy("doc_id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x <> y").select("doc_id")

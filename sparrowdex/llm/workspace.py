@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -48,6 +49,16 @@ def discard(*stashes: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def give_back(spark: SparkSession) -> None:
+    """Has the driver's and the executors' heaps collected, so that what earlier steps filled goes back to the system and
+    the broadcasts and shuffles that nothing refers to are dropped. Heaps only grow otherwise, until they are full."""
+    gc.collect()
+    spark._jvm.System.gc()
+    tasks = 4 * spark.sparkContext.defaultParallelism  # some for each executor
+    spark.range(0, tasks, 1, tasks).selectExpr("java_method('java.lang.System', 'gc') AS done").write.format("noop").mode("overwrite").save()
+    trim()
+
+
 def spread(rows: DataFrame, found: DataFrame, key: str, by: str, like: DataFrame | None = None) -> DataFrame:
     """rows joined with found, which has one row at most for each value of `key`; rows without a partner go.
 
@@ -78,10 +89,15 @@ def lean(run):
 
     def wrapped(batches):
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except (OSError, AttributeError):  # another C library
-            return
+        trim()
 
     return wrapped
+
+
+def trim() -> None:
+    """Gives this process's free memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return

@@ -593,3 +593,14 @@ def test_pipeline_on_odd_rows(spark, sf):
         ids = [r.doc_id for r in kept.collect()]
         assert ids == [] or sorted(i or 0 for i in ids) == [0, 5]
         corpus_pipeline.STAGES[-1][1](spark, kept, sf).collect()
+
+
+def test_garbage_is_given_back(spark):
+    """What earlier steps left on the heap is collected, so it does not stay until the heap is full."""
+    heap = spark._jvm.java.lang.Runtime.getRuntime()
+    used = lambda: heap.totalMemory() - heap.freeMemory()
+    held = [spark.sparkContext._gateway.new_array(spark._jvm.long, 2_000_000) for _ in range(4)]
+    before = used()
+    del held
+    workspace.give_back(spark)
+    assert used() < before - 50_000_000
