@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .near_dup import BROADCAST_IDS, COHERENT, LEAF, connected, once
+from .near_dup import COHERENT, LEAF, connected, once
 from .shingles import mix
 from .workspace import discard, lean, spread, stash
 
@@ -43,6 +43,8 @@ MAX_BITS, MIN_VOTES, MIN_SHARE, SLACK = 14, 4, 0.2, 2.5
 #: Movements that are tried for one turn and zoom, and pixels or descriptor pairs that are looked at at once.
 TRIALS, AT_ONCE = 300, 4 << 20
 WIDTH = 64
+#: Rows of (id, node) that go to every task at most where corners are looked up.
+BROADCAST_IDS = 1_000_000
 
 
 def decode_pgm(raw: bytes | None) -> np.ndarray | None:

@@ -45,8 +45,9 @@ RECALL, LEVELS = 0.995, 24
 #: The coordinates on which roots branch, a tree each.
 ROOTS = np.random.default_rng(4).permutation(WIDTH)
 LEAST_SIGMAS = 4.5
-#: Rows of (id, node) that go to every task at most where sets or sketches are looked up; more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+#: Rows of (id, node) that go to every task at most where sets or sketches are looked up; more are joined by a shuffle. The
+#: driver holds them several times over: as collected, as a table and as blocks. BROADCAST_KEYS: the same of ids alone.
+BROADCAST_IDS, BROADCAST_KEYS = 250_000, 1_000_000
 
 
 def survival(share: float, kids: float, level: int) -> float:
@@ -280,15 +281,19 @@ def shingles_of(rows: DataFrame, docs: DataFrame) -> DataFrame:
     rows: node, rep; docs: doc_id, text. An id with several texts has several sets, with repeated ones repeated sets."""
     ids = stash(rows.groupBy("rep").agg(F.collect_set("node").alias("nodes")), "ids")
     few = ids.agg(F.sum(F.size("nodes"))).first()[0] or 0
-    ids = F.broadcast(ids) if few <= BROADCAST_IDS else ids
+    texts = docs.select(F.col("doc_id").alias("rep"), "text")
+    if few <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    elif ids.count() <= BROADCAST_KEYS:  # only texts that are looked up are shuffled
+        texts = texts.join(F.broadcast(ids.select("rep")), "rep", "left_semi")
 
     def sets(batches):
         for b in batches:
             found = [s.view(np.int64) for s in shingle_sets(b.column(2).cast(pa.binary()).to_pylist())]
             yield pa.record_batch([b.column(0), b.column(1), pa.array(found, pa.list_(pa.int64()))], names=["nodes", "rep", "set"])
 
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(ids, "rep").select("nodes", "rep", "text")
-    return texts.mapInArrow(lean(sets), "nodes array<long>, rep long, set array<long>").select(F.explode("nodes").alias("node"), "rep", "set")
+    found = texts.join(ids, "rep").select("nodes", "rep", "text")
+    return found.mapInArrow(lean(sets), "nodes array<long>, rep long, set array<long>").select(F.explode("nodes").alias("node"), "rep", "set")
 
 
 def links(groups: DataFrame, docs: DataFrame, per_cent: int) -> DataFrame:

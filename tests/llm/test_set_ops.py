@@ -604,3 +604,16 @@ def test_garbage_is_given_back(spark):
     del held
     workspace.give_back(spark)
     assert used() < before - 50_000_000
+
+
+def test_broadcasts_are_bounded(spark, monkeypatch):
+    """More ids than go to every task are joined by a shuffle, of the texts that are looked up only; the result is the same."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i // 2) * 40 + k}" for k in range(39 + i % 2))) for i in range(60)], "doc_id long, text string")
+    rows = spark.createDataFrame([(7, i) for i in range(0, 60, 3)], "node long, rep long")
+    want = {(r.doc_id, r.component_id) for r in near_dup.near_duplicates(docs).collect()}
+    assert want == {(i, i - i % 2) for i in range(60)}
+    monkeypatch.setattr(near_dup, "BROADCAST_IDS", 10)
+    found = near_dup.shingles_of(rows, docs)
+    assert "LeftSemi" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.node, r.rep, len(r.set)) for r in found.collect()} == {(7, i, 35 + i % 2) for i in range(0, 60, 3)}
+    assert {(r.doc_id, r.component_id) for r in near_dup.near_duplicates(docs).collect()} == want
