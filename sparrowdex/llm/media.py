@@ -6,7 +6,8 @@ which BITS pairs of smoothed pixels are compared. Descriptors meet in Hamming ta
 their bits; a part that agrees is an entry. A single meeting within MAX_BITS makes two images candidates, so a copy is
 lost only if none of its corners meet: of those of a copy with noise half do, of one turned by 30 degrees a twentieth. An entry of more than LEAF images branches on the same part of the corners around, which are moved and
 cropped with it; one that nevertheless keeps nearly all of its images is dealt into leaves that share the images with the
-fewest corners and with the smallest id.
+fewest corners and with the smallest id. That finds most links at little cost; after it, the images of each entry of more
+than LEAF are compared pair by pair, but for those that are connected already. So an entry's size loses no copy.
 
 Candidates are compared in full: matching descriptors, of any scales and orientations, vote for a movement (turn, zoom by
 halves, displacement), and MIN_VOTES for one movement, MIN_SHARE of the smaller image's corners, make a copy.
@@ -317,12 +318,13 @@ def _around(paths: DataFrame, images: DataFrame, level: int, few: bool) -> DataF
     return images.select("rep", "corners").join(own, "rep").select("rep", "corners", "rows").mapInArrow(lean(run), "node long, rep long, corner long, seen binary, parent long")
 
 
-def candidates(images: DataFrame) -> DataFrame:
-    """members (sorted arrays of ids): images that corners of one entry connect. images: rep, n, corners."""
+def candidates(images: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """members (sorted arrays of ids): images that corners of one entry connect; (node, rep): images of which any two that
+    share an entry of more than LEAF images share a node, or None. images: rep, n, corners."""
     rows = entries(images).withColumn("parent", F.lit(0).cast("long"))
     held, used = [], []
     alike = (F.col("size") > COHERENT * F.col("parent")) & (F.col("parent") > 0)
-    level = 0
+    level, crowd = 0, None
     while True:
         level += 1
         nodes = stash(rows.groupBy("node").agg(F.count("*").alias("size"), F.max("parent").alias("parent")).where("size > 1"), "nodes")
@@ -330,6 +332,12 @@ def candidates(images: DataFrame) -> DataFrame:
         held.append(rows.join(nodes.where(F.col("size") <= LEAF).select("node"), "node").select("node", "rep", "seen"))
         large = nodes.where(F.col("size") > LEAF)
         sizes = {r.alike: r.rows for r in large.groupBy(alike.alias("alike")).agg(F.sum("size").alias("rows")).collect()}
+        if level == 1 and sizes:  # what branches off from an entry has none but its images
+            shared = stash(rows.join(large.select("node"), "node").select("node", "rep"), "crowds")
+            used.append(shared)
+            # entries with the same smallest image are mostly of the same ones
+            low = shared.groupBy("node").agg(F.min("rep").alias("lo"))
+            crowd = stash(shared.join(low, "node").select(F.col("lo").alias("node"), "rep").distinct(), "crowds")
         if True in sizes:
             whole = rows.join(large.where(alike).select("node", "size"), "node").join(images.select("rep", "n"), "rep").select("node", "size", "rep", "n", "seen")
             stars = whole.groupBy("node").agg(F.min(F.struct("n", "rep", "seen")).alias("few"), F.min(F.struct("rep", "seen")).alias("low"))
@@ -357,7 +365,43 @@ def candidates(images: DataFrame) -> DataFrame:
     gathered = reduce(DataFrame.union, held).groupBy("node").agg(F.collect_list(F.struct("rep", "seen")).alias("r"))
     found = stash(gathered.select("r").mapInArrow(lean(run), "members array<long>").distinct(), "candidates")
     discard(*used)
-    return found
+    return found, crowd
+
+
+def apart(crowd: DataFrame, images: DataFrame, found: DataFrame) -> DataFrame:
+    """(a, b): links between images of one node that are in different components, by all such pairs.
+
+    A node is cut into blocks, and each two blocks, or one with itself, are compared in a group of their own.
+    crowd: node, rep; images: rep, corners; found: node, component of the links so far."""
+
+    def run(batches):
+        for b in batches:
+            out: tuple[list, list] = ([], [])
+            for row in b.column(0):
+                ids, block, component = (row.values.field(c).to_numpy(zero_copy_only=False) for c in ("rep", "block", "component"))
+                order = np.argsort(block, kind="stable")
+                raw = row.values.field("corners").to_pylist()
+                first = int((block == block.min()).sum())
+                label = np.unique(component[order], return_inverse=True)[1]
+                # a group of two blocks compares across them only; one whose other block is empty has nothing to compare
+                if first == len(ids) and not row.values.field("own")[0].as_py():
+                    continue
+                for i, j in linked([corners(raw[k]) for k in order], label, first if first < len(ids) else None):
+                    out[0].append(ids[order[i]])
+                    out[1].append(ids[order[j]])
+            yield pa.record_batch([pa.array(c, pa.int64()) for c in out], names=["a", "b"])
+
+    at = found.select(F.col("node").alias("rep"), "component")
+    rows = crowd.join(at, "rep", "left").select("node", "rep", F.coalesce("component", "rep").alias("component"))
+    open_ = rows.groupBy("node").agg(F.count("*").alias("size"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
+    blocks = F.ceil(F.col("size") / (LEAF / 2)).cast("int")
+    rows = rows.join(open_.select("node", "size"), "node").select("node", "rep", "component", F.pmod(F.xxhash64("node", "rep"), blocks).cast("int").alias("block"), blocks.alias("blocks"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    pairs = rows.withColumn("other", other).select("node", "rep", "component", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
+    each = pairs.join(images.select("rep", "corners"), "rep")
+    own = (F.col("x") == F.col("y")).alias("own")
+    gathered = each.groupBy("node", "x", "y").agg(F.collect_list(F.struct("rep", "block", "component", "corners", own)).alias("r"))
+    return gathered.select("r").mapInArrow(lean(run), "a long, b long")
 
 
 def copies(rows: DataFrame, id_col: str, media_col: str) -> DataFrame:
@@ -387,10 +431,16 @@ def copies(rows: DataFrame, id_col: str, media_col: str) -> DataFrame:
                     out[1].append(ids[j])
             yield pa.record_batch([pa.array(c, pa.int64()) for c in out], names=["a", "b"])
 
-    gathered = images.join(once(candidates(images)), "rep").groupBy("cluster").agg(F.collect_list(F.struct("rep", "corners")).alias("r"))
+    met, crowd = candidates(images)
+    gathered = images.join(once(met), "rep").groupBy("cluster").agg(F.collect_list(F.struct("rep", "corners")).alias("r"))
     several = own.groupBy("id").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x <> y").select("id")
     shared = own.join(several, "id").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    links = components(gathered.select("r").mapInArrow(lean(run), "a long, b long").union(shared))
+    edges = gathered.select("r").mapInArrow(lean(run), "a long, b long").union(shared)
+    if crowd is not None:
+        edges = stash(edges, "links")
+    links = components(edges)
+    if crowd is not None:
+        links = components(edges.union(apart(crowd, images, links)))
     of_class = stash(classes.join(links, F.col("rep") == F.col("node"), "left").select("digest", "last", F.coalesce("component", "rep").alias("component_id")), "media-found")
     last = of_class.groupBy("component_id").agg(F.max("last").alias("end"))
     of_class = spread(of_class, last, "component_id", "digest").select("digest", "component_id", (F.col("end") > F.col("component_id")).alias("copied"))
@@ -400,16 +450,20 @@ def copies(rows: DataFrame, id_col: str, media_col: str) -> DataFrame:
     return out.withColumnRenamed("id", id_col)
 
 
-def linked(images: list[np.ndarray]):
-    """Pairs that span what copies connect among some images, by their corners."""
-    everything, sizes = np.concatenate(images), np.array([len(x) for x in images])
-    starts = np.cumsum(sizes) - sizes
-    label = np.arange(len(images))
-    for i in range(len(images) - 1):
-        met = np.zeros((len(images), len(images[i])), bool)  # which corners of i match some corner of each other image
+def linked(images: list[np.ndarray], label: np.ndarray | None = None, first: int | None = None):
+    """Pairs that span what copies connect among some images, by their corners. Images of one label are connected already;
+    first: only pairs of the first images, as many, with the others."""
+    start = first or 0
+    everything, sizes = np.concatenate(images[start:]), np.array([len(x) for x in images])
+    starts = np.cumsum(sizes[start:]) - sizes[start:]
+    label = np.arange(len(images)) if label is None else label.copy()
+    for i in range(len(images) - 1 if first is None else first):
+        if (label[start:] == label[i]).all():
+            continue
+        met = np.zeros((len(images) - start, len(images[i])), bool)  # which corners of i match some corner of each other image
         for at, near in _blocks(images[i], everything):
             met[:, at : at + len(near)] = np.logical_or.reduceat(near <= MAX_BITS, starts, axis=1).T
-        for j in np.flatnonzero((met.sum(1) >= np.maximum(MIN_VOTES, MIN_SHARE * np.minimum(sizes, sizes[i]))) & (label != label[i])):
+        for j in start + np.flatnonzero((met.sum(1) >= np.maximum(MIN_VOTES, MIN_SHARE * np.minimum(sizes[start:], sizes[i]))) & (label[start:] != label[i])):
             if j > i and label[j] != label[i] and is_copy(images[i], images[j]):
                 yield i, int(j)
                 label[label == label[j]] = label[i]

@@ -495,6 +495,21 @@ def test_entries_of_many_images(spark, monkeypatch):
     assert sum(got[100 + s] == s for s in range(20)) >= 18
 
 
+def test_a_large_entry_loses_no_copy(spark, monkeypatch):
+    """Copies whose corners meet in one entry only, which very many images share, are found whatever is around the corners."""
+    monkeypatch.setattr(media, "LEAF", 8)
+    one = lambda images: images.select(F.lit(5).cast("long").alias("node"), "rep", F.lit(0).cast("long").alias("corner"), F.expr("substring(corners, 13, 16)").alias("seen"))
+    monkeypatch.setattr(media, "entries", one)
+    images = {0: photo(50), 1: photo(51, 60, 60)}  # the smallest id and the fewest corners
+    for s in range(15):
+        images[10 + s] = photo(60 + s)
+        images[40 + s] = noisy(images[10 + s], 8, np.random.default_rng(s))
+    images[70] = noisy(part(images[12], 100, np.random.default_rng(1)), 3, np.random.default_rng(2))
+    df = spark.createDataFrame([(i, media.encode_pgm(p)) for i, p in images.items()], "id long, image binary").repartition(8)
+    got = {r.id: r.component_id for r in media.copies(df, "id", "image").collect()}
+    assert got == {0: 0, 1: 1, 70: 12} | {10 + s: 10 + s for s in range(15)} | {40 + s: 10 + s for s in range(15)}
+
+
 def test_comparison_in_blocks(monkeypatch):
     im = photo(3)
     a, b = media.features([im])[0], media.features([np.ascontiguousarray(np.rot90(im))])[0]
