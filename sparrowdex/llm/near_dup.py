@@ -9,13 +9,20 @@ if its nodes fall below LEAF only at level LEVELS (`expected_recall`, `trees_for
 unless a node holds nearly all of its parent: then its sets agree in most coordinates, and it is solved exactly by what
 its sets do not share. So the levels end by themselves.
 
-Let T be the shingles that most of a node's sets have, and f(x) the difference of x and T. As |x ^ y| = |f(x) ^ f(y)|, x
+Let T be a set and f(x) the difference of x and T. As |x ^ y| = |f(x) ^ f(y)|, x
 and y are linked without a look at T if their slacks (100 - per_cent) |x| - (100 + per_cent) |f(x)| add up to 0 or more,
-and otherwise only if f(x) and f(y) share as many shingles as the slacks fall short of 0, by 2 (100 + per_cent). So each
+and otherwise only if f(x) and f(y) share as many shingles as the slacks fall short of 0, by 2 (100 + per_cent). As f(y)
+holds what they share, and (100 + per_cent) |x ^ y| is at most (100 - per_cent) (|x| + |y|), f(x) has no more others than
+that allows: what no other set has of it drops a document that has too much of its own. So each
 document is linked with the one of the most slack where the slacks allow it, which connects all such pairs, and the
 others, far from that one, meet in the node's entries: the documents that have, or lack, a shingle against T. Only entries
 with a far document count, and only those of a document's rarest shingles that cannot all be missed by what it has to
-share. An entry holds at most half of its node; one above LEAF is solved as a node of its own.
+share. An entry above LEAF is solved as a node of its own.
+
+This holds for any T; which one it is decides how short the differences are. T is what most of PIVOTS of the node's sets
+have, chosen by a hash. One of these has, and one lacks, the shingle of any entry, or has it against T, so that an entry
+is smaller than its node, mostly by half. How rare a shingle is is told by a table of counts that may be too high but not
+too low (`tally`), so that sets stay in their rows, and only the rarest shingles become rows (`prefixes`).
 
 Nothing depends on one task holding a large node: nodes are counted by partial aggregation, joined as (node, document)
 pairs, and gathered only when they have at most LEAF documents. Leaves of the trees overlap; documents that similar
@@ -35,7 +42,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shingles import shingle_sets
+from .shingles import mix, shingle_sets
 from .workspace import discard, give_back, lean, small_batches, spread, stash
 
 WIDTH, LEAF = 128, 256
@@ -48,6 +55,10 @@ LEAST_SIGMAS = 4.5
 #: Rows of (id, node) that go to every task at most where sets or sketches are looked up; more are joined by a shuffle. The
 #: driver holds them several times over: as collected, as a table and as blocks. BROADCAST_KEYS: the same of ids alone.
 BROADCAST_IDS, BROADCAST_KEYS = 250_000, 1_000_000
+#: Members of a node whose majority is its T.
+PIVOTS = 64
+#: Slots to an entry where entries are counted, and the most of them as a power of 2, a byte each; the bit for far sets.
+SLOTS, MOST_BITS, FAR = 4, 25, 128
 
 
 def survival(share: float, kids: float, level: int) -> float:
@@ -157,6 +168,107 @@ def dealt(whole: DataFrame) -> DataFrame:
     return whole.select(block.alias("node"), F.explode(F.array_distinct(F.array("rep", "lo"))).alias("rep")).distinct()
 
 
+def majorities(batches):
+    """node, common of (node, sets): the shingles that most of the sets have."""
+    for b in batches:
+        out = []
+        for sets in b.column(1):
+            known, n = np.unique(sets.values.flatten().to_numpy(), return_counts=True)
+            out.append(known[2 * n > len(sets)])
+        yield pa.record_batch([b.column(0), pa.array(out, pa.list_(pa.int64()))], names=["node", "common"])
+
+
+def _slots(b: pa.RecordBatch, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(slot of each entry, number of entries of each row) of a batch with the columns node and diff."""
+    lengths = b.column("diff").value_lengths().to_numpy()
+    node = np.repeat(mix(b.column("node").to_numpy().view(np.uint64)), lengths)
+    return (mix(b.column("diff").flatten().to_numpy().view(np.uint64) ^ node) >> np.uint64(64 - bits)).astype(np.int64), lengths
+
+
+def _summed(slot: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    known, at = np.unique(slot, return_inverse=True)
+    out = np.zeros(len(known), np.int64)
+    np.add.at(out, at, n)
+    return known, out
+
+
+def tally(entries: DataFrame, bits: int) -> np.ndarray:
+    """A byte for each of 2 ** bits slots: 0 if no set has an entry there, else how many have, by logarithms above 64, and
+    FAR if a far one has. Entries that share a slot are counted together, so that a count is never too low.
+
+    entries: node, far, diff."""
+    low = min(bits, 16)
+    one_far = 1 << 40
+
+    def rows(slot, n):
+        slot, n = _summed(np.concatenate(slot), np.concatenate(n))
+        ends = np.flatnonzero(np.diff(slot >> low)) + 1
+        parts = np.split(slot, ends)
+        return pa.record_batch([pa.array([int(p[0]) >> low for p in parts], pa.int32()), pa.array([p & ((1 << low) - 1) for p in parts], pa.list_(pa.int32())), pa.array(np.split(n, ends), pa.list_(pa.int64()))], names=["part", "slots", "n"])
+
+    def count(batches):
+        slots, ns, held = [], [], 0
+        for b in batches:
+            slot, lengths = _slots(b, bits)
+            far = np.repeat(b.column("far").to_numpy(zero_copy_only=False), lengths)
+            slots.append(slot)
+            ns.append(1 + far * np.int64(one_far))
+            held += len(slot)
+            if held > 1 << 20:
+                yield rows(slots, ns)
+                slots, ns, held = [], [], 0
+        if held:
+            yield rows(slots, ns)
+
+    def merge(batches):
+        for b in batches:
+            out = []
+            for row in b.column(1):
+                slot, n = _summed(row.values.field("slots").flatten().to_numpy(), row.values.field("n").flatten().to_numpy())
+                far, n = n >= one_far, n % one_far
+                scaled = np.where(n <= 64, n, np.minimum(FAR - 1, 64 + 8 * np.log2(np.maximum(n, 64) / 64)))
+                table = np.zeros(1 << low, np.uint8)
+                table[slot] = scaled.astype(np.uint8) | (far * FAR).astype(np.uint8)
+                out.append(table.tobytes())
+            yield pa.record_batch([b.column(0), pa.array(out, pa.binary())], names=["part", "counts"])
+
+    parts = entries.select("node", "far", "diff").mapInArrow(lean(count), "part int, slots array<int>, n array<long>")
+    parts = parts.groupBy("part").agg(F.collect_list(F.struct("slots", "n")).alias("p")).mapInArrow(lean(merge), "part int, counts binary")
+    table = np.zeros(1 << bits, np.uint8)
+    for r in parts.collect():
+        table[r.part << low : (r.part + 1) << low] = np.frombuffer(r.counts, np.uint8)
+    return table
+
+
+def prefixes(entries: DataFrame, total: int) -> DataFrame:
+    """(node, e, rep, far): of the entries of each set that another set of its node can have, and a far one has, rare ones
+    first, so many that one of them is among the `need` that the set has to share.
+
+    entries: node, rep, far, need, diff; total: how many entries they have."""
+    bits = min(max(16, (SLOTS * total).bit_length()), MOST_BITS)
+    sent = entries.sparkSession.sparkContext.broadcast(tally(entries, bits))
+
+    def run(batches):
+        for b in batches:
+            slot, lengths = _slots(b, bits)
+            counts, flat = sent.value[slot], b.column("diff").flatten().to_numpy()
+            ends = np.cumsum(lengths)
+            at, kept = [], []
+            for a, z, need in zip((ends - lengths).tolist(), ends.tolist(), b.column("need").to_pylist(), strict=True):
+                mine = a + np.flatnonzero(counts[a:z] > FAR + 1)
+                # the order is one for all sets of a node
+                mine = mine[np.lexsort((flat[mine], counts[mine]))][: max(0, len(mine) - need + 1)]
+                at.append(mine)
+                kept.append(len(mine))
+            mine = np.concatenate([np.zeros(0, np.int64), *at])
+            row = pa.array(np.repeat(np.arange(b.num_rows), kept))
+            yield pa.record_batch([b.column("node").take(row), pa.array(flat[mine], pa.int64()), b.column("rep").take(row), b.column("far").take(row)], names=["node", "e", "rep", "far"])
+
+    out = stash(entries.mapInArrow(lean(run), "node long, e long, rep long, far boolean"), "prefixes")
+    sent.destroy()
+    return out
+
+
 def solved(groups: DataFrame, docs: DataFrame, per_cent: int) -> tuple[list[DataFrame], list[DataFrame]]:
     """([(node, rep)], [(a, b)]): leaves and links that hold or connect all pairs that are linked within a group.
 
@@ -165,39 +277,36 @@ def solved(groups: DataFrame, docs: DataFrame, per_cent: int) -> tuple[list[Data
 
     def differences(batches):
         for b in batches:
-            columns: tuple[list, list] = ([], [])
+            columns: tuple[list, list, list] = ([], [], [])
             sets, common = b.column(2), b.column(3)
             for x, t in zip(sets, common, strict=True):
-                x, t = x.values.to_numpy(), (t.values.to_numpy() if t.is_valid else np.zeros(0, np.int64))
+                x, t = x.values.to_numpy(), t.values.to_numpy()
                 own, lacked = np.setdiff1d(x, t, assume_unique=True), np.setdiff1d(t, x, assume_unique=True)
-                columns[0].append((100 - per_cent) * len(x) - (100 + per_cent) * (len(own) + len(lacked)))
-                columns[1].append(np.concatenate([own, lacked]))  # a shingle is in T or not: no entry mixes the two
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.list_(pa.int64()))], names=["node", "rep", "slack", "diff"])
+                columns[0].append(len(x))
+                columns[1].append((100 - per_cent) * len(x) - (100 + per_cent) * (len(own) + len(lacked)))
+                columns[2].append(np.concatenate([own, lacked]))  # a shingle is in T or not: no entry mixes the two
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.list_(pa.int64()))], names=["node", "rep", "n", "slack", "diff"])
 
     while not groups.isEmpty():
-        rows = shingles_of(groups, docs)
-        # the null entry of each set counts the node's sets
-        often = rows.select("node", F.explode(F.concat("set", F.array(F.lit(None).cast("long")))).alias("e")).groupBy("node", "e").agg(F.count("*").alias("n")).where("n > 1")
-        often = stash(often, "shared")
-        size = often.where("e is null").select("node", F.col("n").alias("size"))
-        common = often.where("e is not null").join(size, "node").where("2 * n > size").groupBy("node").agg(F.collect_list("e").alias("common"))
-        common = stash(size.select("node").join(common, "node", "left"), "common")
+        place = F.row_number().over(Window.partitionBy("node").orderBy(F.xxhash64("node", "rep")))
+        some = groups.withColumn("place", place).where(F.col("place") <= PIVOTS).select("node", "rep")
+        common = shingles_of(some, docs).groupBy("node").agg(F.collect_set("set").alias("sets"))
+        common = stash(common.mapInArrow(lean(majorities), "node long, common array<long>"), "common")
         few = (common.agg(F.sum(F.greatest(F.lit(1), F.size("common")))).first()[0] or 0) <= BROADCAST_IDS
         meet = lambda rows, found: rows.join(F.broadcast(found), "node") if few else spread(rows, found, "node", "rep", like=groups)  # noqa: E731, B023
-        diffs = stash(meet(rows, common).select("node", "rep", "set", "common").mapInArrow(lean(differences), "node long, rep long, slack long, diff array<long>"), "differences")
-        best = stash(diffs.groupBy("node").agg(F.max(F.struct("slack", "rep")).alias("best")).select("node", F.col("best.rep").alias("star"), F.col("best.slack").alias("most")), "stars")
+        diffs = stash(meet(shingles_of(groups, docs), common).select("node", "rep", "set", "common").mapInArrow(lean(differences), "node long, rep long, n long, slack long, diff array<long>"), "differences")
+        best = stash(diffs.groupBy("node").agg(F.max(F.struct("slack", "rep")).alias("best"), F.max("n").alias("largest")).select("node", F.col("best.rep").alias("star"), F.col("best.slack").alias("most"), "largest"), "stars")
         rated = stash(meet(diffs, best), "rated")
         edges.append(rated.where("rep <> star and slack + most >= 0").select(F.col("star").alias("a"), F.col("rep").alias("b")).distinct())
         # those that are linked with the star need no link with each other: one of a pair is far from it, of less slack
         far = F.col("slack") + F.col("most") < 0
-        # the shingles that a document has to share with another, at least
-        need = F.greatest(F.lit(1), F.ceil(-(F.col("slack") + F.when(far, F.col("most")).otherwise(-F.col("most") - 1)) / F.lit(2 * (100 + per_cent))))
-        entry = rated.select("rep", far.alias("far"), "node", need.alias("need"), F.explode("diff").alias("e"))
-        met = stash(entry.groupBy("node", "e").agg(F.count("*").alias("n"), F.max("far").alias("far")).where("n > 1 and far").select("node", "e", "n"), "entries")
-        # of a document's shingles, rare ones first, so many that one of them is among the shared ones
-        own = Window.partitionBy("node", "rep")
-        place = F.row_number().over(own.orderBy("n", "e")) <= F.count("*").over(own) - F.col("need") + 1
-        first = stash(entry.join(met, ["node", "e"]).withColumn("first", place).where("first").select("node", "e", "rep", "far"), "prefixes")
+        # the shingles that a document has to share with another, at least: with one of as much slack as there is, and with
+        # one that has no others against T and is as large as a set that is linked with it
+        need = F.ceil(-(F.col("slack") + F.when(far, F.col("most")).otherwise(-F.col("most") - 1)) / F.lit(2 * (100 + per_cent)))
+        linked_to = F.least("largest", F.floor(100 * F.col("n") / F.lit(per_cent)))
+        alone = F.ceil(-(F.col("slack") + (100 - per_cent) * linked_to) / F.lit(100 + per_cent))
+        entries = rated.select("node", "rep", far.alias("far"), F.greatest(F.lit(1), need, alone).cast("long").alias("need"), "diff")
+        first = prefixes(entries, rated.agg(F.sum(F.size("diff"))).first()[0] or 0)
         met = first.groupBy("node", "e").agg(F.count("*").alias("n"), F.max("far").alias("far"), F.bit_xor(F.xxhash64("rep")).alias("who")).where("n > 1 and far")
         # entries of the same documents: one of them is enough
         met = stash(met.groupBy("n", "who").agg(F.min(F.struct("node", "e")).alias("at")).select("n", "at.node", "at.e"), "entries")

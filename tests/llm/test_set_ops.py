@@ -89,6 +89,98 @@ def test_a_template_group_of_unlinked_documents(spark):
     assert got == {i: 4999 - i if i >= 4940 else i for i in range(5000)}
 
 
+def template_group(n, seed=6):
+    """n documents with 2 to 9 other words in a template of 150: few are linked, many lack the same shingles."""
+    r, template, rows = random.Random(seed), [f"t{i}" for i in range(150)], []
+    for i in range(n):
+        words = list(template)
+        for _ in range(r.randint(2, 9)):
+            words[r.randrange(150)] = f"v{r.randrange(3000)}"
+        rows.append((i, " ".join(words)))
+    return rows
+
+
+def executions(spark):
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    store = spark._jsparkSession.sharedState().statusStore()
+    found = store.executionsList()
+    return store, [found.apply(i).executionId() for i in range(found.size())]
+
+
+def rows_made(spark, since):
+    """{plan node: rows} of the joins and generators of the executions that are not in `since`."""
+    store, ids = executions(spark)
+    out = {}
+    for x in set(ids) - set(since):
+        values, nodes = store.executionMetrics(x), store.planGraph(x).allNodes()
+        for node in map(nodes.apply, range(nodes.size())):
+            metrics = node.metrics()
+            for m in map(metrics.apply, range(metrics.size())):
+                if m.name() == "number of output rows" and ("Join" in node.name() or "Generate" in node.name()):
+                    value = values.get(m.accumulatorId())
+                    out[x, node.id(), node.desc()[:80]] = int(value.get().replace(",", "")) if value.isDefined() else 0
+    return out
+
+
+def test_a_template_group_makes_few_rows(spark, tmp_path):
+    """Sets and differences stay in their rows: no join and no generator makes one for each shingle of a document."""
+    rows = template_group(1000)
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+    since = executions(spark)[1]
+    got = {x.doc_id: x.component_id for x in near_dup.near_duplicates(spark.read.parquet(str(tmp_path / "docs")), 85).collect()}
+    assert got == {d: c for d, (_, c) in brute_components(rows, 85).items()}
+    made = rows_made(spark, since)
+    assert len(made) > 10 and max(made.values()) <= 30 * len(rows), sorted(made.items(), key=lambda x: -x[1])[:3]
+
+
+@pytest.mark.parametrize("pivots,bits", [(3, 25), (64, 4)])
+@pytest.mark.parametrize("per_cent", [80, 85])
+def test_links_do_not_depend_on_the_template_or_the_counts(spark, monkeypatch, pivots, bits, per_cent):
+    monkeypatch.setattr(near_dup, "PIVOTS", pivots)
+    monkeypatch.setattr(near_dup, "MOST_BITS", bits)
+    monkeypatch.setattr(near_dup, "LEAF", 32)
+    rows = template_group(400, 7)
+    groups = spark.createDataFrame([(1, i) for i, _ in rows], "node long, rep long")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    leaf, edges = near_dup.solved(groups, docs, per_cent)
+    nodes = {}
+    for df in leaf:
+        for r in df.collect():
+            nodes.setdefault(r.node, set()).add(r.rep)
+    assert max(map(len, nodes.values())) <= 32
+    sets = {d: brute_set(t) for d, t in rows}
+    linked = lambda a, b: 100 * len(sets[a] & sets[b]) >= per_cent * len(sets[a] | sets[b])
+    pairs = [(r.a, r.b) for df in edges for r in df.collect()]
+    assert all(linked(a, b) for a, b in pairs)
+    pairs += [(a, b) for m in nodes.values() for a in m for b in m if a < b and linked(a, b)]
+    label = {d: d for d in sets}
+    for _ in range(len(sets)):
+        before = dict(label)
+        for a, b in pairs:
+            label[a] = label[b] = min(label[a], label[b])
+        if label == before:
+            break
+    assert label == {d: c for d, (_, c) in brute_components(rows, per_cent).items()}
+
+
+@pytest.mark.parametrize("bits", [3, 20])
+def test_counts_of_entries(spark, bits):
+    r = random.Random(8)
+    rows = [(n, r.random() < 0.3, r.sample(range(-5, 300), 20)) for n in (-7, 9) for _ in range(150)] + [(9, False, []), (9, False, [1000])]
+    counts = near_dup.tally(spark.createDataFrame(rows, "node long, far boolean, diff array<long>").repartition(3), bits)
+    want = {}
+    for n, far, diff in rows:
+        for e in diff:
+            k, f = want.get((n, e), (0, False))
+            want[n, e] = (k + 1, f or far)
+    b = near_dup.pa.record_batch([near_dup.pa.array([n for n, _ in want], near_dup.pa.int64()), near_dup.pa.array([[e] for _, e in want], near_dup.pa.list_(near_dup.pa.int64()))], names=["node", "diff"])
+    got = counts[near_dup._slots(b, bits)[0]]
+    for c, (k, f) in zip(got.tolist(), want.values(), strict=True):
+        assert c % 128 >= min(k, 64) and c // 128 >= f
+    if bits == 20:
+        assert sum(c == k + 128 * f for c, (k, f) in zip(got.tolist(), want.values(), strict=True)) > 0.99 * len(want)
+
+
 @pytest.mark.parametrize("share", [0.8, 0.85])
 def test_recall_of_the_trees(share):
     """The computed recall of a pair at the threshold, and a simulation of the branching, down to level 10."""
