@@ -9,15 +9,15 @@ if its nodes fall below LEAF only at level LEVELS (`expected_recall`, `trees_for
 unless a node holds nearly all of its parent: then its sets agree in most coordinates, and it is solved exactly by what
 its sets do not share. So the levels end by themselves.
 
-Let T be a set and f(x) the difference of x and T. As |x ^ y| = |f(x) ^ f(y)|, x
-and y are linked without a look at T if their slacks (100 - per_cent) |x| - (100 + per_cent) |f(x)| add up to 0 or more,
-and otherwise only if f(x) and f(y) share as many shingles as the slacks fall short of 0, by 2 (100 + per_cent). As f(y)
-holds what they share, and (100 + per_cent) |x ^ y| is at most (100 - per_cent) (|x| + |y|), f(x) has no more others than
-that allows: what no other set has of it drops a document that has too much of its own. So each
-document is linked with the one of the most slack where the slacks allow it, which connects all such pairs, and the
-others, far from that one, meet in the node's entries: the documents that have, or lack, a shingle against T. Only entries
-with a far document count, and only those of a document's rarest shingles that cannot all be missed by what it has to
-share. An entry above LEAF is solved as a node of its own.
+Let T be a set and f(x) the difference of x and T. As |x ^ y| = |f(x) ^ f(y)|, x and y are linked without a look at T if
+their slacks (100 - per_cent) |x| - (100 + per_cent) |f(x)| add up to 0 or more, and otherwise only if f(x) and f(y)
+share as many shingles as the slacks fall short of 0, by 2 (100 + per_cent). As f(y) holds what they share, and (100 +
+per_cent) |x ^ y| is at most (100 - per_cent) (|x| + |y|), f(x) has no more others than that allows: what no other set
+has of it drops a document that has too much of its own. So each document is linked with the one of the most slack where
+the slacks allow it, which connects all such pairs, and the others, far from that one, meet in the node's entries: the
+documents that have, or lack, a shingle against T. Only entries with a far document count, and only those of a
+document's rarest shingles that cannot all be missed by what it has to share. An entry above LEAF is solved as a node of
+its own.
 
 This holds for any T; which one it is decides how short the differences are. T is what most of PIVOTS of the node's sets
 have, chosen by a hash. One of these has, and one lacks, the shingle of any entry, or has it against T, so that an entry

@@ -133,6 +133,16 @@ def test_a_template_group_makes_few_rows(spark, tmp_path):
     assert len(made) > 10 and max(made.values()) <= 30 * len(rows), sorted(made.items(), key=lambda x: -x[1])[:3]
 
 
+def test_a_template_group_makes_few_rows_in_the_pipeline(spark, tmp_path):
+    rows = template_group(1000, 9)
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+    since = executions(spark)[1]
+    got = {x.doc_id for x in corpus_pipeline.drop_near_duplicates(spark, spark.read.parquet(str(tmp_path / "docs")), "").collect()}
+    assert got == {d for d, (_, c) in brute_components(rows, 80).items() if c == d}
+    made = rows_made(spark, since)
+    assert len(made) > 10 and max(made.values()) <= 40 * len(rows), sorted(made.items(), key=lambda x: -x[1])[:3]
+
+
 @pytest.mark.parametrize("pivots,bits", [(3, 25), (64, 4)])
 @pytest.mark.parametrize("per_cent", [80, 85])
 def test_links_do_not_depend_on_the_template_or_the_counts(spark, monkeypatch, pivots, bits, per_cent):
